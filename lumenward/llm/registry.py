@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenward.llm.sharding import op9_sharding
+from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
     "op9_sharding": op9_sharding,
 }
 
