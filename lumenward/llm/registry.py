@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
+from lumenward.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
 }
 
