@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenward.llm.decontaminate import op10_decontaminate
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
