@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenward.llm.decontaminate import op10_decontaminate
 from lumenward.llm.fingerprint import op5_fingerprints
+from lumenward.llm import mixing
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
@@ -16,10 +17,13 @@ from lumenward.llm.toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_mixing": mixing.op4_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+}
