@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenward.llm import mixing, warc
 from lumenward.llm.decontaminate import op10_decontaminate
 from lumenward.llm.fingerprint import op5_fingerprints
-from lumenward.llm import mixing
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_fingerprints": op5_fingerprints,
+    "op6_warc": warc.op6_warc,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
@@ -26,4 +27,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
