@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from lumenward.llm import common
 
 #: Labelled documents the classifier is fitted on, at most so many of either class.
-TRAIN_ROWS_PER_CLASS = 3000
+TRAIN_ROWS_PER_CLASS = 2000
 #: Labelled texts beyond so many characters are not trained on (they are scored like all others).
-TRAIN_TEXT_CHARS = 100_000
+TRAIN_TEXT_CHARS = 20_000
 THRESHOLD = 0.3
 #: A sentence of a predicted document is reported from this probability on; the worst one always.
 SENTENCE_THRESHOLD = 0.2
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6, 8)
-#: Features of fewer training documents get no weight.
+#: Features that fewer chunks of training documents have get no weight.
 MIN_DOCUMENTS = 3
 ROUNDS = 200
 RATE = 0.1
@@ -100,6 +100,7 @@ class Scorer:
         if not len(numbers):
             return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         last = self.stop[numbers]
+        last &= ~np.append(last[1:], False)  # a sentence of one word belongs to the one before it
         last[np.cumsum(sizes)[sizes > 0] - 1] = True
         first = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
         sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(numbers))))
@@ -134,16 +135,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     p, bag, first = scorer.sentences(bags)
     names = list(scorer.numbers)
     sentence, numbers = (scorer.once >> 32).astype(np.int32), (scorer.once & 0xFFFFFFFF).astype(np.int32)
+    del scorer, bags
     own = [features_of(c) for c in names]
     feature = np.fromiter(chain.from_iterable(own), np.int64)
-    holder = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    holder = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
     used, feature = np.unique(feature, return_inverse=True)
-    inside = np.unique(bag[sentence].astype(np.int64) << 32 | numbers)  # chunks of each bag
-    spread = np.repeat(np.arange(len(inside)), np.array([len(x) for x in own])[inside & 0xFFFFFFFF])
-    begin = np.concatenate(([0], np.cumsum([len(x) for x in own])))[inside & 0xFFFFFFFF]
-    place = begin[spread] + np.arange(len(spread)) - np.concatenate(([0], np.cumsum(np.bincount(spread, minlength=len(inside)))))[spread]
-    seen = np.unique((inside >> 32)[spread] * len(used) + feature[place]) % len(used)
-    frequent = np.bincount(seen, minlength=len(used)) >= MIN_DOCUMENTS
+    holders = np.unique(bag[sentence].astype(np.int64) << 32 | numbers) & 0xFFFFFFFF  # each chunk once a bag
+    in_bags = np.bincount(holders, minlength=len(own))
+    frequent = np.bincount(feature, weights=in_bags[holder], minlength=len(used)) >= MIN_DOCUMENTS
     w, bias = np.zeros(len(used)), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y, scale = toxic[bag], (weight / weight.sum())[bag]
@@ -186,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if chosen is None:
         return fit([], np.zeros(0, bool), np.zeros(0))
     texts = docs.select(F.col(key).alias("__key"), common.text_of(text).alias("__text")).where(F.length("__text") <= TRAIN_TEXT_CHARS)
-    rows = texts.join(F.broadcast(chosen), "__key").toPandas().drop_duplicates("__key").sort_values("__key")
+    rows = texts.join(F.broadcast(chosen), "__key").toArrow().to_pandas().drop_duplicates("__key").sort_values("__key")
     toxic = rows["__y"].to_numpy() > 0
     taken = rows["__y"].value_counts()
     weight = rows["__y"].map(lambda y: share[y] / taken[y]).to_numpy(dtype=float)
