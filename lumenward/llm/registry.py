@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenward.llm import mixing, warc
 from lumenward.llm.decontaminate import op10_decontaminate
 from lumenward.llm.fingerprint import op5_fingerprints
+from lumenward.llm.pii import op7_pii
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
 from lumenward.llm.tokens import op2_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc": warc.op6_warc,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
