@@ -269,5 +269,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     done = docs.select("doc_id", pseudonymised(spark, F.col("text")).alias("__p")).select("doc_id", "__p.text", "__p.found")
-    counts = [F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"size(filter(found, f -> f.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
     return done.select("doc_id", F.size("found").alias("n_found"), *counts, F.sha2(F.col("text"), 256).alias("text_sha256"), "found")
