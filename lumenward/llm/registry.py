@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenward.llm import mixing, warc
 from lumenward.llm.decontaminate import op10_decontaminate
 from lumenward.llm.fingerprint import op5_fingerprints
+from lumenward.llm.katz import op1_katz
 from lumenward.llm.pii import op7_pii
 from lumenward.llm.sharding import op9_sharding
 from lumenward.llm.simhash import op3_simhash
@@ -16,6 +17,7 @@ from lumenward.llm.tokens import op2_token_counts
 from lumenward.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_mixing": mixing.op4_mixing,
