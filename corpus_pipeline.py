@@ -6,17 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenward.llm import common
+from lumenward.llm import common, decontaminate, mixing, sharding, simhash, toxicity
 
-#: (name, function); a function takes (spark, docs, sf_dir).
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: A classifier and a graph search are no SQL.
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    common.arrow_batches(spark)
+    return toxicity.without_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.without_near_duplicates(docs)
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the proportions of the target weights; a document can come more than once."""
+    return mixing.mixed(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, with the shard among 24, and among 25."""
+    return sharding.assign(docs)
+
+
+#: (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of documents.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_out),
+    ("near_duplicates", near_duplicates_out),
+    ("decontamination", benchmark_out),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: The first three stages are a trained classifier, a graph search and word-by-word alignments: no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
