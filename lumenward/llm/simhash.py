@@ -1,17 +1,23 @@
 """SimHash near duplicates with vantage-point trees.
 
-Fingerprints of 64 bits that differ in at most 3 bits agree up to 1 bit in one of their two 32-bit halves.
-For each half there is one vantage-point tree over the Hamming distance of halves. Its top levels, fitted on a
+Fingerprints of 64 bits that differ in at most d bits agree up to d // k bits in one of k equal blocks of bits.
+For each block there is one vantage-point tree over the Hamming distance of blocks. Its top levels, fitted on a
 bounded sample, cut the fingerprints into shards; each shard grows its own lower levels in memory. A node has a
 vantage point p and a radius m: fingerprints within m of p go inside, the others outside. By the triangle
-inequality two halves at most 1 bit apart have distances to p that differ by at most 1, so only the outside
-fingerprints at distance m + 1 can have a partner inside: those also visit the inside. Every candidate pair is
-compared on all 64 bits, so the links are exact; the sample decides the balance of the shards alone.
+inequality two blocks at most r bits apart have distances to p that differ by at most r, so only the outside
+fingerprints at distance m + r or less can have a partner inside: those also visit the inside. Every candidate
+pair is compared on all 64 bits, so the links are exact; the sample decides the balance of the shards alone.
+
+Two rules come with it. EXACT_BITS links equal shingle fingerprints up to three bits: two blocks of 32 bits. COPIES
+is for removing near copies, texts whose five-word shingles have a similarity of 0.8 or more: a fingerprint of
+the distinct words finds candidates (an edit changes one word, but five shingles), and 256 further bits from
+five-word shingles confirm them, at a distance that the similarity stands for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -24,35 +30,57 @@ from lumenward.llm import common, graph
 
 SEED = 42
 SHINGLE_WORDS = 3
-DISTANCE = 3
-#: Differing bits of the closer half when at most DISTANCE of all bits differ.
-HALF_DISTANCE = DISTANCE // 2
-#: Fingerprints that the top levels are fitted on.
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When two prints link: at most `distance` differing bits, and at most `confirm` of the further bits if there are any."""
+
+    distance: int
+    blocks: int
+    confirm: int | None = None
+
+    @property
+    def width(self) -> int:
+        return 64 // self.blocks
+
+    @property
+    def radius(self) -> int:
+        """Differing bits of the closest block, at most."""
+        return self.distance // self.blocks
+
+
+EXACT_BITS = Rule(distance=3, blocks=2)
+#: 256 bits differ in 39 places on average at a similarity of 0.8 (cosine 0.89); measured on near copies, 48 is the
+#: 95th percentile there.
+COPIES = Rule(distance=11, blocks=4, confirm=48)
+CONFIRM_WORDS = 5
+CONFIRM_LANES = 4
+#: Prints that the top levels are fitted on.
 SAMPLE_ROWS = 20_000
-#: Distinct fingerprints of one shard, about.
+#: Distinct prints of one shard, about.
 SHARD_ROWS = 32_768
 #: Residents of a leaf that are compared without further splits.
 LEAF_ROWS = 96
 #: Cells of one comparison matrix.
 MATRIX = 1 << 21
-#: Shingle hashes counted at once.
+#: Hashes counted at once.
 CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint of a text as an unsigned integer; zero for a text without words."""
-    words = common.words_of(text)
-    if not words:
-        return 0
-    ends = list(accumulate(map(len, words)))
-    if len(words) < SHINGLE_WORDS:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        starts = [0, *(e + i + 1 for i, e in enumerate(ends))]
-        stops = [e + i for i, e in enumerate(ends)]
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops[SHINGLE_WORDS - 1 :], strict=False)), np.uint64, len(words) - SHINGLE_WORDS + 1)
+def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of all runs of n words, joined by single spaces; of the whole sequence if it is shorter."""
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) < n:
+        return np.array([digest(line, SEED)], dtype=np.uint64)
+    stops = [e + i for i, e in enumerate(accumulate(map(len, words)))]
+    starts = [0, *(e + 1 for e in stops)]
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops[n - 1 :], strict=False)), np.uint64, len(words) - n + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         octets = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -63,21 +91,60 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None) -> int:
+    """The shingle fingerprint of a text as an unsigned integer; zero for a text without words."""
+    words = common.words_of(text)
+    return majority(shingle_hashes(words, SHINGLE_WORDS)) if words else 0
+
+
+def copy_print(text: str | None) -> bytes:
+    """The 64 bits of a text's distinct words, then CONFIRM_LANES times 64 of its five-word shingles; zeros without words."""
+    words = common.words_of(text)
+    if not words:
+        return bytes(8 + 8 * CONFIRM_LANES)
+    distinct = set(words)
+    out = [majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)))]
+    hashes = shingle_hashes(words, CONFIRM_WORDS)
+    for lane in range(1, CONFIRM_LANES + 1):
+        with np.errstate(over="ignore"):
+            own = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            own = (own ^ (own >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(own ^ (own >> np.uint64(32))))
+    return b"".join(x.to_bytes(8, "big") for x in out)
+
+
 def fingerprint_of(text: Column) -> Column:
-    """The fingerprint as a signed 64-bit column; null texts count as empty."""
+    """The shingle fingerprint as 8 bytes, highest first; null texts count as empty."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("binary")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+            yield pd.Series([fingerprint(t).to_bytes(8, "big") for t in texts], dtype=object)
 
     return compute(common.text_of(text))
 
 
+def copy_print_of(text: Column) -> Column:
+    """copy_print() as a binary column; null texts count as empty."""
+
+    @F.pandas_udf("binary")
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([copy_print(t) for t in texts], dtype=object)
+
+    return compute(common.text_of(text))
+
+
+def block_of(bits: np.ndarray, k: int, width: int) -> np.ndarray:
+    """The k-th block of fingerprints."""
+    return ((bits >> np.uint64(k * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 class Tree:
-    """The top levels over one half: nodes as (vantage point, radius, inside, outside); a negative child is a shard."""
+    """The top levels over one block: nodes as (vantage point, radius, inside, outside); a negative child is a shard."""
 
-    def __init__(self, sample: np.ndarray, depth: int) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, radius: int) -> None:
+        self.reach = radius
         self.nodes: list[list[int]] = []
         self.shards = 0
         self.root = self._grow(np.unique(sample), depth)
@@ -93,9 +160,9 @@ class Tree:
         self.nodes[at][3] = self._grow(points[far > radius], depth - 1)
         return at
 
-    def route(self, halves: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def route(self, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, positions of residents, positions of visitors)."""
-        work = [(self.root, np.arange(len(halves)), np.zeros(0, np.int64))]
+        work = [(self.root, np.arange(len(blocks)), np.zeros(0, np.int64))]
         while work:
             at, home, guest = work.pop()
             if not len(home) and not len(guest):
@@ -104,7 +171,7 @@ class Tree:
                 yield -at, home, guest
                 continue
             point, radius, inside, outside = self.nodes[at]
-            sides = split(halves[home], halves[guest], np.uint32(point), radius)
+            sides = split(blocks[home], blocks[guest], np.uint32(point), radius, self.reach)
             (a, b), (c, d, e) = sides[:2], sides[2:]
             work.append((inside, home[a], np.concatenate((guest[c], home[e]))))
             work.append((outside, home[b], guest[d]))
@@ -124,11 +191,14 @@ def vantage(points: np.ndarray) -> tuple[np.uint32, int, np.ndarray] | None:
     return best and best[1:]
 
 
-def split(home: np.ndarray, guest: np.ndarray, point: np.uint32, radius: int) -> tuple[np.ndarray, ...]:
-    """Masks: residents inside, residents outside; guests who visit the inside, the outside; residents outside who also visit the inside."""
+def split(home: np.ndarray, guest: np.ndarray, point: np.uint32, radius: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Masks: residents inside, residents outside; guests who visit the inside, the outside; residents outside who also visit the inside.
+
+    reach: how far partners' distances to the vantage point can lie apart.
+    """
     near, far = np.bitwise_count(home ^ point).astype(np.int16), np.bitwise_count(guest ^ point).astype(np.int16)
     inside = near <= radius
-    return inside, ~inside, far <= radius + HALF_DISTANCE, far > radius - HALF_DISTANCE, ~inside & (near <= radius + HALF_DISTANCE)
+    return inside, ~inside, far <= radius + reach, far > radius - reach, ~inside & (near <= radius + reach)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,119 +219,141 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members[own], members[label[own]]
 
 
-def flood(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of prints by breadth-first search: each print is compared with those not yet reached only.
-
-    Used where no vantage point splits the prints, so that a dense cluster costs one pass over it.
-    """
-    left, out = np.unique(prints), []
-    while len(left):
-        root, left = left[0], left[1:]
-        queue = [root]
-        while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= DISTANCE
-            if near.any():
-                out.append((left[near], np.full(int(near.sum()), root)))
-                queue += list(left[near])
-                left = left[~near]
-    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (prints[:0], prints[:0])
-
-
-def links(home: np.ndarray, guest: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of all pairs within DISTANCE among residents, and between residents and guests.
-
-    shift: 32 for the tree over the upper halves, 0 for the lower.
-    """
-    half = lambda x: (x >> np.uint64(shift)).astype(np.uint32)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    work = [(home, guest)]
-    while work:
-        home, guest = work.pop()
-        if not len(home):
-            continue
-        cut = vantage(half(home)) if len(home) > LEAF_ROWS else None
-        if cut is not None:
-            point, radius, _ = cut
-            a, b, c, d, e = split(half(home), half(guest), point, radius)
-            work += [(home[a], np.concatenate((guest[c], home[e]))), (home[b], guest[d])]
-            continue
-        every = np.concatenate((home, guest))
-        if len(home) > 4 * LEAF_ROWS:
-            found.append(flood(every))
-        else:
-            wide = max(1, MATRIX // len(home))
-            for at in range(0, len(every), wide):
-                other = every[at : at + wide]
-                i, j = np.nonzero(np.bitwise_count(home[:, None] ^ other[None, :]) <= DISTANCE)
-                differ = home[i] != other[j]
-                if differ.any():
-                    found.append((home[i[differ]], other[j[differ]]))
-        held += len(found[-1][0]) if found else 0
-        if held > MATRIX:
-            found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-            held = len(found[0][0])
-    return spanning(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (home[:0], home[:0])
-
-
-def link_edges(prints: DataFrame) -> DataFrame:
-    """(a, b): edges that connect all fingerprints linked through pairs within DISTANCE.
-
-    prints: distinct non-null signed fingerprints in the column fp. Rows grow by the visits only; a shard's
-    edges are at most as many as its fingerprints.
+@dataclass
+class Prints:
+    """Fingerprints, and their further bits if the rule has any."""
+
+    bits: np.ndarray
+    more: np.ndarray | None
+    rule: Rule
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a[i] and b[i] link, for pairs within the distance."""
+        if self.more is None:
+            return np.ones(len(a), bool)
+        return np.bitwise_count(self.more[a] ^ self.more[b]).sum(axis=1, dtype=np.int64) <= self.rule.confirm
+
+    def flood(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning edges of members by breadth-first search: each is compared with those not yet reached only.
+
+        Used where no vantage point splits the members, so that a dense cluster costs one pass over it.
+        """
+        left, out = members, []
+        while len(left):
+            root, left = left[0], left[1:]
+            queue = [root]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.bitwise_count(self.bits[left] ^ self.bits[at]) <= self.rule.distance
+                near[near] = self.linked(left[near], np.full(int(near.sum()), at))
+                if near.any():
+                    out.append((left[near], np.full(int(near.sum()), root)))
+                    queue += left[near].tolist()
+                    left = left[~near]
+        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (members[:0], members[:0])
+
+    def links(self, home: np.ndarray, guest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning edges of all linked pairs among residents, and between residents and guests, by the tree over block k."""
+        block = block_of(self.bits, k, self.rule.width)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        work = [(home, guest)]
+        while work:
+            home, guest = work.pop()
+            if not len(home):
+                continue
+            cut = vantage(block[home]) if len(home) > LEAF_ROWS else None
+            if cut is not None:
+                point, radius, _ = cut
+                a, b, c, d, e = split(block[home], block[guest], point, radius, self.rule.radius)
+                work += [(home[a], np.concatenate((guest[c], home[e]))), (home[b], guest[d])]
+                continue
+            every = np.concatenate((home, guest))
+            if len(home) > 4 * LEAF_ROWS:
+                found.append(self.flood(every))
+                held += len(found[-1][0])
+            else:
+                wide = max(1, MATRIX // len(home))
+                for at in range(0, len(every), wide):
+                    other = every[at : at + wide]
+                    i, j = np.nonzero(np.bitwise_count(self.bits[home][:, None] ^ self.bits[other][None, :]) <= self.rule.distance)
+                    i, j = home[i], other[j]
+                    differ = i != j
+                    i, j = i[differ], j[differ]
+                    keep = self.linked(i, j)
+                    found.append((i[keep], j[keep]))
+                    held += len(found[-1][0])
+            if held > MATRIX:
+                found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                held = len(found[0][0])
+        return spanning(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (home[:0], home[:0])
+
+
+def link_edges(prints: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): edges that connect all prints that links connect.
+
+    prints: distinct non-null prints in the binary column fp: 8 bytes of fingerprint, then any further bits. Rows
+    grow by the visits only; a shard's edges are at most as many as its prints.
     """
     spark = prints.sparkSession
-    count = prints.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, count) / SHARD_ROWS))))
-    sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()], dtype=np.int64).view(np.uint64)
-    trees = spark.sparkContext.broadcast([(shift, Tree((sample >> np.uint64(shift)).astype(np.uint32), depth)) for shift in (32, 0)])
+    rows = prints.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS))))
+    sample = np.array([int.from_bytes(r.fp[:8], "big") for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()], dtype=np.uint64)
+    trees = spark.sparkContext.broadcast([Tree(block_of(sample, k, rule.width), depth, rule.radius) for k in range(rule.blocks)])
+
+    def arrays(fp: pd.Series) -> Prints:
+        lanes = np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(len(fp), -1)
+        return Prints(np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1:]) if lanes.shape[1] > 1 else None, rule)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = batch["fp"].to_numpy(np.int64)
-            for shift, tree in trees.value:
-                halves = (fp.view(np.uint64) >> np.uint64(shift)).astype(np.uint32)
-                for shard, home, guest in tree.route(halves):
+            if not len(batch):
+                continue
+            fp = batch["fp"]
+            own = arrays(fp)
+            for k, tree in enumerate(trees.value):
+                for shard, home, guest in tree.route(block_of(own.bits, k, rule.width)):
                     at = np.concatenate((home, guest))
-                    yield pd.DataFrame({"shift": np.int32(shift), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "fp": fp[at]})
+                    yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "fp": fp.iloc[at].to_numpy()})
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        fp, guest = group["fp"].to_numpy(np.int64).view(np.uint64), group["guest"].to_numpy(bool)
-        a, b = links(fp[~guest], fp[guest], int(group["shift"].iloc[0]))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        own, guest = arrays(group["fp"]), group["guest"].to_numpy(bool)
+        a, b = own.links(np.flatnonzero(~guest), np.flatnonzero(guest), int(group["tree"].iloc[0]))
+        fp = group["fp"].to_numpy()
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
-    routed = prints.select("fp").mapInPandas(visits, "shift int, shard int, guest boolean, fp long")
-    return routed.groupBy("shift", "shard").applyInPandas(joined, "a long, b long")
+    routed = prints.select("fp").mapInPandas(visits, "tree int, shard int, guest boolean, fp binary")
+    return routed.groupBy("tree", "shard").applyInPandas(joined, "a binary, b binary")
 
 
-def classes(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fp, root, keeper, component_id) for every distinct fp of rows(key, fp).
+def classes(rows: DataFrame, key: str, rule: Rule) -> DataFrame:
+    """(fp, root, keeper, component_id) for every distinct print of rows(key, fp).
 
-    root: equal for linked fingerprints. component_id: the smallest non-null key of the component, null if it
-    has none. keeper: the fp of a row with that key.
+    root: equal for linked prints. component_id: the smallest non-null key of the component, null if it has
+    none. keeper: the print of a row with that key.
     """
     prints = common.written(rows.groupBy("fp").agg(F.min(key).alias("low")), "prints")
-    roots = graph.components(link_edges(prints))
+    roots = graph.components(link_edges(prints, rule))
     placed = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.struct(F.col("low").isNull(), "low", "fp")
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.min_by("fp", first).alias("keeper"))
     return placed.select("fp", "root").join(lowest, "root")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id) of every row of df."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = EXACT_BITS) -> DataFrame:
+    """(key, fp, component_id) of every row of df: its shingle fingerprint, and its component under the rule."""
     rows = common.written(df.select(F.col(key), fingerprint_of(F.col(text)).alias("fp")), "fingerprints")
-    return rows.join(classes(rows, key).select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return rows.join(classes(rows, key, rule).select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, whole: that with the smallest key.
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = COPIES) -> DataFrame:
+    """One row of each component of near copies, whole: that with the smallest key.
 
     Of repeated rows one stays; of a component whose keys are all null, one row stays. Extra columns are kept.
     """
-    marked = df.withColumn("__fp", fingerprint_of(F.col(text)))
-    rows = common.written(marked.select(F.col(key).alias("__key"), F.col("__fp").alias("fp")), "fingerprints")
-    keep = classes(rows, "__key").where("fp = keeper").select(F.col("fp").alias("__fp"), F.col("component_id").alias("__low"))
+    marked = df.withColumn("__fp", copy_print_of(F.col(text)))
+    rows = common.written(marked.select(F.col(key).alias("__key"), F.col("__fp").alias("fp")), "prints")
+    keep = classes(rows, "__key", rule).where("fp = keeper").select(F.col("fp").alias("__fp"), F.col("component_id").alias("__low"))
     kept = marked.join(keep, "__fp").where(F.col(key).eqNullSafe(F.col("__low")))
     return kept.dropDuplicates(["__fp"]).select(*df.columns)
 
@@ -276,4 +368,4 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
