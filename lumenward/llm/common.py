@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and rows, unless the session has its own settings."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")):
         if spark.sparkContext.getConf().get(key) is None:
             spark.conf.set(key, value)
 
@@ -63,6 +64,20 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def portions(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters (a longer text is a run by itself), to bound what is held at once."""
+    run: list[str] = []
+    held = 0
+    for text in texts:
+        if run and held + len(text) > size:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text)
+    if run:
+        yield run
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8: runs without ASCII white space, A-Z lower-cased.
 

@@ -28,7 +28,7 @@ SHARE = 0.8
 COST = 4
 #: Bytes of benchmark text that one pass over the documents looks for.
 BLOCK_BYTES = 8_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 _EDGE = b".,;:!?\"'()[]{}<>*_`%#-"
 SCHEMA = "array<struct<item_id:long,n_equal:int,item_words:int,start:int,stop:int>>"
 
@@ -159,7 +159,7 @@ def leaks_of(spark: SparkSession, text: Column, benchmark: DataFrame) -> Column:
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = shared.value
             for texts in batches:
-                yield pd.Series(own.leaks(texts.tolist()))
+                yield pd.Series([found for run in common.portions(texts.tolist()) for found in own.leaks(run)], dtype=object)
 
         return find(common.text_of(text))
 

@@ -27,7 +27,7 @@ TOKEN_LIMIT = 2048
 #: The vocabulary is broadcast; files beyond this many bytes are refused.
 VOCABULARY_BYTES = 64_000_000
 #: Distinct words whose counts a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Symbols merged together at most (a single longer word is merged alone).
 ROUND_SYMBOLS = 4_000_000
 _SHIFT = 32
@@ -148,6 +148,10 @@ class RankMerger:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
+        parts = [self._count(run) for run in common.portions(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _count(self, texts: list[str]) -> np.ndarray:
         cut = [self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()

@@ -37,7 +37,7 @@ ROUNDS = 200
 RATE = 0.1
 DECAY = 1e-5
 START_BIAS = -6.0
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 _EDGE = "\x00.,;:!?\"'()[]{}<>*_`«»“”‘’¿¡…-"
 _CHUNKS = re.compile(r"\S+\n?|\n")
 
@@ -110,6 +110,10 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The noisy-or of each text's sentences; 0 without any."""
+        parts = [self._scores(run) for run in common.portions(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         chunks = [chunks_of(t) for t in texts]
         p, document, _ = self.sentences(chunks)
         return -np.expm1(np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts)))
