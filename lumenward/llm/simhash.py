@@ -289,73 +289,78 @@ class Prints:
         return spanning(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (home[:0], home[:0])
 
 
+def arrays(body: pd.Series, rule: Rule) -> Prints:
+    """Prints from their bytes: 8 of fingerprint, then any further bits."""
+    lanes = np.frombuffer(b"".join(body), ">u8").astype(np.uint64).reshape(len(body), -1)
+    return Prints(np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1:]) if lanes.shape[1] > 1 else None, rule)
+
+
 def link_edges(prints: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): edges that connect all prints that links connect.
+    """(a, b): edges between nodes that connect all prints that links connect.
 
-    prints: distinct non-null prints in the binary column fp: 8 bytes of fingerprint, then any further bits. Rows
-    grow by the visits only; a shard's edges are at most as many as its prints.
+    prints: distinct rows of (node, body). Rows grow by the visits only; a shard's edges are at most as many as
+    its prints.
     """
     spark = prints.sparkSession
     rows = prints.count()
     depth = max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS))))
-    sample = np.array([int.from_bytes(r.fp[:8], "big") for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()], dtype=np.uint64)
+    sample = np.array([int.from_bytes(r.body[:8], "big") for r in prints.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).collect()], dtype=np.uint64)
     trees = spark.sparkContext.broadcast([Tree(block_of(sample, k, rule.width), depth, rule.radius) for k in range(rule.blocks)])
 
-    def arrays(fp: pd.Series) -> Prints:
-        lanes = np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(len(fp), -1)
-        return Prints(np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1:]) if lanes.shape[1] > 1 else None, rule)
-
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            fp = batch["fp"]
-            own = arrays(fp)
+            node, body = batch["node"].to_numpy(np.int64), batch["body"]
+            own = arrays(body, rule)
             for k, tree in enumerate(trees.value):
                 for shard, home, guest in tree.route(block_of(own.bits, k, rule.width)):
                     at = np.concatenate((home, guest))
-                    yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "fp": fp.iloc[at].to_numpy()})
+                    yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "node": node[at], "body": body.iloc[at].to_numpy()})
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        own, guest = arrays(group["fp"]), group["guest"].to_numpy(bool)
-        a, b = own.links(np.flatnonzero(~guest), np.flatnonzero(guest), int(group["tree"].iloc[0]))
-        fp = group["fp"].to_numpy()
-        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+        guest, node = group["guest"].to_numpy(bool), group["node"].to_numpy(np.int64)
+        a, b = arrays(group["body"], rule).links(np.flatnonzero(~guest), np.flatnonzero(guest), int(group["tree"].iloc[0]))
+        return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    routed = prints.select("fp").mapInPandas(visits, "tree int, shard int, guest boolean, fp binary")
-    return routed.groupBy("tree", "shard").applyInPandas(joined, "a binary, b binary")
+    routed = prints.select("node", "body").mapInPandas(visits, "tree int, shard int, guest boolean, node long, body binary")
+    return routed.groupBy("tree", "shard").applyInPandas(joined, "a long, b long")
 
 
 def classes(rows: DataFrame, key: str, rule: Rule) -> DataFrame:
-    """(fp, root, keeper, component_id) for every distinct print of rows(key, fp).
+    """(node, low, root, component_id) for every distinct print of rows(key, node, body).
 
-    root: equal for linked prints. component_id: the smallest non-null key of the component, null if it has
-    none. keeper: the print of a row with that key.
+    low: the smallest non-null key of the print's rows; root: equal for linked prints; component_id: the
+    smallest low of the component, null if it has none. Nodes are numbers, so that all of it aggregates in place.
     """
-    prints = common.written(rows.groupBy("fp").agg(F.min(key).alias("low")), "prints")
+    prints = common.written(rows.groupBy("node", "body").agg(F.min(key).alias("low")), "prints")
     roots = graph.components(link_edges(prints, rule))
-    placed = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = F.struct(F.col("low").isNull(), "low", "fp")
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.min_by("fp", first).alias("keeper"))
-    return placed.select("fp", "root").join(lowest, "root")
+    placed = prints.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return placed.join(lowest, "root")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = EXACT_BITS) -> DataFrame:
-    """(key, fp, component_id) of every row of df: its shingle fingerprint, and its component under the rule."""
-    rows = common.written(df.select(F.col(key), fingerprint_of(F.col(text)).alias("fp")), "fingerprints")
-    return rows.join(classes(rows, key, rule).select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    """(key, node, component_id) of every row of df: its shingle fingerprint as a signed number, and its component."""
+    rows = df.select(F.col(key), fingerprint_of(F.col(text)).alias("body"))
+    # The fingerprint itself is the node: two's complement from its hex digits, in two halves.
+    half = lambda at: F.conv(F.substring(F.hex("body"), at, 8), 16, 10).cast("long")
+    rows = common.written(rows.withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9))), "fingerprints")
+    return rows.select(key, "node").join(classes(rows, key, rule).select("node", "component_id"), "node").select(key, "node", "component_id")
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = COPIES) -> DataFrame:
     """One row of each component of near copies, whole: that with the smallest key.
 
     Of repeated rows one stays; of a component whose keys are all null, one row stays. Extra columns are kept.
+    A print's node is a 64-bit hash of its 320 bits.
     """
-    marked = df.withColumn("__fp", copy_print_of(F.col(text)))
-    rows = common.written(marked.select(F.col(key).alias("__key"), F.col("__fp").alias("fp")), "prints")
-    keep = classes(rows, "__key", rule).where("fp = keeper").select(F.col("fp").alias("__fp"), F.col("component_id").alias("__low"))
-    kept = marked.join(keep, "__fp").where(F.col(key).eqNullSafe(F.col("__low")))
-    return kept.dropDuplicates(["__fp"]).select(*df.columns)
+    marked = df.withColumn("__body", copy_print_of(F.col(text))).withColumn("__node", F.xxhash64("__body"))
+    rows = common.written(marked.select(F.col(key).alias("__key"), F.col("__node").alias("node"), F.col("__body").alias("body")), "prints")
+    able = classes(rows, "__key", rule).where("low <=> component_id")
+    keep = able.groupBy("root").agg(F.min("node").alias("__node"), F.min("component_id").alias("__low")).drop("root")
+    kept = marked.join(keep, "__node").where(F.col(key).eqNullSafe(F.col("__low")))
+    return kept.dropDuplicates(["__node"]).select(*df.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,4 +373,4 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
