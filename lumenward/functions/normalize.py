@@ -26,7 +26,8 @@ ENTITIES = {
     "rbrace": "}", "vert": "|", "ast": "*", "plus": "+", "comma": ",", "period": ".", "quest": "?", "excl": "!", "tilde": "~", "lowbar": "_",
 }
 UNPRINTABLE = r"[\x00-\x1f\x7f-\x9f\xa0\x{2028}\x{2029}]"
-BASE64 = "[A-Za-z0-9+/]{20,}={0,2}"
+#: Whole runs only: the look behind spares a try at every letter of every word.
+BASE64 = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+={0,2}"
 DECODE_PASSES = 3
 ENRICH_MAX = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,7 +47,8 @@ def rewrite(text: Column, pattern: str, to: Callable[[Column], Column]) -> Colum
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10ffff}]"))
+    beyond = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10ffff}]"))
+    return F.length(text) + F.when(F.octet_length(text) == F.length(text), 0).otherwise(beyond)
 
 
 def strip_invisible(text: Column) -> Column:
@@ -136,8 +138,8 @@ def join_padded(text: Column) -> Column:
 
     Spaces join within the parts between wider gaps; each wider gap becomes one space.
     """
-    b = dialect.BOUNDARY
-    dotted = rewrite(text, rf"{b}[a-zA-Z][.\-_][a-zA-Z](?:[.\-_][a-zA-Z])+{b}", lambda m: F.regexp_replace(m, r"[.\-_]", ""))
+    padded = r"(?<![A-Za-z0-9_])[a-zA-Z][.\-_][a-zA-Z](?:[.\-_][a-zA-Z])+(?![A-Za-z0-9_])"
+    dotted = F.when(F.rlike(text, F.lit(r"[.\-_][a-zA-Z][.\-_]")), rewrite(text, padded, lambda m: F.regexp_replace(m, r"[.\-_]", ""))).otherwise(text)
     spaced = r"(?<![A-Za-z0-9_])(?:[a-zA-Z] ){2,}[a-zA-Z](?![A-Za-z0-9_])"
     parts = F.split(dotted, rf"[{dialect.WHITE}]{{2,}}", -1)
     return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(spaced)), rewrite(p, spaced, lambda m: F.replace(m, F.lit(" "), F.lit("")))).otherwise(p)), " ")
@@ -150,7 +152,7 @@ def enrich_rot13(text: Column) -> Column:
 
 def enrich_shape(text: Column) -> Column:
     """Append the reading of a leading l as i, if it differs."""
-    shape = F.regexp_replace(text, dialect.BOUNDARY + "l(?=[a-z])", "i")
+    shape = F.regexp_replace(text, dialect.BEFORE_WORD + "l(?=[a-z])", "i")
     return F.when(shape != text, F.concat_ws(" ", text, shape)).otherwise(text)
 
 

@@ -79,8 +79,9 @@ def channel_filter_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = None
     for name, key, text, channel in _ANY:
         canary = seeds.picked(F.col(key), list(seeds.CANARIES.values()))
-        part = table(spark, sf_dir, name).select(F.lit(channel).alias("channel"), F.concat(F.col(text), F.lit("\n"), canary).alias("text"))
+        part = texts.spread(table(spark, sf_dir, name).select(key, text)).select(F.lit(channel).alias("channel"), F.concat(F.col(text), F.lit("\n"), canary).alias("text"))
         parts = part if parts is None else parts.unionByName(part)
+    parts = parts.withColumn("lower", S.once(F.lower("text")))
     hits = [F.when(S.listens(r, F.col("channel")) & _matches(r), F.lit(r.id)) for r in RAW]
     return parts.select("channel", F.explode(F.array_compact(F.array(*hits))).alias("rule_id")).groupBy("channel", "rule_id").agg(F.count(F.lit(1)).alias("texts"))
 
@@ -88,7 +89,7 @@ def channel_filter_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matches(rule: R.Rule) -> Column:
     out = F.lit(False)
     for e in rule.regex:
-        out = out | F.rlike("text", F.lit(e.java))
+        out = out | (predicates.possible(e, F.col("lower")) & F.rlike("text", F.lit(e.java)))
     return out
 
 
@@ -188,7 +189,7 @@ def keyword_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pick = lambda xs: seeds.picked(F.col("doc_id"), xs)
     return docs.select("doc_id", pick(seeds.ENCODED_NAMES).alias("kind_of"), F.concat("text", F.lit("\n"), pick(list(seeds.ENCODED.values()))).alias("text"))
 
@@ -256,7 +257,7 @@ def norm_html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words count together only if one window has both."""
     (regex,) = next(r for r in catalog.CATALOG if r.id == "CAR-009").regex
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("webhook "), "text", F.lit(" credentials")).alias("text"))
+    docs = texts.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit("webhook "), "text", F.lit(" credentials")).alias("text"))
     docs = docs.withColumn("v", predicates.windows(F.col("text")))
     return docs.select("doc_id", predicates.hit(regex, F.col("text"), F.col("v")).isNotNull().alias("hit"), F.size("v").cast("long").alias("windows"))
 
@@ -272,7 +273,7 @@ def guarded_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     (regex,) = next(r for r in catalog.CATALOG if r.id == "CAR-010").regex
     guard = F.when(F.col("doc_id") % 3 == 0, "a security advisory ").otherwise("")
     tail = F.when(F.col("doc_id") % 2 == 0, " upload").otherwise("")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(guard, F.lit("password "), "text", tail).alias("text"))
+    docs = texts.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(guard, F.lit("password "), "text", tail).alias("text"))
     return docs.select("doc_id", predicates.hit(regex, F.col("text")).isNotNull().alias("hit"))
 
 
