@@ -57,7 +57,7 @@ def strip_invisible(text: Column) -> Column:
 
 def nfkc(text: str) -> Column:
     """Unicode NFKC of the string column of this name, by the ICU library that Spark ships; ASCII texts skip it."""
-    return F.expr(f"case when octet_length(`{text}`) = char_length(`{text}`) then `{text}` else reflect('com.ibm.icu.text.Normalizer', 'compose', `{text}`, true) end")
+    return F.expr(f"case when `{text}` is null or octet_length(`{text}`) = char_length(`{text}`) then `{text}` else reflect('com.ibm.icu.text.Normalizer', 'compose', `{text}`, true) end")
 
 
 def replace_look_alikes(text: Column) -> Column:

@@ -108,7 +108,7 @@ def invalid(spark: SparkSession, patterns: Sequence[str]) -> list[str | None]:
 
     def why(pattern: str) -> str | None:
         try:
-            spark.range(1).select(F.lit("x").rlike(F.lit(pattern))).collect()
+            spark.range(1).select(F.lit("x").rlike(pattern)).collect()
         except PySparkException as e:
             return str(e).splitlines()[0][:200]
         return None
