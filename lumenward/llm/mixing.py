@@ -32,7 +32,7 @@ BUDGET_PERCENT = 125
 MAX_EPOCHS = 2
 SEED = 17
 #: Documents of a leaf that one task puts in order, about.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 4_000
 #: Leaves (or leaf buckets) that may be broadcast; about 100 bytes each.
 BROADCAST_ROWS = 100_000
 
