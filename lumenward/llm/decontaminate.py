@@ -3,7 +3,8 @@
 A fixed mask over a window of words keeps some positions and ignores the others, so a substituted word at an
 ignored position leaves the window's hash as it was. Hashes of benchmark and document windows are joined; every
 hit names a diagonal (how far the item is shifted against the document), and around it the two texts are
-compared word by word. A leak is a stretch of the diagonal with at least four in five words equal.
+compared word by word. A leak is a stretch of the diagonal with at least four in five words equal: the one with
+most to gain, or all of the overlap if that is good enough.
 """
 
 from __future__ import annotations
@@ -133,6 +134,8 @@ class Seeds:
             stop = int(gain.argmax())
             start = int(run[: stop + 1].argmin())
             n = int(equal[start:stop].sum())
+            if n < equal.sum() >= SHARE * len(equal):  # substitutions near the ends cost more than they stand for
+                start, stop, n = 0, len(equal), int(equal.sum())
             need = min(MIN_EQUAL, int(np.ceil(SHARE * len(own))))
             if n >= need and n > best[t].get(i, {}).get("n_equal", 0):
                 best[t][i] = {"item_id": self.ids[i], "n_equal": n, "item_words": len(own), "start": int(place[a + start]), "stop": int(place[a + stop - 1]) + 1}

@@ -195,12 +195,12 @@ def _date(text: str, key: bytes, undo: bool) -> str | None:
 _MAKERS: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "card": _card, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip}
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _NUMBERS = {
-    "iban": re.compile(r"(?<![\w-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"),
-    "card": re.compile(r"(?<![\w.+-])[2-6][0-9]{3}(?:[ -]?[0-9]{3,6}){2,4}(?![\w-]|\.[0-9])"),
+    "iban": re.compile(r"(?<![\w/-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"),
+    "card": re.compile(r"(?<![\w.+/-])[2-6][0-9]{3}(?:[ -]?[0-9]{3,6}){2,4}(?![\w/-]|\.[0-9])"),
     "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])"),
-    "ssn": re.compile(r"(?<![\w.-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![\w-]|\.[0-9])"),
-    "phone": re.compile(r"(?<![\w.+-])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]|\.[0-9])"),
-    "ip": re.compile(r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])"),
+    "ssn": re.compile(r"(?<![\w./-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![\w/-]|\.[0-9])"),
+    "phone": re.compile(r"(?<![\w.+/-])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w/-]|\.[0-9])|(?<![\w.+/-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w/-]|\.[0-9])"),
+    "ip": re.compile(r"(?<![\w./-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w/-]|\.[0-9])"),
 }
 #: Where a number can be: from a digit on, all characters that any pattern above may use.
 _REGION = re.compile(r"[0-9][0-9A-Z ()./+-]{6,}")

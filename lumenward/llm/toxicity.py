@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 #: A sentence of a predicted document is reported from this probability on; the worst one always.
 SENTENCE_THRESHOLD = 0.2
 FEATURES = 1 << 18
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (3, 4, 5, 6)
 #: Features that fewer chunks of training documents have get no weight.
 MIN_DOCUMENTS = 3
 ROUNDS = 200
@@ -78,7 +78,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.weight, self.stop = np.zeros(0), np.zeros(0, bool)
+        self.weight, self.stop, self.word = np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, chunks: list[list[str]]) -> None:
         if len(self.numbers) > CACHE_CHUNKS:
@@ -91,9 +91,10 @@ class Scorer:
             at = np.repeat(np.arange(len(new)), [len(x) for x in own])
             self.weight = np.concatenate((self.weight, np.bincount(at, weights=flat, minlength=len(new))))
             self.stop = np.concatenate((self.stop, np.fromiter(map(ends, new), bool, len(new))))
+            self.word = np.concatenate((self.word, np.fromiter(map(bool, own), bool, len(new))))
 
     def sentences(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability, document number and first chunk (over all documents) of each sentence."""
+        """Probability (0 without a word), document number and first chunk (over all documents) of each sentence."""
         self._learn(chunks)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
@@ -106,7 +107,8 @@ class Scorer:
         sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(numbers))))
         self.once = np.unique((sentence << 32) | numbers)
         logit = np.bincount(self.once >> 32, weights=self.weight[self.once & 0xFFFFFFFF], minlength=len(first)) + self.model.bias
-        return 1 / (1 + np.exp(-np.clip(logit, -500, 500))), np.repeat(np.arange(len(sizes)), sizes)[first], first
+        worded = np.bincount(self.once >> 32, weights=self.word[self.once & 0xFFFFFFFF], minlength=len(first)) > 0
+        return np.where(worded, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0), np.repeat(np.arange(len(sizes)), sizes)[first], first
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The noisy-or of each text's sentences; 0 without any."""
@@ -116,7 +118,7 @@ class Scorer:
     def _scores(self, texts: list[str]) -> np.ndarray:
         chunks = [chunks_of(t) for t in texts]
         p, document, _ = self.sentences(chunks)
-        return -np.expm1(np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts)))
+        return 0.0 - np.expm1(np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts)))
 
     def offending(self, text: str) -> list[tuple[int, int, float]]:
         """(start, stop, probability) in characters of the sentences that the score is due to."""
