@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenward import catalog
 from lumenward import rules as R
 from lumenward.functions import normalize, predicates
-from lumenward.operators import policy
+from lumenward.operators import policy, review
 from lumenward.operators import scan as S
 from lumenward.plans import oracle as O
 from lumenward.plans import seeds
@@ -129,7 +129,13 @@ def regex_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).where(F.col("id").isin("CAR-002", "CAR-005", "CAR-006", "CAR-007")).select("doc_id", F.col("id").alias("rule_id"), "matched_text")
 
 
-@query()
+_LATE = "('" + "', '".join(("base64", "layered")) + "')"
+
+
+@query(
+    f"with e as (select doc_id, {seeds.picked_sql('doc_id', seeds.ENCODED_NAMES)} as canary, length(text) + 1 + length({seeds.picked_sql('doc_id', list(seeds.ENCODED.values()))}) as n from documents) "
+    f"select doc_id, canary, 'CAR-001' as rule_id, 'critical' as severity, 'ignore all previous instructions' as matched_text from e where canary in {_LATE} and n <= {predicates.CORROBORATE_MAX}"
+)
 def corroborated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that a keyword made candidates and the normalised text confirmed, over encoded canaries."""
     docs = _encoded(spark, sf_dir).withColumn("channel", F.lit("file"))
@@ -315,6 +321,23 @@ def tier_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tier", "severity", "note_only").agg(F.count(F.lit(1)).alias("findings"))
 
 
+_TALK_SQL = (
+    f"with {seeds.MESSAGES_SQL}, few as (select conv_id, turn, 'file' as channel, text from talk qualify row_number() over (partition by conv_id order by turn) <= {texts.MAX_FILES}), {O.hits(RAW, 'few', 'conv_id, turn')}, {O.kept('conv_id, turn')}, "
+    f"corr as (select conv_id, turn, category from kept where {_ABLE} group by all having count(distinct id) >= 2 and count(distinct matched) >= 2), "
+    "n as (select conv_id, count(*) filter (tier <> 'S') as notes, count(*) filter (tier = 'S') as hits from kept group by 1), r as (select conv_id, count(distinct turn) as to_review from corr group by 1), "
+    "j as (select conv_id, count(*) as files_scanned, coalesce(any_value(notes), 0) as notes, coalesce(any_value(hits), 0) as hits, coalesce(any_value(to_review), 0) as to_review from few left join n using (conv_id) left join r using (conv_id) group by 1) "
+    "select *, case when hits > 0 then 'known_attack' when to_review > 0 then 'review_before_agent_ingestion' when notes > 0 then 'clean_notes' else 'clean' end as overall from j"
+)
+
+
+@query(_TALK_SQL)
+def repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from files to verdict, with conversations as collections and turns as files."""
+    size = lambda c: F.size(c).cast("long")
+    done = review.review(seeds.messages(spark, sf_dir), RAW, "conv_id", "turn", "turn")
+    return done.select("conv_id", "files_scanned", size("notes").alias("notes"), size("signature_hits").alias("hits"), size("review").alias("to_review"), "overall")
+
+
 # Addresses, limits, requests, streams
 
 _FORMS = ["https://github.com/Own{}/repo.git", "https://www.github.com/own{}/repo", "https://github.com/own{}/repo/blob/main/docs/a.md", "https://raw.githubusercontent.com/own{}/repo/main/x/y.md", "http://github.com/own{}/repo", "https://github.com/own{}", "https://github.com/own{}/repo/tree/main", "https://github.com/-own{}/repo", "https://example.com/own{}/repo", "nonsense {}", "https://raw.githubusercontent.com/own{}/repo/main", "https://github.com/own{}/repo/blob/main"]
@@ -397,4 +420,4 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON requests in, JSON responses out, over all conversations."""
     bodies = seeds.messages(spark, sf_dir).select(F.to_json(F.struct("text", F.lit("nowhere").alias("channel"))).alias("body"))
     done = streams.scan_requests(bodies, catalog.CATALOG)
-    return texts.as_json(done.select("channel", "reject_reason", "decision", policy.shown(F.col("findings")).alias("findings")))
+    return texts.as_json(done.select("channel", "reject_reason", "decision", "verdict_meaning", policy.shown(F.col("findings")).alias("findings")))

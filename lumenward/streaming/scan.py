@@ -11,18 +11,20 @@ from lumenward.operators.scan import scan
 from lumenward.rules import Rule
 from lumenward.sources import texts
 
+#: What a response says beside any decision but allow.
+MEANING = "The text contains signals that known attacks on automated readers use. This is a fact about the text and no judgement of its authors: documentation of attacks contains them too."
 LIMIT, PERIOD = 30, "60 seconds"
 
 
 def scan_requests(bodies: DataFrame, rules: Sequence[Rule], body: str = "body") -> DataFrame:
-    """JSON requests, batch or stream, with findings and decision; refused ones have neither.
+    """JSON requests, batch or stream, with findings, decision and its meaning; refused ones have none of them.
 
     The scan is row-local, so a stream needs no state and no watermark.
     """
     checked = texts.requests(bodies, body)
     scanned = scan(checked.withColumn("__text_in", F.when(F.col("reject_reason").isNull(), F.col("text"))), rules, "__text_in")
     fine = F.col("reject_reason").isNull()
-    return scanned.drop("__text_in").withColumn("findings", F.when(fine, F.col("findings"))).withColumn("decision", F.when(fine, F.col("decision")))
+    return scanned.drop("__text_in").withColumn("findings", F.when(fine, F.col("findings"))).withColumn("decision", F.when(fine, F.col("decision"))).withColumn("verdict_meaning", F.when(F.col("decision") != "allow", MEANING))
 
 
 def rate_windows(events: DataFrame, key: str, time: str, limit: int = LIMIT, period: str = PERIOD, watermark: str | None = None) -> DataFrame:
