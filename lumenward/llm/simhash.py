@@ -56,7 +56,7 @@ EXACT_BITS = Rule(distance=3, blocks=2)
 COPIES = Rule(distance=11, blocks=4, confirm=48)
 CONFIRM_WORDS = 5
 CONFIRM_LANES = 4
-#: Prints that the top levels are fitted on.
+#: Prints that the top levels are fitted on, about.
 SAMPLE_ROWS = 20_000
 #: Distinct prints of one shard, about.
 SHARD_ROWS = 32_768
@@ -304,7 +304,7 @@ def link_edges(prints: DataFrame, rule: Rule) -> DataFrame:
     spark = prints.sparkSession
     rows = prints.count()
     depth = max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS))))
-    sample = np.array([int.from_bytes(r.body[:8], "big") for r in prints.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).collect()], dtype=np.uint64)
+    sample = np.array([int.from_bytes(r.body[:8], "big") for r in common.sampled(prints, "node", rows, SAMPLE_ROWS).collect()], dtype=np.uint64)
     trees = spark.sparkContext.broadcast([Tree(block_of(sample, k, rule.width), depth, rule.radius) for k in range(rule.blocks)])
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
