@@ -4,7 +4,9 @@ A document is a bag of sentences. A sentence's probability is logistic in the we
 the noisy-or of its sentences: 1 - prod(1 - p). Only the noisy-or meets a label in training, so the model has to
 find out which sentences a label is about, and can then point at them. A word's weight is the sum over its
 hashed features (the word and its prefixes), so that inflected forms unseen in training share weights. Words
-only add evidence: weights are never negative, the bias is, and a word counts once in a sentence.
+only add evidence: weights are never negative, the bias is, and a word counts once in a sentence. A sentence's
+probability is measured from that of one without evidence, which has none: else every very long document would be
+toxic by its length. In training a small leak stands for labels that no sentence explains.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenward.llm import common
 
-#: Labelled documents the classifier is fitted on, at most so many of either class.
+#: Labelled documents the classifier is fitted on, about so many of either class at most.
 TRAIN_ROWS_PER_CLASS = 2000
 #: Labelled texts beyond so many characters are not trained on (they are scored like all others).
 TRAIN_TEXT_CHARS = 20_000
@@ -35,8 +37,9 @@ PREFIXES = (3, 4, 5, 6)
 MIN_DOCUMENTS = 3
 ROUNDS = 200
 RATE = 0.1
-DECAY = 1e-5
+DECAY = 1e-4
 START_BIAS = -6.0
+LEAK = 0.03
 CACHE_CHUNKS = 150_000
 _EDGE = "\x00.,;:!?\"'()[]{}<>*_`«»“”‘’¿¡…-"
 _CHUNKS = re.compile(r"\S+\n?|\n")
@@ -63,10 +66,11 @@ def ends(chunk: str) -> bool:
 
 @dataclass
 class Model:
-    """Feature weights and the bias of a sentence."""
+    """Feature weights, the bias of a sentence, and what a document has without any evidence."""
 
     weights: np.ndarray
     bias: float
+    base: float = 0.0
 
 
 class Scorer:
@@ -78,7 +82,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.weight, self.stop, self.word = np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
+        self.weight, self.stop = np.zeros(0), np.zeros(0, bool)
 
     def _learn(self, chunks: list[list[str]]) -> None:
         if len(self.numbers) > CACHE_CHUNKS:
@@ -91,10 +95,9 @@ class Scorer:
             at = np.repeat(np.arange(len(new)), [len(x) for x in own])
             self.weight = np.concatenate((self.weight, np.bincount(at, weights=flat, minlength=len(new))))
             self.stop = np.concatenate((self.stop, np.fromiter(map(ends, new), bool, len(new))))
-            self.word = np.concatenate((self.word, np.fromiter(map(bool, own), bool, len(new))))
 
     def sentences(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability (0 without a word), document number and first chunk (over all documents) of each sentence."""
+        """Probability (0 without evidence), document number and first chunk (over all documents) of each sentence."""
         self._learn(chunks)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
@@ -107,8 +110,9 @@ class Scorer:
         sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(numbers))))
         self.once = np.unique((sentence << 32) | numbers)
         logit = np.bincount(self.once >> 32, weights=self.weight[self.once & 0xFFFFFFFF], minlength=len(first)) + self.model.bias
-        worded = np.bincount(self.once >> 32, weights=self.word[self.once & 0xFFFFFFFF], minlength=len(first)) > 0
-        return np.where(worded, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0), np.repeat(np.arange(len(sizes)), sizes)[first], first
+        calm = 1 / (1 + np.exp(-self.model.bias))
+        p = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - calm) / (1 - calm)
+        return np.clip(p, 0, 1), np.repeat(np.arange(len(sizes)), sizes)[first], first
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The noisy-or of each text's sentences; 0 without any."""
@@ -118,7 +122,8 @@ class Scorer:
     def _scores(self, texts: list[str]) -> np.ndarray:
         chunks = [chunks_of(t) for t in texts]
         p, document, _ = self.sentences(chunks)
-        return 0.0 - np.expm1(np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts)))
+        none = np.exp(np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts)))
+        return 1 - (1 - self.model.base) * none
 
     def offending(self, text: str) -> list[tuple[int, int, float]]:
         """(start, stop, probability) in characters of the sentences that the score is due to."""
@@ -132,10 +137,10 @@ class Scorer:
 
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Weights by Adam on the noisy-or likelihood of whole bags. Without both classes: the bias alone."""
+    """Weights by Adam on the noisy-or likelihood of whole bags. Without both classes: that class for all."""
     start = Model(np.zeros(FEATURES, np.float32), START_BIAS)
     if not toxic.any() or toxic.all():
-        return Model(start.weights, -30.0 if not toxic.any() else 0.0)
+        return Model(start.weights, START_BIAS, float(toxic.any()))
     scorer = Scorer(start)
     bags = [chunks_of(t) for t in texts]
     p, bag, first = scorer.sentences(bags)
@@ -155,11 +160,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     for t in range(1, ROUNDS + 1):
         word = np.bincount(holder, weights=w[feature], minlength=len(own))
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, weights=word[numbers], minlength=len(first)) + bias, -30, 30)))
-        none = np.exp(np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))[bag]
-        g = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0) * p * scale
+        calm = 1 / (1 + np.exp(-bias))
+        silent = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-calm), minlength=len(texts))
+        none = ((1 - LEAK) * np.exp(silent))[bag]
+        pull = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0) * scale
+        g = pull * p
         by_word = np.bincount(numbers, weights=g[sentence], minlength=len(own))
         grad = np.bincount(feature, weights=by_word[holder], minlength=len(used)) + DECAY * w
-        grad_b = g.sum()
+        grad_b = (pull * (p - calm)).sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b**2
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -178,7 +186,7 @@ def held_out(key: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
-    Up to TRAIN_ROWS_PER_CLASS rows of each class, chosen by a hash of the key; weights restore the classes'
+    About TRAIN_ROWS_PER_CLASS rows of each class at most, chosen by a hash of the key; weights restore the classes'
     true shares. Several labels of one key: toxic if any says so. Null labels and keys are left out.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
@@ -186,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in sorted(share):
-        part = known.where(F.col("__y") == y).orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_ROWS_PER_CLASS)
+        part = common.sampled(known.where(F.col("__y") == y), "__key", share[y], TRAIN_ROWS_PER_CLASS)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return fit([], np.zeros(0, bool), np.zeros(0))
@@ -233,7 +241,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and offending sentences of all documents.
 
     Null, empty and white-space texts: score 0, predicted 0. Repeated rows: a row each, equal scores. Null ids:
-    scored, never trained on. No labels, or labels of one class: the bias alone decides. Empty table: no rows.
+    scored, never trained on. No labels: score 0; labels of one class: that class for
+    all. Empty table: no rows.
     Other columns of documents are not read.
     """
     common.arrow_batches(spark)
