@@ -154,23 +154,23 @@ def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     row keeps its first words, joined by single spaces.
     """
     chosen = mix(counted(docs, key), key)
-    like = ["__key", "__lang", "__source", "n_tokens"]
-    numbered = Window.partitionBy(*like).orderBy(F.col("taken_tokens").desc())
-    chosen = chosen.select(F.col(key).alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), "n_tokens", "epochs", "prefix_tokens", "taken_tokens")
-    chosen = chosen.withColumn("__i", F.row_number().over(numbered)).where("taken_tokens > 0")
+    like = ["k", "l", "s", "n"]
+    chosen = chosen.select(F.col(key).alias("k"), F.col("lang").alias("l"), F.col("source").alias("s"), F.col("n_tokens").alias("n"), "epochs", "prefix_tokens", "taken_tokens")
+    chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy(F.col("taken_tokens").desc()))).where("taken_tokens > 0")
     word = F.regexp_count(common.text_of("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    own = docs.withColumns({"__key": F.col(key), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "n_tokens": word})
-    own = own.withColumn("__i", F.row_number().over(Window.partitionBy(*like).orderBy(F.xxhash64("text"))))
-    same = own["__key"].eqNullSafe(chosen["__key"])
-    for c in ("__lang", "__source", "n_tokens", "__i"):
+    # The row travels as one value, so that no column of its own can clash with these.
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), word.alias("n"), F.xxhash64("text").alias("h"))
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy("h")))
+    same = own["k"].eqNullSafe(chosen["k"])
+    for c in ("l", "s", "n", "i"):
         same = same & (own[c] == chosen[c])
-    joined = own.join(chosen, same).select(own["*"], chosen["epochs"], chosen["prefix_tokens"])
+    joined = own.join(chosen, same).select(own["row"], own["n"], chosen["epochs"], chosen["prefix_tokens"])
     copies = F.sequence(F.lit(1), F.col("epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0))
-    rows = joined.withColumn("__copy", F.explode(copies))
-    cut = (F.col("__copy") > F.col("epochs")) & (F.col("prefix_tokens") < F.col("n_tokens"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("prefix_tokens").cast("int")), " ")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = joined.withColumn("copy", F.explode(copies))
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("prefix_tokens") < F.col("n"))
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("prefix_tokens").cast("int")), " ")).otherwise(F.col("row.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,13 +90,14 @@ def test_odd_tables(spark, odd_dir):
 
 
 def test_mixture(spark, odd):
-    docs = odd.unionByName(odd.where("doc_id = 1"))
+    docs = odd.unionByName(odd.where("doc_id = 1")).selectExpr("*", "'own' as n_tokens", "'own' as epochs", "'own' as k", "'own' as row", "'own' as copy")
     chosen = mixing.mix(mixing.counted(docs)).collect()
     rows = mixing.mixed(docs)
     assert rows.columns == docs.columns
     texts = rows.collect()
     assert len(texts) == sum(r.epochs + (r.prefix_tokens > 0) for r in chosen)
     assert sum(len(common.words_of(r.text)) for r in texts) == sum(r.taken_tokens for r in chosen)
+    assert {(r.n_tokens, r.epochs, r.k, r.row, r["copy"], r["__key"], r.hash) for r in texts} == {("own",) * 5 + (1, 2)}
     assert mixing.mixed(docs.limit(0)).collect() == []
 
 
