@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenward.llm import common
 
-#: A round at least halves the nodes of every component that still has an edge.
+#: Rounds before giving up. Local minima are at most half of a path, and a star is done in two rounds.
 MAX_ROUNDS = 64
 
 
