@@ -138,7 +138,7 @@ def _phone(text: str, key: bytes, undo: bool) -> str | None:
     """
     d = re.sub(r"\D", "", text)
     home = d[1:] if len(d) == 11 and d[0] == "1" else d
-    if len(home) == 10 and (not text.startswith("+") or d[0] == "1"):
+    if len(home) == 10 and (len(d) == 11 or not text.startswith("+")):
         if home[0] in "01" or home[3] in "01":
             if text[0] not in "+(":
                 return None
