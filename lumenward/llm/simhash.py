@@ -8,10 +8,8 @@ inequality two blocks at most r bits apart have distances to p that differ by at
 fingerprints at distance m + r or less can have a partner inside: those also visit the inside. Every candidate
 pair is compared on all 64 bits, so the links are exact; the sample decides the balance of the shards alone.
 
-Two rules come with it. EXACT_BITS links equal shingle fingerprints up to three bits: two blocks of 32 bits. COPIES
-is for removing near copies, texts whose five-word shingles have a similarity of 0.8 or more: a fingerprint of
-the distinct words finds candidates (an edit changes one word, but five shingles), and 256 further bits from
-five-word shingles confirm them, at a distance that the similarity stands for.
+EXACT_BITS links equal shingle fingerprints up to three bits: two blocks of 32 bits. Near copies for removal are
+found without fingerprints, by copies.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenward.llm import common, graph
+from lumenward.llm import common, copies, graph
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -51,11 +49,6 @@ class Rule:
 
 
 EXACT_BITS = Rule(distance=3, blocks=2)
-#: 256 bits differ in 39 places on average at a similarity of 0.8 (cosine 0.89); measured on near copies, 48 is the
-#: 95th percentile there.
-COPIES = Rule(distance=11, blocks=4, confirm=48)
-CONFIRM_WORDS = 5
-CONFIRM_LANES = 4
 #: Prints that the top levels are fitted on, about.
 SAMPLE_ROWS = 20_000
 #: Distinct prints of one shard, about.
@@ -97,22 +90,6 @@ def fingerprint(text: str | None) -> int:
     return majority(shingle_hashes(words, SHINGLE_WORDS)) if words else 0
 
 
-def copy_print(text: str | None) -> bytes:
-    """The 64 bits of a text's distinct words, then CONFIRM_LANES times 64 of its five-word shingles; zeros without words."""
-    words = common.words_of(text)
-    if not words:
-        return bytes(8 + 8 * CONFIRM_LANES)
-    distinct = set(words)
-    out = [majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)))]
-    hashes = shingle_hashes(words, CONFIRM_WORDS)
-    for lane in range(1, CONFIRM_LANES + 1):
-        with np.errstate(over="ignore"):
-            own = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            own = (own ^ (own >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(own ^ (own >> np.uint64(32))))
-    return b"".join(x.to_bytes(8, "big") for x in out)
-
-
 def fingerprint_of(text: Column) -> Column:
     """The shingle fingerprint as 8 bytes, highest first; null texts count as empty."""
 
@@ -124,17 +101,6 @@ def fingerprint_of(text: Column) -> Column:
     return compute(common.text_of(text))
 
 
-def copy_print_of(text: Column) -> Column:
-    """copy_print() as a binary column; null texts count as empty."""
-
-    @F.pandas_udf("binary")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([copy_print(t) for t in texts], dtype=object)
-
-    return compute(common.text_of(text))
-
-
 def block_of(bits: np.ndarray, k: int, width: int) -> np.ndarray:
     """The k-th block of fingerprints."""
     return ((bits >> np.uint64(k * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
@@ -349,18 +315,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     return rows.select(key, "node").join(classes(rows, key, rule).select("node", "component_id"), "node").select(key, "node", "component_id")
 
 
-def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = COPIES) -> DataFrame:
-    """One row of each component of near copies, whole: that with the smallest key.
-
-    Of repeated rows one stays; of a component whose keys are all null, one row stays. Extra columns are kept.
-    A print's node is a 64-bit hash of its 320 bits.
-    """
-    marked = df.withColumn("__body", copy_print_of(F.col(text))).withColumn("__node", F.xxhash64("__body"))
-    rows = common.written(marked.select(F.col(key).alias("__key"), F.col("__node").alias("node"), F.col("__body").alias("body")), "prints")
-    able = classes(rows, "__key", rule).where("low <=> component_id")
-    keep = able.groupBy("root").agg(F.min("node").alias("__node"), F.min("component_id").alias("__low")).drop("root")
-    kept = marked.join(keep, "__node").where(F.col(key).eqNullSafe(F.col("__low")))
-    return kept.dropDuplicates(["__node"]).select(*df.columns)
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of near copies by the exact similarity of their five-word shingles; see copies."""
+    return copies.without_near_copies(df, key, text)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
