@@ -33,6 +33,8 @@ FREQUENT = 50_000
 BUCKET_ROWS = 200_000
 #: So many texts of a dense cluster serve as the one that others are compared with.
 HUBS = 8
+#: Texts to confirm whose numbers may be broadcast; 16 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: Pairs held before repeated ones are dropped.
 HELD = 1 << 20
 
@@ -96,7 +98,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
 
 
 def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, k, t, node, n, first) of docs: the whole row, its key and text, the set's 64-bit hash, size and firsts()."""
+    """(row, k, id, node, n, first) of docs: the whole row, its key and number, the set's 64-bit hash, size and firsts()."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, key, text))
 
     @F.pandas_udf("struct<node:long,n:int,first:array<long>>")
@@ -107,7 +109,7 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], dtype=np.int32), "first": [firsts(s, *known.value).view(np.int64) for s in sets]})
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), compute(common.text_of(F.col(text))).alias("m"))
-    return common.written(rows.select("row", "k", F.col("row").getField(text).alias("t"), "m.node", "m.n", "m.first"), "marked")
+    return common.written(rows.select("row", "k", F.monotonically_increasing_id().alias("id"), "m.node", "m.n", "m.first"), "marked")
 
 
 def runs(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +157,7 @@ def open_pairs(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike, written."""
 
     @F.pandas_udf("binary")
@@ -169,26 +171,28 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     pairs = common.written(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = rows.select("node", "t").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    ends = common.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(prints, "node").select("node", "id"), "ends")
+    # Texts are not dealt out for it unless their numbers are too many to broadcast.
+    small = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    texts = rows.select("id", F.col("row").getField(text).alias("t")).join(small, "id")
     sets = common.written(texts.select("node", whole(common.text_of("t")).alias("s")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return common.written(both.where(linked("sa", "sb")).select("a", "b"), "links")
 
 
-def links(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): edges between nodes that connect all pairs of prints (node, n, first) that are alike."""
-    total = prints.agg(F.sum(F.size("first"))).first()[0] or 0
+def links(rows: DataFrame, prints: DataFrame, text: str) -> DataFrame:
+    """(a, b): edges between nodes that connect all pairs of prints (node, id) that are alike."""
+    total = rows.agg(F.sum(F.size("first"))).first()[0] or 0
     buckets = F.lit(max(1, -(-total // BUCKET_ROWS)))
-    spread = prints.select("node", "n", F.posexplode("first").alias("place", "shingle"))
-    spread = spread.withColumn("bucket", F.pmod(F.xxhash64("shingle"), buckets))
-    shared = common.written(spread.groupBy("bucket").applyInPandas(with_hubs, "shingle long, node long, n int, place int, hub long, able boolean"), "shared")
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    near = confirmed(shared.where("able").select(*pair("node", "hub")), rows)
+    bucket = F.pmod(F.xxhash64("shingle"), buckets).alias("bucket")
+    spread = rows.select("node", "n", "first").distinct().select("node", "n", F.posexplode("first").alias("place", "shingle"))
+    shared = common.written(spread.groupBy(bucket).applyInPandas(with_hubs, "shingle long, node long, n int, place int, hub long, able boolean"), "shared")
+    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    near = confirmed(shared.where("able").select(*pair), prints, rows, text)
     parts = graph.components(near).select("node", F.col("root").alias("part"))
     placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rest = placed.groupBy(F.pmod(F.xxhash64("shingle"), buckets).alias("bucket")).applyInPandas(open_pairs, "a long, b long")
-    return near.unionByName(confirmed(rest, rows))
+    rest = placed.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")
+    return near.unionByName(confirmed(rest, prints, rows, text))
 
 
 def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,8 +202,8 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     copies of each other. Extra columns are kept.
     """
     rows = marked(df, key, text)
-    prints = common.written(rows.groupBy("node", "n", "first").agg(F.min("k").alias("low")), "prints")
-    roots = graph.components(links(rows, prints))
+    prints = common.written(rows.groupBy("node").agg(F.min("k").alias("low"), F.min("id").alias("id")), "prints")
+    roots = graph.components(links(rows, prints, text))
     placed = prints.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     able = placed.join(lowest, "root").where("low <=> component_id")
