@@ -12,6 +12,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -220,10 +221,11 @@ def findings(text: str, key: bytes = KEY, undo: bool = False) -> list[tuple[int,
 
     def take(kind: str, pattern: re.Pattern, a: int, b: int) -> None:
         for m in pattern.finditer(text, a, b):
-            if not any(m.start() < y and x < m.end() for x, y, _, _ in reversed(found[-64:])):
+            at = bisect_left(found, m.span())  # found is sorted and disjoint here
+            if (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or m.end() <= found[at][0]):
                 new = pseudonym(kind, m.group(), key, undo)
                 if new is not None:
-                    found.append((*m.span(), kind, new))
+                    found.insert(at, (*m.span(), kind, new))
 
     if "@" in text:
         take("email", _EMAIL, 0, len(text))
@@ -231,17 +233,20 @@ def findings(text: str, key: bytes = KEY, undo: bool = False) -> list[tuple[int,
     for region in _REGION.finditer(text):
         a, b = max(0, region.start() - _BEFORE), min(len(text), region.end() + 1)
         inside = [f for f in found[:emails] if f[0] < b and a < f[1]] if emails else []
-        kept, found, n = found, inside, len(inside)
+        kept, found = found, inside
         for kind, pattern in _NUMBERS.items():
             take(kind, pattern, a, b)
-        found = kept + found[n:]
+        kept += [f for f in found if f[2] != "email"]
+        found = kept
     return sorted(found)
 
 
 def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
-    """text with its findings replaced."""
+    """text with its findings replaced; they must be in order and disjoint."""
     out, at = [], 0
     for a, b, _, new in found:
+        if a < at:
+            raise ValueError(f"findings overlap at {a}")
         out += (text[at:a], new)
         at = b
     return "".join((*out, text[at:]))

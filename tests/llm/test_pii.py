@@ -65,6 +65,21 @@ def test_whole_texts_come_back(text):
     assert pii.replaced(changed, pii.findings(changed, undo=True)) == text
 
 
+@pytest.mark.parametrize("n", [60, 70, 300])
+def test_many_values_on_a_line_do_not_overlap(n):
+    text = " . ".join(["bob@ex.org", *["GB70 4111 1111 1111 1111"] * n, "bob@ex.org"])
+    found = pii.findings(text)
+    assert [f[2] for f in found] == ["email", *["iban"] * n, "email"]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    changed = pii.replaced(text, found)
+    assert pii.replaced(changed, pii.findings(changed, undo=True)) == text
+
+
+def test_overlapping_findings_are_refused():
+    with pytest.raises(ValueError):
+        pii.replaced("0123456789", [(0, 5, "card", "x"), (4, 8, "card", "y")])
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in common.table(spark, folder, "documents").select("doc_id", "text").collect()}
