@@ -156,7 +156,7 @@ def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     chosen = mix(counted(docs, key), key)
     like = ["k", "l", "s", "n"]
     chosen = chosen.select(F.col(key).alias("k"), F.col("lang").alias("l"), F.col("source").alias("s"), F.col("n_tokens").alias("n"), "epochs", "prefix_tokens", "taken_tokens")
-    chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy(F.col("taken_tokens").desc()))).where("taken_tokens > 0")
+    chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy(F.col("taken_tokens").desc()))).where("epochs > 0 or prefix_tokens > 0")
     word = F.regexp_count(common.text_of("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     # The row travels as one value, so that no column of its own can clash with these.
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), word.alias("n"), F.xxhash64("text").alias("h"))

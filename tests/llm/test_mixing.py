@@ -104,3 +104,11 @@ def test_mixture(spark, odd):
 def test_no_python_in_the_plan(spark):
     plan = mixing.op4_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_without_tokens_come_with_whole_epochs(spark):
+    rows = [(n, "one two three", "en", "src0") for n in range(4)] + [(10, "", "en", "src0"), (11, None, "en", "src0"), (12, " \n", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    epochs = {r.doc_id: r.epochs for r in mixing.mix(mixing.counted(docs)).collect()}
+    got = [r.doc_id for r in mixing.mixed(docs).collect()]
+    assert [got.count(i) for i in (10, 11, 12)] == [epochs[i] for i in (10, 11, 12)] and epochs[10] >= 1
