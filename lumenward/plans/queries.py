@@ -338,6 +338,57 @@ def repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "files_scanned", size("notes").alias("notes"), size("signature_hits").alias("hits"), size("review").alias("to_review"), "overall")
 
 
+# The whole catalog over documents and conversations: keywords, windows, guards and normalised text, which SQL cannot follow.
+# The queries of the same names without full_ are their raw-text lane.
+
+
+def full_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded documents after all lanes of the whole catalog."""
+    return S.scan(seeds.documents(spark, sf_dir), catalog.CATALOG)
+
+
+@query()
+def full_decision_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of each source get each decision."""
+    return full_scanned(spark, sf_dir).groupBy("source", "decision").agg(F.count(F.lit(1)).alias("texts"))
+
+
+@query()
+def full_worst_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's decision, number of findings and worst rank."""
+    return full_scanned(spark, sf_dir).select("doc_id", "decision", F.size("findings").cast("long").alias("findings"), F.array_max(F.transform("findings", lambda f: f["rank"])).alias("worst_rank"))
+
+
+@query()
+def full_repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder over sources as collections."""
+    sums = policy.ladder(full_scanned(spark, sf_dir), "source")
+    told = policy.presented(*(F.col(c) for c in ("overall", "files_scanned", "notes", "to_review")))
+    return sums.withColumn("p", told).select("source", "overall", "files_scanned", "notes", "hits", "to_review", "p.overall_decision", "p.summary")
+
+
+@query()
+def full_repo_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories that two rules on two spans of one file confirm."""
+    rows = full_scanned(spark, sf_dir).select("source", "doc_id", F.inline(S.once(policy.corroborated(F.col("findings")))))
+    return rows.select("source", "doc_id", "category", F.col("ids").cast("long").alias("ids"), F.col("spans").cast("long").alias("spans"))
+
+
+@query()
+def full_tier_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by tier and severity, and whether they can corroborate."""
+    rows = S.exploded(full_scanned(spark, sf_dir), "doc_id").withColumn("note_only", policy.note_only(F.col("tier"), F.col("severity")))
+    return rows.groupBy("tier", "severity", "note_only").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query()
+def full_repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from files to verdict, with conversations as collections and turns as files."""
+    size = lambda c: F.size(c).cast("long")
+    done = review.review(seeds.messages(spark, sf_dir), catalog.CATALOG, "conv_id", "turn", "turn")
+    return done.select("conv_id", "files_scanned", size("notes").alias("notes"), size("signature_hits").alias("hits"), size("review").alias("to_review"), "overall")
+
+
 # Addresses, limits, requests, streams
 
 _FORMS = ["https://github.com/Own{}/repo.git", "https://www.github.com/own{}/repo", "https://github.com/own{}/repo/blob/main/docs/a.md", "https://raw.githubusercontent.com/own{}/repo/main/x/y.md", "http://github.com/own{}/repo", "https://github.com/own{}", "https://github.com/own{}/repo/tree/main", "https://github.com/-own{}/repo", "https://example.com/own{}/repo", "nonsense {}", "https://raw.githubusercontent.com/own{}/repo/main", "https://github.com/own{}/repo/blob/main"]
