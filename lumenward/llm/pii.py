@@ -27,8 +27,6 @@ KEY = b"lumenward public demonstration key"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "date", "ssn", "phone", "ip")
 FIRST_DAY, END_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
-_LATE = [d for d in range(FIRST_DAY, END_DAY) if datetime.date.fromordinal(d).day > 12]
-_LATE_AT = {d: i for i, d in enumerate(_LATE)}
 
 
 def _round(key: bytes, tweak: str, number: int, value: int, size: int) -> int:
@@ -157,40 +155,64 @@ def _phone(text: str, key: bytes, undo: bool) -> str | None:
     return None
 
 
+#: First value and number of values of an address part by its width.
+_PARTS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+
+
 def _ip(text: str, key: bytes, undo: bool) -> str | None:
-    """An IPv4 address; the parts' widths are not kept. A part of 256 or more, or with a leading zero, is none."""
+    """An IPv4 address; the parts' widths stay. A part of 256 or more, or with a leading zero, is none."""
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    x = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ip", undo)
-    return ".".join(map(str, x.to_bytes(4, "big")))
+    ranges = [_PARTS[len(p)] for p in parts]
+    x = 0
+    for p, (low, n) in zip(parts, ranges, strict=True):
+        x = x * n + int(p) - low
+    x = permute(x, math.prod(n for _, n in ranges), key, "ip|" + "".join(str(len(p)) for p in parts), undo)
+    out = []
+    for low, n in reversed(ranges):
+        x, at = divmod(x, n)
+        out.append(str(low + at))
+    return ".".join(reversed(out))
+
+
+def _fits(value: int, form: str) -> bool:
+    """Whether a day or month can be written in a form: `1` one digit, `0` a zero and a digit, `2` two digits, `*` any two."""
+    return form == "*" or (value < 10) == (form != "2")
+
+
+@lru_cache(maxsize=64)
+def _days(late: bool, day: str, month: str) -> tuple[list[int], dict[int, int]]:
+    """All days that can be written so, and the place of each; late: only those that cannot be day-month-year."""
+    dates = ((d, datetime.date.fromordinal(d)) for d in range(FIRST_DAY, END_DAY))
+    found = [d for d, t in dates if (not late or t.day > 12) and _fits(t.day, day) and _fits(t.month, month)]
+    return found, {d: i for i, d in enumerate(found)}
 
 
 def _date(text: str, key: bytes, undo: bool) -> str | None:
     """A calendar date from 1900 to 2099, in the order year-month-day, day-month-year or month-day-year.
 
     A number pair that could be either order is read as day-month-year. Dates that can only be month-day-year
-    are permuted among those of their kind, so that their pseudonyms read the same way.
+    are permuted among those of their kind, so that their pseudonyms read the same way. Where day or month has
+    one digit only, widths and leading zeros stay; two digits each are one format in all orders.
     """
     a, b, c = re.findall(r"\d+", text)
     year_first = len(a) == 4
-    late = False
+    late = not year_first and int(b) > 12
+    year, month, day = (a, b, c) if year_first else (c, a, b) if late else (c, b, a)
     try:
-        if year_first:
-            day = datetime.date(int(a), int(b), int(c))
-        elif int(b) <= 12:
-            day = datetime.date(int(c), int(b), int(a))
-        else:
-            day, late = datetime.date(int(c), int(a), int(b)), True
+        at = datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
-    at = day.toordinal()
     if not FIRST_DAY <= at < END_DAY:
         return None
-    new = _LATE[permute(_LATE_AT[at], len(_LATE), key, "date|late", undo)] if late else FIRST_DAY + permute(at - FIRST_DAY, END_DAY - FIRST_DAY, key, "date", undo)
+    form = (lambda p: "*") if len(day) == len(month) == 2 else lambda p: "1" if len(p) == 1 else "0" if p[0] == "0" else "2"
+    days, place = _days(late, form(day), form(month))
+    new = days[permute(place[at], len(days), key, f"date|{late:d}{form(day)}{form(month)}", undo)]
     to = datetime.date.fromordinal(new)
-    out = iter((f"{to.year}", f"{to.month:02d}", f"{to.day:02d}") if year_first else (f"{to.month:02d}", f"{to.day:02d}", f"{to.year}") if late else (f"{to.day:02d}", f"{to.month:02d}", f"{to.year}"))
-    return re.sub(r"\d+", lambda m: next(out), text)
+    y, m, d = str(to.year), f"{to.month:0{len(month)}d}", f"{to.day:0{len(day)}d}"
+    out = iter((y, m, d) if year_first else (m, d, y) if late else (d, m, y))
+    return re.sub(r"\d+", lambda _: next(out), text)
 
 
 _MAKERS: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "card": _card, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip}
@@ -203,6 +225,9 @@ _NUMBERS = {
     "phone": re.compile(r"(?<![\w.+/-])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w/-]|\.[0-9])|(?<![\w.+/-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w/-]|\.[0-9])"),
     "ip": re.compile(r"(?<![\w./-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w/-]|\.[0-9])"),
 }
+#: Kinds written in groups: if a match fails, fewer of its groups are tried, as a neighbour may have been taken in.
+_GROUPED = ("iban", "card")
+_GROUP = re.compile(r"[0-9A-Z]+")
 #: Where a number can be: from a digit on, all characters that any pattern above may use.
 _REGION = re.compile(r"[0-9][0-9A-Z ()./+-]{6,}")
 #: Characters before a region's first digit that may belong to a number.
@@ -215,17 +240,55 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, undo: bool = False) -> st
     return _MAKERS[kind](value, key, undo)
 
 
+def _longest(kind: str, pattern: re.Pattern, match: str, key: bytes, undo: bool) -> tuple[int, str] | None:
+    """How much of a match is a valid value, whole groups from its beginning, and the pseudonym."""
+    new = pseudonym(kind, match, key, undo)
+    if new is not None or kind not in _GROUPED:
+        return new and (len(match), new)
+    for stop in [g.end() for g in _GROUP.finditer(match)][-2::-1]:
+        if match[stop] == " " and pattern.fullmatch(match[:stop]) and (new := pseudonym(kind, match[:stop], key, undo)):
+            return stop, new
+    return None
+
+
+def _first(kind: str, pattern: re.Pattern, text: str, at: int, key: bytes, undo: bool) -> tuple[int, int] | None:
+    """(start, stop) of the first valid value of a grouped kind from a place on."""
+    while (m := pattern.search(text, at)) is not None:
+        if (got := _longest(kind, pattern, m.group(), key, undo)) is not None:
+            return m.start(), m.start() + got[0]
+        at = _GROUP.search(text, m.start()).end()
+    return None
+
+
 def findings(text: str, key: bytes = KEY, undo: bool = False) -> list[tuple[int, int, str, str]]:
-    """(start, stop, kind, pseudonym) of the valid values in a text, in order; of overlapping ones the first kind."""
+    """(start, stop, kind, pseudonym) of the valid values in a text, in order; of overlapping ones the first kind.
+
+    Where a pattern took in a neighbouring group, a value is found among fewer groups. Its pseudonym is then the
+    first in the permutation's cycle that is found at the same place, so that it can be undone; only there can
+    equal values get different pseudonyms.
+    """
     found: list[tuple[int, int, str, str]] = []
 
     def take(kind: str, pattern: re.Pattern, a: int, b: int) -> None:
-        for m in pattern.finditer(text, a, b):
-            at = bisect_left(found, m.span())  # found is sorted and disjoint here
-            if (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or m.end() <= found[at][0]):
-                new = pseudonym(kind, m.group(), key, undo)
-                if new is not None:
-                    found.insert(at, (*m.span(), kind, new))
+        lead = lead_stop = 0  # where tries that failed began, and what they reached over
+        while (m := pattern.search(text, a, b)) is not None:
+            if m.start() >= lead_stop:
+                lead = m.start()
+            got = _longest(kind, pattern, m.group(), key, undo)
+            if got is None:
+                a = _GROUP.search(text, m.start()).end() if kind in _GROUPED else m.end()
+                lead_stop = max(lead_stop, m.end())
+                continue
+            stop, new = m.start() + got[0], got[1]
+            if kind in _GROUPED and (lead < m.start() or stop < m.end()):
+                low, high = max(0, lead - _BEFORE), min(len(text), m.end() + 1)
+                seen = lambda new: _first(kind, pattern, text[low : m.start()] + new + text[stop:high], lead - low, key, undo)  # noqa: B023, E731
+                while seen(new) != (m.start() - low, stop - low):
+                    new = pseudonym(kind, new, key, undo)
+            a, lead_stop = stop, 0
+            at = bisect_left(found, (m.start(), stop))  # found is sorted and disjoint here
+            if (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or stop <= found[at][0]):
+                found.insert(at, (m.start(), stop, kind, new))
 
     if "@" in text:
         take("email", _EMAIL, 0, len(text))
