@@ -18,6 +18,8 @@ from lumenward.llm import common
 SHARDS = 24
 #: Rows of a shard numbered by one task; more rows get more tasks.
 ROWS_PER_BUCKET = 200_000
+#: Slots of one equal row that are handed out together.
+RUN = 1 << 16
 #: Offset rows that may be broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 _STEP = np.uint64(2862933555777941757)
@@ -58,16 +60,21 @@ def shard_of(key: Column, n_shards: int, appended: int = 1) -> Column:
 
 
 def assign(df: DataFrame, key: str = "doc_id", n_shards: int = SHARDS, appended: int = 1) -> DataFrame:
-    """df with shard and grown_shard; columns of these names are replaced. Row-local, no shuffle."""
+    """df with shard and grown_shard; columns of these names are replaced. Row-local, no shuffle.
+
+    Null keys: one fixed shard. Repeated rows: a row each, the same shard. Texts are not read, so null, empty and
+    very long ones are nothing special. Empty table: no rows. Other columns stay as they are.
+    """
     kept = [c for c in df.columns if c not in ("shard", "grown_shard")]
-    return df.select(*kept, shard_of(F.col(key), n_shards, appended).alias("__at")).select(*kept, "__at.shard", "__at.grown_shard")
+    both = df.select(F.struct(*kept).alias("row"), shard_of(F.col(key), n_shards, appended).alias("at"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], "at.shard", "at.grown_shard")
 
 
 def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", n_rows: int | None = None, n_shards: int = SHARDS) -> DataFrame:
     """df with slot: a gapless number from 0 within each shard.
 
     df must be narrow (digests, not texts). Equal rows are first counted together, so that a row repeated
-    any number of times is one row in the shuffle. Each shard is cut into buckets by a hash of `order`;
+    any number of times is one row in the shuffle, and dealt out again in runs over all tasks. Each shard is cut into buckets by a hash of `order`;
     a bucket's first slot is the number of rows in the buckets before it. Equal rows get neighbouring slots.
     """
     n_rows = df.count() if n_rows is None else n_rows
@@ -80,8 +87,10 @@ def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", n_rows
         starts = F.broadcast(starts)
     within = Window.partitionBy(shard, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__at", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(starts, [shard, "__b"])
-    first = F.col("__start") + F.col("__at")
-    return placed.select(*df.columns, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("slot"))
+    last = F.col("__start") + F.col("__at") + F.col("__n") - 1
+    runs = placed.select(*df.columns, last.alias("__last"), F.explode(F.sequence(F.col("__start") + F.col("__at"), last, F.lit(RUN).cast("long"))).alias("__run"))
+    runs = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shard, "__run")
+    return runs.select(*df.columns, F.explode(F.sequence("__run", F.least(F.col("__run") + RUN - 1, "__last"))).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
