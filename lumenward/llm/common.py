@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
 BATCH_BYTES = "4m"
+#: Scratch folders of this driver that are not deleted yet, in the order they were named.
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +50,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/lumenward/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/lumenward/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that no plan reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch folders named inside are deleted at the end, but for those added to the list that this yields.
+
+    For callers that write their result inside; a lazy result still reads its folders.
+    """
+    begin, kept = len(_MADE), []
+    yield kept
+    remove(spark, *[path for path in _MADE[begin:] if path not in kept])
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,24 +16,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends every node to its smallest neighbour (or itself), rewrites the edges to those targets and
     keeps the distinct ones that join two targets. Every table is written to the shared folder, so lost
-    executors cost no earlier round. Nodes may be of any orderable type; null ends and loops are ignored.
+    executors cost no earlier round; a round's tables are deleted when the next one's are written. Nodes may be of any orderable type; null ends and loops are ignored.
     """
+    spark = edges.sparkSession
     ends = edges.where("a is not null and b is not null and a <> b")
-    ends = common.written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    roots = None
+    path = common.scratch(spark, "edges")
+    ends = common.written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", path)
+    roots, done = None, [path]
     for _ in range(MAX_ROUNDS):
+        own = {name: common.scratch(spark, name) for name in ("step", "roots", "edges")}
         both = ends.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(ends.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        step = common.written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to")), "step")
+        step = common.written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to")), "step", own["step"])
         if roots is None:
             roots = step.withColumnRenamed("to", "root")
         else:
             moved = step.select(F.col("node").alias("root"), "to")
             roots = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = common.written(roots, "roots")
+        roots = common.written(roots, "roots", own["roots"])
         at_a = step.select(F.col("node").alias("a"), F.col("to").alias("__a"))
         at_b = step.select(F.col("node").alias("b"), F.col("to").alias("__b"))
         ends = ends.join(at_a, "a").join(at_b, "b").where("__a <> __b")
-        ends = common.written(ends.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct(), "edges")
+        ends = common.written(ends.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct(), "edges", own["edges"])
+        common.remove(spark, *done)
+        done = list(own.values())
         if ends.isEmpty():
+            common.remove(spark, own["step"], own["edges"])
             return roots
     raise RuntimeError("contraction did not end")
