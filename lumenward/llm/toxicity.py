@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from lumenward.llm import common
 
 #: Labelled documents the classifier is fitted on, about so many of either class at most.
 TRAIN_ROWS_PER_CLASS = 2000
-#: Labelled texts beyond so many characters are not trained on (they are scored like all others).
+#: Characters of one labelled text that are trained on, about: of a longer one, sentences chosen by their hash.
 TRAIN_TEXT_CHARS = 20_000
+#: Words after which a sentence without an end is cut for that choice.
+LONG_SENTENCE = 200
 THRESHOLD = 0.3
 #: A sentence of a predicted document is reported from this probability on; the worst one always.
 SENTENCE_THRESHOLD = 0.2
@@ -64,6 +67,30 @@ def ends(chunk: str) -> bool:
     return chunk[-1] in "\x00.!?" or chunk.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
 
 
+def part_of(text: str) -> str:
+    """What is trained on of a text: all of it, or of a long one sentences of TRAIN_TEXT_CHARS characters in all.
+
+    The choice depends on the sentences' words alone and keeps their order. A sentence without an end in sight is
+    cut into runs of words, so that one endless sentence is sampled too.
+    """
+    if len(text) <= TRAIN_TEXT_CHARS:
+        return text
+    found: list[str] = []
+    run: list[str] = []
+    for chunk in chunks_of(text):
+        run.append(chunk[:TRAIN_TEXT_CHARS])
+        if ends(chunk) or len(run) == LONG_SENTENCE:
+            found.append(" ".join(run))
+            run = []
+    found.append(" ".join(run))
+    chosen, size = set(), 0
+    for at in sorted(range(len(found)), key=lambda i: (xxhash.xxh64_intdigest(found[i].encode("utf-8", "surrogatepass")), i)):
+        if size + len(found[at]) < TRAIN_TEXT_CHARS:
+            chosen.add(at)
+            size += len(found[at]) + 1
+    return " ".join(found[at] for at in sorted(chosen)).replace("\x00 ", "\n").replace("\x00", "\n")
+
+
 @dataclass
 class Model:
     """Feature weights, the bias of a sentence, and what a document has without any evidence."""
@@ -187,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model from a bounded sample of the labelled rows that are not held out.
 
     About TRAIN_ROWS_PER_CLASS rows of each class at most, chosen by a hash of the key; weights restore the classes'
-    true shares. Several labels of one key: toxic if any says so. Null labels and keys are left out.
+    true shares. Several labels of one key: toxic if any says so; several texts: the least. Null labels and keys
+    are left out. Long texts are trained on in part, see part_of().
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -198,8 +226,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return fit([], np.zeros(0, bool), np.zeros(0))
-    texts = docs.select(F.col(key).alias("__key"), common.text_of(text).alias("__text")).where(F.length("__text") <= TRAIN_TEXT_CHARS)
-    rows = texts.join(F.broadcast(chosen), "__key").toArrow().to_pandas().drop_duplicates("__key").sort_values("__key")
+
+    @F.pandas_udf("string")
+    def part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(part_of)
+
+    texts = docs.select(F.col(key).alias("__key"), common.text_of(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    # Of several texts with one key the least counts; they meet on the map side, however many there are.
+    texts = texts.groupBy("__key", "__y").agg(F.min("__text").alias("__text")).select("__key", "__y", part("__text").alias("__text"))
+    rows = texts.toArrow().to_pandas().sort_values("__key")
     toxic = rows["__y"].to_numpy() > 0
     taken = rows["__y"].value_counts()
     weight = rows["__y"].map(lambda y: share[y] / taken[y]).to_numpy(dtype=float)
@@ -232,9 +268,16 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return both.select(*kept, "__tox.score", "__tox.offending", (F.col("__tox.score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not predict to be toxic, with their columns."""
-    return scored(docs, train(docs, labels)).where("predicted = 0").select(*docs.columns)
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that the model does not predict to be toxic, with their columns, whatever their names.
+
+    Null, empty and white-space texts stay, unless all labels are toxic. Repeated rows: all stay or all go. Null
+    ids: scored like others. Very long texts are scored whole. No labels: all stay. Empty table: no rows.
+    """
+    model = train(docs, labels, text=text)
+    # The row travels as one value, so that no column of its own can clash with the score.
+    both = docs.select(F.struct(*docs.columns).alias("row"), score_of(docs.sparkSession, F.col(text), model).alias("tox"))
+    return both.where(F.col("tox.score") < THRESHOLD).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
