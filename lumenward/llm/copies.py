@@ -1,19 +1,25 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of four fifths or more, all of them.
 
-Two sets of sizes n and m with that similarity have at least 4/5 * max(n, m) shingles in common. So in any order
-of all shingles, the first n - ceil(4/5 * n) + 1 of one set and the like of the other share one: no pair is
-missed by looking for partners by those alone. The order puts shingles that are frequent in a sample last, so
-that a common line brings few together; the sample decides the cost alone, never a result. Every link is
-confirmed on the whole sets.
-
-Partners are compared in two turns. First each text of a group that shares a shingle is compared with one of
-the group, which connects dense clusters at a cost in proportion to them. Then all pairs of a group that are not
-connected yet are compared, but for those whose sizes and places rule the similarity out.
+Links of fingerprints (see simhash) come first and connect most copies cheaply, but at a similarity of four fifths
+two fingerprints of 64 bits differ in ten bits or so, more than any tree can look for; so the rest is found by the
+sets themselves. Two sets of sizes n and m with that similarity have at least 4/5 * max(n, m) shingles in common.
+In any order of all shingles, the first n - ceil(4/5 * n) + 1 of one set and the like of the other share one: no
+pair is missed by looking for partners by those alone. At the first shingle that a pair shares, at most the rest of
+either set is shared as well, so one of the two stands among the first ninth of its set there: only such rows are
+compared with the others of their shingle. The order puts shingles that are frequent in a sample last, so that a
+common line brings few together, and deals their rows to several groups; the sample decides the cost alone.
+
+Candidates whose sketches (256 bits of fingerprint) are too far apart for the similarity go first: beyond FAR bits
+fewer than one pair in 10^12 of that similarity is lost, as by an unlucky hash. All others are compared on whole sets.
+
+Partners are compared in two turns. First each text of a group that shares a shingle is compared with one of the
+group, which connects dense clusters at a cost in proportion to them; links of fingerprints are part of this turn.
+Then the pairs of a group that are not connected yet are compared, but for those that sizes and places rule out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +37,21 @@ SAMPLE_ROWS = 10_000
 FREQUENT = 50_000
 #: First shingles that are grouped in one call, about.
 BUCKET_ROWS = 200_000
+#: Rows of one shingle that one group gets, about, as far as the sample tells.
+SALT_ROWS = 50_000
 #: So many texts of a dense cluster serve as the one that others are compared with.
 HUBS = 8
-#: Texts to confirm whose numbers may be broadcast; 16 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: 64-bit words of a sketch, and the differing bits beyond which a pair is not compared. At a similarity of four
+#: fifths 15.2 % of the bits differ, 39 of 256 with a deviation of 5.7.
+LANES = 4
+FAR = 85
+#: Texts whose numbers (16 bytes each) or sketches (48 bytes) may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Pairs held before repeated ones are dropped.
 HELD = 1 << 20
+#: Shingles whose bits are counted at once.
+CHUNK = 1 << 15
+_LANE = np.arange(1, LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +74,26 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """LANES words of fingerprint of each set: the bits that more than half of its shingles' hashes have; 0 for an empty set."""
+    out = np.zeros((len(sets), LANES), np.uint64)
+    some = [k for k, s in enumerate(sets) if len(s)]
+    ones = np.zeros((len(sets), LANES, 64), np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([sets[k] for k in some]) if some else np.zeros(0, np.uint64)
+    owner = np.repeat(some, size[some]).astype(np.int64)
+    for at in range(0, len(flat), CHUNK):
+        part, own = flat[at : at + CHUNK], owner[at : at + CHUNK]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for lane in range(LANES):
+            values = part if lane == 0 else mixed(part + _LANE[lane - 1])
+            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[own[begin], lane] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    if some:
+        out[:] = np.packbits(ones * 2 > size[:, None, None], axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return out
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of shingles have the similarity."""
     both = np.sort(np.concatenate((a, b)), kind="stable")
@@ -66,50 +101,74 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * shared >= PART * (len(both) - shared)
 
 
-def firsts(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The shingles of a set by which its partners can be found, in the common order."""
+def firsts(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set by which its partners can be found, in the common order, and how frequent each is in the sample."""
     n = len(own) + PART * len(own) // -WHOLE + 1 if len(own) else 0
+    often = np.zeros(len(own), np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        own = own[np.argsort(np.where(frequent[at] == own, times[at], 0), kind="stable")]
-    return own[:n]
+        often = np.where(frequent[at] == own, times[at], 0)
+        order = np.argsort(often, kind="stable")
+        own, often = own[order], often[order]
+    return own[:n], often[:n]
 
 
 def possible(size: np.ndarray, place: np.ndarray, other_size: np.ndarray, other_place: np.ndarray) -> np.ndarray:
-    """Whether sets that share the shingles at these places can have the similarity."""
-    most = np.minimum(place, other_place) + 1 + np.minimum(size - place, other_size - other_place) - 1
+    """Whether sets whose first shared shingles stand at these places can have the similarity."""
+    most = np.minimum(size - place, other_size - other_place)
     return (PART + WHOLE) * most >= PART * (size + other_size)
 
 
-def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, how often each occurs) of the most frequent ones in a sample."""
+def leads(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a set can be the smaller of a possible pair at a place: the first ninth."""
+    return (PART + WHOLE) * (size - place) >= 2 * PART * size
+
+
+def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted shingles, how often each occurs) of the most frequent ones in a sample, and how many rows a sampled one stands for."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for t in batch["text"]:
                 yield pd.DataFrame({"shingle": shingles(t).view(np.int64)})
 
-    some = common.sampled(docs, key, docs.count(), SAMPLE_ROWS).select(F.col(text).alias("text"))
+    rows = docs.count()
+    some = common.sampled(docs, key, rows, SAMPLE_ROWS).select(F.col(text).alias("text"))
     counted = some.mapInPandas(explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     found = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r.n for r in top], dtype=np.int64)[order]
+    return found[order], np.array([r.n for r in top], dtype=np.int64)[order], max(1.0, rows / SAMPLE_ROWS)
 
 
 def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, k, id, node, n, first) of docs: the whole row, its key and number, the set's 64-bit hash, size and firsts()."""
+    """(row, k, id, h1, h2, n, sketch, first, salts) of docs: the whole row, its key and number, its set's 128-bit hash, size, sketch and firsts().
+
+    salts: to how many groups the rows of a first shingle are dealt.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, key, text))
 
-    @F.pandas_udf("struct<node:long,n:int,first:array<long>>")
+    @F.pandas_udf("struct<h1:long,h2:long,n:int,sketch:array<long>,first:array<long>,salts:array<int>>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        frequent, times, scale = known.value
         for texts in batches:
-            sets = [shingles(t) for t in texts]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], dtype=np.int32), "first": [firsts(s, *known.value).view(np.int64) for s in sets]})
+            out = []
+            for run in common.portions(texts.tolist()):
+                sets = [shingles(t) for t in run]
+                wide = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                first = [firsts(s, frequent, times) for s in sets]
+                salts = [(1 + often * scale // SALT_ROWS).astype(np.int32) for _, often in first]
+                row = {"h1": wide[:, 0], "h2": wide[:, 1], "n": [len(s) for s in sets], "sketch": list(sketches(sets).view(np.int64)), "first": [s.view(np.int64) for s, _ in first], "salts": salts}
+                out.append(pd.DataFrame(row).astype({"n": np.int32}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"h1": [], "h2": [], "n": [], "sketch": [], "first": [], "salts": []})
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), compute(common.text_of(F.col(text))).alias("m"))
-    return common.written(rows.select("row", "k", F.monotonically_increasing_id().alias("id"), "m.node", "m.n", "m.first"), "marked")
+    return common.written(rows.select("row", "k", F.monotonically_increasing_id().alias("id"), "m.*"), "marked")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def runs(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,35 +178,42 @@ def runs(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_hubs(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows (shingle, node, n, place) of shingles that several sets share, with their hub, and whether the two can be alike."""
-    shingle, node = group["shingle"].to_numpy(np.int64), group["node"].to_numpy(np.int64)
-    salt = mixed((shingle.view(np.uint64) % np.uint64(HUBS)) + np.uint64(1))
-    order = np.lexsort((mixed(node.view(np.uint64) ^ salt), shingle))
-    starts, lengths = runs(shingle[order])
-    hub = order[np.repeat(starts, lengths)]
-    several = np.repeat(lengths > 1, lengths)
-    at, hub = order[several], hub[several]
-    n, place = group["n"].to_numpy(np.int64), group["place"].to_numpy(np.int64)
+    """Rows of shingles that several sets share, with their hub: a set that may lead a pair, the same in all groups of the shingle.
+
+    able: whether the two can be alike. Shingles in which no set can lead a pair are dropped.
+    """
+    shingle, salt, node, size = (group[c].to_numpy(np.int64) for c in ("shingle", "salt", "node", "size"))
+    n, place = size >> 32, size & 0xFFFFFFFF
+    lead = leads(n, place)
+    scrambled = mixed(node.view(np.uint64) ^ mixed((shingle.view(np.uint64) % np.uint64(HUBS)) + np.uint64(1)))
+    order = np.lexsort((scrambled, ~lead, salt, shingle))
+    shingle, salt, node, size, n, place, lead = (x[order] for x in (shingle, salt, node, size, n, place, lead))
+    starts, lengths = runs(mixed(shingle.view(np.uint64)) + salt.view(np.uint64))
+    use = np.repeat((lengths > 1) & lead[starts], lengths)
+    hub = np.repeat(starts, lengths)[use]
+    at = np.flatnonzero(use)
     able = (node[at] != node[hub]) & possible(n[at], place[at], n[hub], place[hub])
-    return pd.DataFrame({"shingle": shingle[at], "node": node[at], "n": n[at], "place": place[at], "hub": node[hub], "able": able})
+    return pd.DataFrame({"shingle": shingle[at], "salt": salt[at], "node": node[at], "size": size[at], "hub": node[hub], "able": able})
 
 
 def open_pairs(group: pd.DataFrame) -> pd.DataFrame:
     """Distinct pairs (a, b) of rows that share a shingle, are in two components and can be alike; those with a hub were compared before."""
-    group = group[(group["node"] != group["hub"]).to_numpy()].sort_values("shingle", kind="stable")
-    node, part = group["node"].to_numpy(np.int64), group["part"].to_numpy(np.int64)
-    n, place = group["n"].to_numpy(np.int64), group["place"].to_numpy(np.int64)
-    starts, lengths = runs(group["shingle"].to_numpy(np.int64))
+    group = group[(group["node"] != group["hub"]).to_numpy()]
+    shingle, salt, node, part, size = (group[c].to_numpy(np.int64) for c in ("shingle", "salt", "node", "part", "size"))
+    order = np.lexsort((salt, shingle))
+    shingle, salt, node, part, size = (x[order] for x in (shingle, salt, node, part, size))
+    n, place = size >> 32, size & 0xFFFFFFFF
+    lead = leads(n, place)
+    starts, lengths = runs(mixed(shingle.view(np.uint64)) + salt.view(np.uint64))
     found, held = [np.zeros((0, 2), np.int64)], 0
     if len(node):
-        mixed_runs = np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts)
-        for start, length in zip(starts[mixed_runs].tolist(), lengths[mixed_runs].tolist(), strict=True):
-            stop = start + length
-            for i in range(start, stop - 1):
-                others = slice(i + 1, stop)
-                keep = (part[others] != part[i]) & possible(n[others], place[others], n[i], place[i])
+        several = np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts)
+        for start, length in zip(starts[several].tolist(), lengths[several].tolist(), strict=True):
+            run = slice(start, start + length)
+            for i in (start + np.flatnonzero(lead[run])).tolist():
+                keep = (part[run] != part[i]) & possible(n[run], place[run], n[i], place[i])
                 if keep.any():
-                    other = node[others][keep]
+                    other = node[run][keep]
                     found.append(np.stack((np.minimum(other, node[i]), np.maximum(other, node[i])), axis=1))
                     held += len(other)
                     if held > HELD:
@@ -157,8 +223,14 @@ def open_pairs(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike, written."""
+def near(a: Column, b: Column) -> Column:
+    """Whether two sketches are close enough for the similarity."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= FAR
+
+
+def confirmed(pairs: DataFrame, prints: DataFrame, n_prints: int, rows: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of prints whose whole sets are alike, written."""
+    spark = rows.sparkSession
 
     @F.pandas_udf("binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -170,43 +242,63 @@ def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -
         for a, b in batches:
             yield pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = common.written(pairs.distinct(), "pairs")
-    ends = common.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(prints, "node").select("node", "id"), "ends")
-    # Texts are not dealt out for it unless their numbers are too many to broadcast.
-    small = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    texts = rows.select("id", F.col("row").getField(text).alias("t")).join(small, "id")
-    sets = common.written(texts.select("node", whole(common.text_of("t")).alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return common.written(both.where(linked("sa", "sb")).select("a", "b"), "links")
-
-
-def links(rows: DataFrame, prints: DataFrame, text: str) -> DataFrame:
-    """(a, b): edges between nodes that connect all pairs of prints (node, id) that are alike."""
-    total = rows.agg(F.sum(F.size("first"))).first()[0] or 0
-    buckets = F.lit(max(1, -(-total // BUCKET_ROWS)))
-    bucket = F.pmod(F.xxhash64("shingle"), buckets).alias("bucket")
-    spread = rows.select("node", "n", "first").distinct().select("node", "n", F.posexplode("first").alias("place", "shingle"))
-    shared = common.written(spread.groupBy(bucket).applyInPandas(with_hubs, "shingle long, node long, n int, place int, hub long, able boolean"), "shared")
-    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    near = confirmed(shared.where("able").select(*pair), prints, rows, text)
-    parts = graph.components(near).select("node", F.col("root").alias("part"))
+    own = lambda end, name: small(prints.select(F.col("id").alias(end), F.col("sketch").alias(name)), n_prints)
+    with common.temporary(spark) as kept:
+        close = pairs.distinct().join(own("a", "__a"), "a").join(own("b", "__b"), "b").where(near(F.col("__a"), F.col("__b"))).select("a", "b")
+        close = common.written(close, "pairs")
+        ends = common.written(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ends")
+        # Texts are not dealt out for it unless their numbers are too many to broadcast.
+        texts = rows.select("id", F.col("row").getField(text).alias("t")).join(small(ends, ends.count()), "id")
+        sets = common.written(texts.select("id", whole(common.text_of("t")).alias("s")), "sets")
+        both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        kept.append(common.scratch(spark, "links"))
+        return common.written(both.where(linked("sa", "sb")).select("a", "b"), "links", kept[0])
+
+
+def links(rows: DataFrame, prints: DataFrame, n_prints: int, linked_prints: Callable[[DataFrame], DataFrame], text: str) -> DataFrame:
+    """(a, b): edges between prints (id, sketch) that connect all of them that are alike."""
+    spark = rows.sparkSession
+    total, most = rows.agg(F.sum(F.size("first")), F.max(F.array_max("salts"))).first()
+    buckets = F.lit(max(1, -(-(total or 0) // BUCKET_ROWS)))
+    bucket = F.pmod(F.xxhash64("shingle", "salt"), buckets).alias("bucket")
+    first = rows.select("id", "n", "first", "salts").join(small(prints.select("id"), n_prints), "id", "left_semi")
+    each = F.transform("first", lambda s, i: F.struct(s.alias("shingle"), F.get("salts", i).alias("salts"), F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(i.cast("long")).alias("size")))
+    spread = first.select(F.col("id").alias("node"), F.inline(each))
+    if (most or 1) > 1:
+        # Rows of a frequent shingle that can lead a pair go to all its groups, the others to one.
+        lead = (PART + WHOLE) * (F.shiftright("size", 32) - F.col("size").bitwiseAND(0xFFFFFFFF)) >= 2 * PART * F.shiftright("size", 32)
+        to = F.when(F.col("salts") == 1, F.array(F.lit(0))).when(lead, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
+        spread = spread.select("node", "shingle", "size", F.explode(to).alias("salt"))
+    else:
+        spread = spread.select("node", "shingle", "size", F.lit(0).alias("salt"))
+    shared = common.written(spread.groupBy(bucket).applyInPandas(with_hubs, "shingle long, salt int, node long, size long, hub long, able boolean"), "shared")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    # Fingerprints: the first word of the sketch; one text stands for all of equal ones.
+    stands = common.written(prints.groupBy(F.col("sketch")[0].alias("print")).agg(F.min("id").alias("stand")), "stands")
+    edges = linked_prints(stands.select("print"))
+    ends = lambda name: stands.select(F.col("print").alias(name), F.col("stand").alias(f"stand_{name}"))
+    by_prints = edges.join(ends("a"), "a").join(ends("b"), "b").select(*pair("stand_a", "stand_b"))
+    equal = prints.select("id", F.col("sketch")[0].alias("print")).join(stands, "print").where("id <> stand").select(*pair("id", "stand"))
+    turn = confirmed(shared.where("able").select(*pair("node", "hub")).union(by_prints).union(equal), prints, n_prints, rows, text)
+    parts = graph.components(turn).select("node", F.col("root").alias("part"))
     placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     rest = placed.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")
-    return near.unionByName(confirmed(rest, prints, rows, text))
+    return turn.unionByName(confirmed(rest, prints, n_prints, rows, text))
 
 
-def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_near_copies(df: DataFrame, linked_prints: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of near copies, whole: that with the smallest key.
 
     Of repeated rows one stays; of a component whose keys are all null, one row stays. Texts without words are
-    copies of each other. Extra columns are kept.
+    copies of each other. Extra columns are kept. linked_prints: (a, b) edges between close fingerprints.
     """
     rows = marked(df, key, text)
-    prints = common.written(rows.groupBy("node").agg(F.min("k").alias("low"), F.min("id").alias("id")), "prints")
-    roots = graph.components(links(rows, prints, text))
-    placed = prints.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    able = placed.join(lowest, "root").where("low <=> component_id")
-    keep = able.groupBy("root").agg(F.min("node").alias("node"), F.min("component_id").alias("low")).drop("root")
-    kept = rows.select("row", "k", "node").join(keep, "node").where(F.col("k").eqNullSafe(F.col("low")))
-    return kept.dropDuplicates(["node"]).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    # The first row of equal sets stands for them: sets are told apart by 128 bits, and nodes are row numbers.
+    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct(F.col("k").isNull(), "k", "id")).alias("best"), F.min("sketch").alias("sketch"))
+    prints = common.written(prints.select("id", "sketch", "best"), "prints")
+    n_prints = prints.count()
+    roots = graph.components(links(rows, prints.select("id", "sketch"), n_prints, linked_prints, text))
+    placed = prints.select("id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keep = common.written(placed.groupBy("root").agg(F.min("best").alias("best")).select("best.id"), "keep")
+    kept = rows.select("id", "row").join(small(keep, keep.count()), "id", "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -1,15 +1,19 @@
 """SimHash near duplicates with vantage-point trees.
 
 Fingerprints of 64 bits that differ in at most d bits agree up to d // k bits in one of k equal blocks of bits.
-For each block there is one vantage-point tree over the Hamming distance of blocks. Its top levels, fitted on a
-bounded sample, cut the fingerprints into shards; each shard grows its own lower levels in memory. A node has a
-vantage point p and a radius m: fingerprints within m of p go inside, the others outside. By the triangle
-inequality two blocks at most r bits apart have distances to p that differ by at most r, so only the outside
-fingerprints at distance m + r or less can have a partner inside: those also visit the inside. Every candidate
-pair is compared on all 64 bits, so the links are exact; the sample decides the balance of the shards alone.
+For each block there is one vantage-point tree. A node has a vantage point p, a mask of the bits that its Hamming
+distance looks at, and a radius m: fingerprints within m of p go inside, the others outside. By the triangle
+inequality two fingerprints at most r masked bits apart have distances to p that differ by at most r, so only the
+outside fingerprints at distance m + r or less can have a partner inside: those also visit the inside. A node looks
+at its tree's block (r = d // k), or, where all have the same block, at all bits (r = d).
+
+Trees grow over the whole table until no shard has more than SHARD_ROWS fingerprints: in each round, samples of
+the shards that are too large are split on the executors, and the driver gets the new nodes only. Each shard
+grows its own lower levels in memory. Every candidate pair is compared on all 64 bits, so the links are exact;
+samples decide the balance of the shards alone.
 
 EXACT_BITS links equal shingle fingerprints up to three bits: two blocks of 32 bits. Near copies for removal are
-found without fingerprints, by copies.
+linked by such trees first, and completed to all pairs of a similarity by copies.
 """
 
 from __future__ import annotations
@@ -32,11 +36,10 @@ SHINGLE_WORDS = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """When two prints link: at most `distance` differing bits, and at most `confirm` of the further bits if there are any."""
+    """When two prints link: at most `distance` differing bits, looked for by so many blocks."""
 
     distance: int
     blocks: int
-    confirm: int | None = None
 
     @property
     def width(self) -> int:
@@ -47,12 +50,24 @@ class Rule:
         """Differing bits of the closest block, at most."""
         return self.distance // self.blocks
 
+    def mask(self, k: int) -> int:
+        """The bits of the k-th block."""
+        return ((1 << self.width) - 1) << (k * self.width)
+
+    def metrics(self, k: int) -> list[tuple[int, int]]:
+        """(mask, how many masked bits partners can differ in) that the k-th tree's nodes may use, the best first."""
+        return [(self.mask(k), self.radius), (ALL_BITS, self.distance)]
+
 
+ALL_BITS = (1 << 64) - 1
 EXACT_BITS = Rule(distance=3, blocks=2)
-#: Prints that the top levels are fitted on, about.
-SAMPLE_ROWS = 20_000
-#: Distinct prints of one shard, about.
+#: Prints of a shard that a split is fitted on, about, and the levels that one round adds at most.
+FIT_ROWS = 8_192
+FIT_LEVELS = 8
+#: Distinct prints of one shard, at most (but for prints that no vantage point splits).
 SHARD_ROWS = 32_768
+#: A split must leave each side at most this part of its prints, visitors included.
+SIDE = 0.85
 #: Residents of a leaf that are compared without further splits.
 LEAF_ROWS = 96
 #: Cells of one comparison matrix.
@@ -101,34 +116,68 @@ def fingerprint_of(text: Column) -> Column:
     return compute(common.text_of(text))
 
 
-def block_of(bits: np.ndarray, k: int, width: int) -> np.ndarray:
-    """The k-th block of fingerprints."""
-    return ((bits >> np.uint64(k * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+#: A node of a tree: vantage point, mask, how far partners' distances can lie apart, radius, inside, outside. A
+#: negative child is a shard.
+Node = tuple[int, int, int, int, int, int]
 
 
-class Tree:
-    """The top levels over one block: nodes as (vantage point, radius, inside, outside); a negative child is a shard."""
+def vantage(points: np.ndarray, metrics: list[tuple[int, int]]) -> Node | None:
+    """The node that splits points best of a few tried, children left at 0; None if none splits them well enough."""
+    for mask, reach in metrics:
+        best = None
+        for k in range(3):
+            point = points[(len(points) // 4) * k + len(points) // 8]
+            sizes = np.cumsum(np.bincount(np.bitwise_count((points ^ point) & np.uint64(mask)), minlength=65 + reach))
+            radius = int(np.argmin(np.abs(2 * sizes[:65] - len(points))))
+            most = max(int(sizes[radius + reach]), len(points) - int(sizes[radius]))
+            if sizes[radius] and (best is None or most < best[0]):
+                best = most, (int(point), mask, reach, radius, 0, 0)
+        if best is not None and best[0] <= SIDE * len(points):
+            return best[1]
+    return None
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int) -> None:
-        self.reach = radius
-        self.nodes: list[list[int]] = []
-        self.shards = 0
-        self.root = self._grow(np.unique(sample), depth)
-
-    def _grow(self, points: np.ndarray, depth: int) -> int:
-        if depth == 0 or len(points) < 8 or (cut := vantage(points)) is None:
-            self.shards += 1
-            return -self.shards
-        point, radius, far = cut
-        at = len(self.nodes)
-        self.nodes.append([int(point), radius, 0, 0])
-        self.nodes[at][2] = self._grow(points[far <= radius], depth - 1)
-        self.nodes[at][3] = self._grow(points[far > radius], depth - 1)
+
+def split(home: np.ndarray, guest: np.ndarray, node: Node) -> tuple[np.ndarray, ...]:
+    """Masks: residents inside, residents outside; guests who visit the inside, the outside; residents outside who also visit the inside."""
+    point, mask, reach, radius = np.uint64(node[0]), np.uint64(node[1]), node[2], node[3]
+    near, far = (np.bitwise_count((x ^ point) & mask).astype(np.int16) for x in (home, guest))
+    inside = near <= radius
+    return inside, ~inside, far <= radius + reach, far > radius - reach, ~inside & (near <= radius + reach)
+
+
+def fitted(points: np.ndarray, metrics: list[tuple[int, int]], depth: int) -> list[Node]:
+    """A tree of up to so many levels over points, its root first, its shards numbered from 1; empty if nothing splits them."""
+    nodes: list[list[int]] = []
+    shards = 0
+
+    def grow(points: np.ndarray, depth: int) -> int:
+        nonlocal shards
+        cut = vantage(points, metrics) if depth and len(points) >= 16 else None
+        if cut is None:
+            shards += 1
+            return -shards
+        at = len(nodes)
+        nodes.append(list(cut))
+        inside = split(points, points[:0], cut)[0]
+        nodes[at][4] = grow(points[inside], depth - 1)
+        nodes[at][5] = grow(points[~inside], depth - 1)
         return at
 
-    def route(self, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, positions of residents, positions of visitors)."""
-        work = [(self.root, np.arange(len(blocks)), np.zeros(0, np.int64))]
+    grow(np.sort(points), depth)
+    return [tuple(n) for n in nodes]
+
+
+class Routes:
+    """A grown tree as arrays, to be broadcast: 32 bytes a node."""
+
+    def __init__(self, nodes: list[Node], root: int) -> None:
+        self.words = np.array([n[:2] for n in nodes], dtype=np.uint64).reshape(-1, 2)
+        self.rest = np.array([n[2:] for n in nodes], dtype=np.int32).reshape(-1, 4)
+        self.root = root
+
+    def route(self, bits: np.ndarray, visits: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, positions of residents, positions of visitors); without visits, residents only."""
+        work = [(self.root, np.arange(len(bits)), np.zeros(0, np.int64))]
         while work:
             at, home, guest = work.pop()
             if not len(home) and not len(guest):
@@ -136,35 +185,43 @@ class Tree:
             if at < 0:
                 yield -at, home, guest
                 continue
-            point, radius, inside, outside = self.nodes[at]
-            sides = split(blocks[home], blocks[guest], np.uint32(point), radius, self.reach)
-            (a, b), (c, d, e) = sides[:2], sides[2:]
-            work.append((inside, home[a], np.concatenate((guest[c], home[e]))))
-            work.append((outside, home[b], guest[d]))
-
-
-def vantage(points: np.ndarray) -> tuple[np.uint32, int, np.ndarray] | None:
-    """(vantage point, radius, distances) that split points best of a few tried, or None if none splits them."""
-    best = None
-    for k in range(3):
-        point = points[(len(points) // 4) * k + len(points) // 8]
-        far = np.bitwise_count(points ^ point)
-        sizes = np.cumsum(np.bincount(far, minlength=33))
-        radius = int(np.argmin(np.abs(2 * sizes - len(points))))
-        inside = int(sizes[radius])
-        if 0 < inside < len(points) and (best is None or abs(2 * inside - len(points)) < best[0]):
-            best = abs(2 * inside - len(points)), point, radius, far
-    return best and best[1:]
-
-
-def split(home: np.ndarray, guest: np.ndarray, point: np.uint32, radius: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Masks: residents inside, residents outside; guests who visit the inside, the outside; residents outside who also visit the inside.
-
-    reach: how far partners' distances to the vantage point can lie apart.
-    """
-    near, far = np.bitwise_count(home ^ point).astype(np.int16), np.bitwise_count(guest ^ point).astype(np.int16)
-    inside = near <= radius
-    return inside, ~inside, far <= radius + reach, far > radius - reach, ~inside & (near <= radius + reach)
+            node = (*self.words[at], *map(int, self.rest[at]))
+            a, b, c, d, e = split(bits[home], bits[guest], node)
+            work.append((node[4], home[a], np.concatenate((guest[c], home[e])) if visits else guest))
+            work.append((node[5], home[b], guest[d]))
+
+
+class Tree:
+    """The top levels over one block, as the driver grows them: one shard at first."""
+
+    def __init__(self) -> None:
+        self.nodes: list[list[int]] = []
+        self.shards = 1
+        self.root = -1
+        self.above: dict[int, tuple[int, int]] = {}
+
+    def attach(self, shard: int, new: list[Node]) -> None:
+        """Put a fitted tree in place of a shard, whose number its first shard takes over."""
+        begin, fresh = len(self.nodes), self.shards
+
+        def moved(child: int) -> int:
+            return child + begin if child >= 0 else -shard if child == -1 else child + 1 - fresh
+
+        for n in new:
+            self.nodes.append([*n[:4], moved(n[4]), moved(n[5])])
+        if shard in self.above:
+            at, side = self.above[shard]
+            self.nodes[at][side] = begin
+        else:
+            self.root = begin
+        for at in range(begin, len(self.nodes)):
+            for side in (4, 5):
+                if self.nodes[at][side] < 0:
+                    self.above[-self.nodes[at][side]] = at, side
+                    self.shards = max(self.shards, -self.nodes[at][side])
+
+    def routes(self) -> Routes:
+        return Routes(self.nodes, self.root)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,18 +244,11 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Prints:
-    """Fingerprints, and their further bits if the rule has any."""
+    """Fingerprints, and when they link."""
 
     bits: np.ndarray
-    more: np.ndarray | None
     rule: Rule
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether a[i] and b[i] link, for pairs within the distance."""
-        if self.more is None:
-            return np.ones(len(a), bool)
-        return np.bitwise_count(self.more[a] ^ self.more[b]).sum(axis=1, dtype=np.int64) <= self.rule.confirm
-
     def flood(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spanning edges of members by breadth-first search: each is compared with those not yet reached only.
 
@@ -211,7 +261,6 @@ class Prints:
             while queue and len(left):
                 at = queue.pop()
                 near = np.bitwise_count(self.bits[left] ^ self.bits[at]) <= self.rule.distance
-                near[near] = self.linked(left[near], np.full(int(near.sum()), at))
                 if near.any():
                     out.append((left[near], np.full(int(near.sum()), root)))
                     queue += left[near].tolist()
@@ -220,7 +269,7 @@ class Prints:
 
     def links(self, home: np.ndarray, guest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Spanning edges of all linked pairs among residents, and between residents and guests, by the tree over block k."""
-        block = block_of(self.bits, k, self.rule.width)
+        metrics = self.rule.metrics(k)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         work = [(home, guest)]
@@ -228,10 +277,9 @@ class Prints:
             home, guest = work.pop()
             if not len(home):
                 continue
-            cut = vantage(block[home]) if len(home) > LEAF_ROWS else None
+            cut = vantage(self.bits[home], metrics) if len(home) > LEAF_ROWS else None
             if cut is not None:
-                point, radius, _ = cut
-                a, b, c, d, e = split(block[home], block[guest], point, radius, self.rule.radius)
+                a, b, c, d, e = split(self.bits[home], self.bits[guest], cut)
                 work += [(home[a], np.concatenate((guest[c], home[e]))), (home[b], guest[d])]
                 continue
             every = np.concatenate((home, guest))
@@ -245,9 +293,7 @@ class Prints:
                     i, j = np.nonzero(np.bitwise_count(self.bits[home][:, None] ^ self.bits[other][None, :]) <= self.rule.distance)
                     i, j = home[i], other[j]
                     differ = i != j
-                    i, j = i[differ], j[differ]
-                    keep = self.linked(i, j)
-                    found.append((i[keep], j[keep]))
+                    found.append((i[differ], j[differ]))
                     held += len(found[-1][0])
             if held > MATRIX:
                 found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
@@ -255,69 +301,119 @@ class Prints:
         return spanning(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (home[:0], home[:0])
 
 
-def arrays(body: pd.Series, rule: Rule) -> Prints:
-    """Prints from their bytes: 8 of fingerprint, then any further bits."""
-    lanes = np.frombuffer(b"".join(body), ">u8").astype(np.uint64).reshape(len(body), -1)
-    return Prints(np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1:]) if lanes.shape[1] > 1 else None, rule)
+NODES = "tree int, shard int, nodes array<struct<point:long,mask:long,reach:int,radius:int,inside:int,outside:int>>"
 
 
-def link_edges(prints: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): edges between nodes that connect all prints that links connect.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    prints: distinct rows of (node, body). Rows grow by the visits only; a shard's edges are at most as many as
-    its prints.
+def grown(prints: DataFrame, rule: Rule) -> list[Tree]:
+    """The trees over all prints (print long), split until no shard that can be split has more than SHARD_ROWS.
+
+    Each round fits the shards that are too large on samples of FIT_ROWS, in one group each, and adds up to
+    FIT_LEVELS levels; the driver collects nodes, of which there are about twice as many as shards.
     """
     spark = prints.sparkSession
-    rows = prints.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS))))
-    sample = np.array([int.from_bytes(r.body[:8], "big") for r in common.sampled(prints, "node", rows, SAMPLE_ROWS).collect()], dtype=np.uint64)
-    trees = spark.sparkContext.broadcast([Tree(block_of(sample, k, rule.width), depth, rule.radius) for k in range(rule.blocks)])
+    trees, done = [Tree() for _ in range(rule.blocks)], set()
+    while True:
+        shared = spark.sparkContext.broadcast([t.routes() for t in trees])
+
+        def residents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                bits = batch["print"].to_numpy(np.int64).view(np.uint64)
+                for k, tree in enumerate(shared.value):  # noqa: B023
+                    rows = [(k, shard, len(home)) for shard, home, _ in tree.route(bits, visits=False)]
+                    yield pd.DataFrame(rows, columns=["tree", "shard", "n"])
+
+        counted = prints.mapInPandas(residents, "tree int, shard int, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n"))
+        large = {(r.tree, r.shard): r.n for r in counted.where(F.col("n") > SHARD_ROWS).collect() if (r.tree, r.shard) not in done}
+        if not large:
+            return trees
+        shares = {key: min(1 << 30, int(FIT_ROWS / n * (1 << 30))) for key, n in large.items()}
+        depths = {key: min(FIT_LEVELS, int(np.ceil(np.log2(n / SHARD_ROWS))) + 1) for key, n in large.items()}
+
+        def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                bits = batch["print"].to_numpy(np.int64).view(np.uint64)
+                luck = (copies.mixed(bits) >> np.uint64(34)).astype(np.int64)
+                for k, tree in enumerate(shared.value):  # noqa: B023
+                    for shard, home, _ in tree.route(bits, visits=False):
+                        some = home[luck[home] < shares.get((k, shard), 0)]  # noqa: B023
+                        yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "print": bits[some].view(np.int64)})
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            k, shard = int(group["tree"].iloc[0]), int(group["shard"].iloc[0])
+            nodes = fitted(group["print"].to_numpy(np.int64).view(np.uint64), rule.metrics(k), depths[k, shard])  # noqa: B023
+            named = [{"point": _signed(n[0]), "mask": _signed(n[1]), "reach": n[2], "radius": n[3], "inside": n[4], "outside": n[5]} for n in nodes]
+            return pd.DataFrame({"tree": [k], "shard": [shard], "nodes": [named]}).astype({"tree": np.int32, "shard": np.int32})
+
+        new = prints.mapInPandas(sampled, "tree int, shard int, print long").groupBy("tree", "shard").applyInPandas(fit, NODES).collect()
+        done |= large.keys()
+        for r in new:
+            if r.nodes:
+                trees[r.tree].attach(r.shard, [(n.point % (1 << 64), n.mask % (1 << 64), n.reach, n.radius, n.inside, n.outside) for n in r.nodes])
+                done.discard((r.tree, r.shard))  # its number goes on as one of the new shards
+        shared.unpersist()
+
+
+def link_edges(prints: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): edges that connect all prints (print long, distinct) that links connect.
+
+    Rows grow by the visits only; a shard's edges are at most as many as its prints.
+    """
+    trees = prints.sparkSession.sparkContext.broadcast([t.routes() for t in grown(prints, rule)])
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            node, body = batch["node"].to_numpy(np.int64), batch["body"]
-            own = arrays(body, rule)
+            own = batch["print"].to_numpy(np.int64)
             for k, tree in enumerate(trees.value):
-                for shard, home, guest in tree.route(block_of(own.bits, k, rule.width)):
+                for shard, home, guest in tree.route(own.view(np.uint64)):
                     at = np.concatenate((home, guest))
-                    yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "node": node[at], "body": body.iloc[at].to_numpy()})
+                    yield pd.DataFrame({"tree": np.int32(k), "shard": np.int32(shard), "guest": np.arange(len(at)) >= len(home), "print": own[at]})
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        guest, node = group["guest"].to_numpy(bool), group["node"].to_numpy(np.int64)
-        a, b = arrays(group["body"], rule).links(np.flatnonzero(~guest), np.flatnonzero(guest), int(group["tree"].iloc[0]))
-        return pd.DataFrame({"a": node[a], "b": node[b]})
+        guest, own = group["guest"].to_numpy(bool), group["print"].to_numpy(np.int64)
+        a, b = Prints(own.view(np.uint64), rule).links(np.flatnonzero(~guest), np.flatnonzero(guest), int(group["tree"].iloc[0]))
+        return pd.DataFrame({"a": own[a], "b": own[b]})
 
-    routed = prints.select("node", "body").mapInPandas(visits, "tree int, shard int, guest boolean, node long, body binary")
+    routed = prints.select("print").mapInPandas(visits, "tree int, shard int, guest boolean, print long")
     return routed.groupBy("tree", "shard").applyInPandas(joined, "a long, b long")
 
 
 def classes(rows: DataFrame, key: str, rule: Rule) -> DataFrame:
-    """(node, low, root, component_id) for every distinct print of rows(key, node, body).
+    """(print, low, root, component_id) for every distinct print of rows(key, print).
 
     low: the smallest non-null key of the print's rows; root: equal for linked prints; component_id: the
-    smallest low of the component, null if it has none. Nodes are numbers, so that all of it aggregates in place.
+    smallest low of the component, null if it has none. Prints are numbers, so that all of it aggregates in place.
     """
-    prints = common.written(rows.groupBy("node", "body").agg(F.min(key).alias("low")), "prints")
-    roots = graph.components(link_edges(prints, rule))
-    placed = prints.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prints = common.written(rows.groupBy("print").agg(F.min(key).alias("low")), "prints")
+    roots = graph.components(link_edges(prints, rule)).withColumnRenamed("node", "print")
+    placed = prints.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     return placed.join(lowest, "root")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = EXACT_BITS) -> DataFrame:
-    """(key, node, component_id) of every row of df: its shingle fingerprint as a signed number, and its component."""
+    """(key, print, component_id) of every row of df: its shingle fingerprint as a signed number, and its component."""
     rows = df.select(F.col(key), fingerprint_of(F.col(text)).alias("body"))
-    # The fingerprint itself is the node: two's complement from its hex digits, in two halves.
+    # Two's complement from its hex digits, in two halves.
     half = lambda at: F.conv(F.substring(F.hex("body"), at, 8), 16, 10).cast("long")
-    rows = common.written(rows.withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9))), "fingerprints")
-    return rows.select(key, "node").join(classes(rows, key, rule).select("node", "component_id"), "node").select(key, "node", "component_id")
+    rows = common.written(rows.select(key, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("print")), "fingerprints")
+    return rows.join(classes(rows, key, rule).select("print", "component_id"), "print").select(key, "print", "component_id")
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of near copies by the exact similarity of their five-word shingles; see copies."""
-    return copies.without_near_copies(df, key, text)
+    """One row of each component of near copies: five-word shingles, a similarity of four fifths or more.
+
+    The trees link texts whose five-word fingerprints differ in three bits or fewer; copies confirms those links
+    on the whole sets and finds all that fingerprints are too coarse for.
+
+    Of a component the row with the smallest key stays, whole; nulls count as largest. Null, empty and white-space
+    texts are copies of each other. Of repeated rows and of equal keys in a component one row stays. Very long
+    texts are compared whole. Empty table: no rows. Extra columns stay, whatever their names.
+    """
+    return copies.without_near_copies(df, lambda prints: link_edges(prints, EXACT_BITS), key, text)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,4 +426,4 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -44,36 +44,72 @@ def test_long_text_fingerprint():
     assert simhash.fingerprint(text) == fingerprint(text)
 
 
-@pytest.mark.parametrize("rule", [simhash.EXACT_BITS, simhash.Rule(11, 4)])
-def test_links_are_exact(rule, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
-    rng = np.random.default_rng(5)
+def clusters(rng, rule):
+    """Random prints, near ones, a dense cluster, and many with the same half."""
     base = rng.integers(0, 2**64, 1500, dtype=np.uint64)
     near = np.repeat(base[:200], 3)
     for _ in range(rule.distance):
         near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
     dense = np.array([int(base[0]) ^ (1 << a | 1 << b) for a in range(64) for b in range(a)], dtype=np.uint64)
     same_half = (base[7] & np.uint64(0xFFFFFFFF)) | (rng.integers(0, 2**32, 300, dtype=np.uint64) << np.uint64(32))
-    bits = np.unique(np.concatenate((base, near, dense, same_half)))
-    prints = simhash.Prints(bits, None, rule)
+    return np.unique(np.concatenate((base, near, dense, same_half)))
+
+
+@pytest.mark.parametrize("rule", [simhash.EXACT_BITS, simhash.Rule(7, 4)])
+def test_links_are_exact(rule, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
+    bits = clusters(np.random.default_rng(5), rule)
+    prints = simhash.Prints(bits, rule)
     found = []
     for k in range(rule.blocks):
-        tree = simhash.Tree(simhash.block_of(bits[::5], k, rule.width), 3, rule.radius)
+        tree = simhash.Tree()
+        tree.attach(1, simhash.fitted(bits[::5], rule.metrics(k), 3))
+        deeper = [s for s, home, _ in tree.routes().route(bits, visits=False) if len(home) > 300]
+        for shard in deeper:
+            (own,) = (bits[home] for s, home, _ in tree.routes().route(bits, visits=False) if s == shard)
+            if new := simhash.fitted(own, rule.metrics(k), 2):
+                tree.attach(shard, new)
         homes = []
-        for _, home, guest in tree.route(simhash.block_of(bits, k, rule.width)):
+        for _, home, guest in tree.routes().route(bits):
             homes.append(home)
             found.append(prints.links(home, guest, k))
         assert sorted(np.concatenate(homes)) == list(range(len(bits)))  # each lives in one shard
+        alone = [home for _, home, _ in tree.routes().route(bits, visits=False)]
+        assert sorted(map(tuple, alone)) == sorted(tuple(h) for h in homes if len(h))
     member, root = simhash.spanning(*(np.concatenate(x) for x in zip(*found)))
     got = np.arange(len(bits))
     got[member] = root
     assert (got == closure(np.bitwise_count(bits[:, None] ^ bits[None]) <= rule.distance)).all()
 
 
+def test_shards_go_on_splitting(spark, monkeypatch):
+    """Far deeper than one sample can reach, and over prints that share a block."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    monkeypatch.setattr(simhash, "FIT_ROWS", 256)
+    monkeypatch.setattr(simhash, "FIT_LEVELS", 2)
+    rng = np.random.default_rng(9)
+    spread = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    same = np.uint64(77) | (rng.integers(0, 2**32, 2000, dtype=np.uint64) << np.uint64(32))
+    bits = np.unique(np.concatenate((spread, same, clusters(rng, simhash.EXACT_BITS))))
+    prints = spark.createDataFrame([(int(b),) for b in bits.view(np.int64)], "print long").repartition(4)
+    trees = simhash.grown(prints, simhash.EXACT_BITS)
+    for k, tree in enumerate(trees):
+        for _, home, _ in tree.routes().route(bits, visits=False):
+            if len(home) > 60:  # what no vantage point splits well
+                assert simhash.vantage(np.sort(bits[home]), simhash.EXACT_BITS.metrics(k)) is None or len(home) < 120
+    assert sum(len(h) for _, h, _ in trees[0].routes().route(bits, visits=False)) == len(bits)
+    edges = simhash.link_edges(prints, simhash.EXACT_BITS).collect()
+    place = {int(b): n for n, b in enumerate(bits.view(np.int64))}
+    member, root = simhash.spanning(np.array([place[r.a] for r in edges]), np.array([place[r.b] for r in edges]))
+    got = np.arange(len(bits))
+    got[member] = root
+    assert (got == closure(np.bitwise_count(bits[:, None] ^ bits[None]) <= 3)).all()
+
+
 def test_flood_agrees():
     rng = np.random.default_rng(2)
     bits = np.unique(rng.integers(0, 2**10, 400, dtype=np.uint64) << np.uint64(3))
-    prints = simhash.Prints(bits, None, simhash.EXACT_BITS)
+    prints = simhash.Prints(bits, simhash.EXACT_BITS)
     member, root = simhash.spanning(*prints.flood(np.arange(len(bits))))
     got = np.arange(len(bits))
     got[member] = root
@@ -112,8 +148,9 @@ def test_odd_tables(spark, odd_dir):
 
 
 def test_one_of_each_group_stays(spark, odd):
+    odd = odd.selectExpr("*", "'n' as __node", "'b' as __body", "'r' as row", "1.5 as id", "'k' as best")
     kept = simhash.without_near_duplicates(odd)
-    assert kept.columns == odd.columns
+    assert kept.dtypes == odd.dtypes and set(map(str, kept.collect())) <= set(map(str, odd.collect()))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (-3, 1, 3, 6, 7, 8, 9, 9223372036854775807)] + [(True, 0)]
     assert simhash.without_near_duplicates(odd.limit(0)).collect() == []
 
