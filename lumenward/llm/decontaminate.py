@@ -1,10 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A fixed mask over a window of words keeps some positions and ignores the others, so a substituted word at an
-ignored position leaves the window's hash as it was. Hashes of benchmark and document windows are joined; every
-hit names a diagonal (how far the item is shifted against the document), and around it the two texts are
-compared word by word. A leak is a stretch of the diagonal with at least four in five words equal: the one with
-most to gain, or all of the overlap if that is good enough.
+ignored position leaves the window's hash as it was. The masks below miss no stretch of up to 20 words with one in
+five substituted, wherever the substitutions are. Hashes of benchmark and document windows are joined; every hit
+names a diagonal (how far the item is shifted against the document), and along it the two texts are compared word
+by word. A leak is a stretch of the diagonal with at least four in five words equal: the one with most to gain, or
+all of the overlap if that is good enough.
+
+What is broadcast has a fixed size, whatever the benchmark's: bit maps of its words and of its hashes, which say
+what cannot be in it. Document windows that may be in it become rows and are joined with the benchmark's; frequent
+hashes are dealt to several tasks. Each text is verified once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -14,24 +19,30 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenward.llm import common
 
-#: Kept (1) and ignored (0) positions. Each window has 11 words, of which 7 are hashed.
-MASKS = ("11101100101", "11011010011", "10110111001", "11001011101")
-SPAN = 11
+#: Kept (1) and ignored (0) positions, by the least number of words of the items that they are for.
+MASKS = {1: None, 5: ("1101", "1011"), 8: ("11101", "1111"), 16: ("1111011", "1110100011", "10101111")}
 #: Equal words that a leak needs; of a shorter item, four fifths of its words.
 MIN_EQUAL = 13
 SHARE = 0.8
 #: A substituted word costs as much as this many equal words earn: the share above.
 COST = 4
-#: Bytes of benchmark text that one pass over the documents looks for.
-BLOCK_BYTES = 8_000_000
+#: Bits of the maps of words and of hashes, as powers of two.
+WORD_BITS, HASH_BITS = 24, 26
+#: Hits of one hash that one task joins, about.
+SALT_ROWS = 100_000
+#: Leaking texts (16 bytes each) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 CACHE_CHUNKS = 150_000
 _EDGE = b".,;:!?\"'()[]{}<>*_`%#-"
-SCHEMA = "array<struct<item_id:long,n_equal:int,item_words:int,start:int,stop:int>>"
+#: Codes of bare punctuation, which is no word, and of words that the benchmark does not have.
+_NONE, _OTHER = 0, 1
+LEAK = "item_id long, n_equal int, item_words int, start int, stop int"
 
 
 def normal(word: bytes) -> bytes:
@@ -40,140 +51,231 @@ def normal(word: bytes) -> bytes:
     return bare if bare.isascii() else bare.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
 
 
-class Seeds:
-    """The hashed windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        vocabulary: dict[bytes, int] = {}
-        self.words = []
-        for _, text in items:
-            words = [w for w in map(normal, common.words_of(text)) if w]
-            self.words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], dtype=np.int32))
-        self.vocabulary = vocabulary
-        # An item shorter than a window is looked for as one window of its own length with no ignored position.
-        short = {len(w) for w in self.words if 0 < len(w) < SPAN}
-        masks = [(SPAN, [k for k, c in enumerate(m) if c == "1"]) for m in MASKS] + [(n, list(range(n))) for n in sorted(short)]
-        self.tables = []
-        for span, kept in masks:
-            keys, item, place = [], [], []
-            for i, words in enumerate(self.words):
-                if len(words) >= SPAN if span == SPAN else len(words) == span:
-                    own = self.hashes(words, kept, np.arange(len(words) - span + 1))
-                    keys.append(own)
-                    item.append(np.full(len(own), i))
-                    place.append(np.arange(len(own)))
-            if keys:
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                some = np.zeros(1 << 18, bool)
-                some[key >> np.uint64(46)] = True
-                self.tables.append((span, kept, key[order], np.concatenate(item)[order], np.concatenate(place)[order], some))
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of so many words; one of up to four words is looked for whole."""
+    least = max((k for k in MASKS if k <= n), default=0)
+    return () if not least else MASKS[least] or ("1" * n,)
+
+
+def need_of(n: int) -> int:
+    """Equal words that a leak of an item of so many words needs."""
+    return min(MIN_EQUAL, -(-4 * n // 5))
+
+
+class Coder:
+    """Texts as 64-bit codes of their words; chunks keep theirs in a bounded cache."""
+
+    def __init__(self, known: np.ndarray | None = None) -> None:
+        self.known = known
         self.cache: dict[bytes, int] = {}
 
-    @staticmethod
-    def hashes(words: np.ndarray, kept: list[int], at: np.ndarray) -> np.ndarray:
-        """A hash of the kept words of the windows that begin at the given places."""
-        out = np.full(len(at), 0x9E3779B97F4A7C15, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in kept:
-                out = (out ^ words[at + k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                out ^= out >> np.uint64(29)
-        return out
-
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Vocabulary numbers of all words of all texts; 0 where the benchmark has no such word, -1 for bare punctuation."""
+    def _code(self, chunk: bytes) -> int:
+        bare = normal(chunk)
+        if not bare:
+            return _NONE
+        code = xxhash.xxh64_intdigest(bare) | 2
+        return code if self.known is None or on(self.known, _top(np.array([code], np.uint64), bits_of(self.known)))[0] else _OTHER
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code, text and place among the text's chunks of every word; bare punctuation is left out."""
+        words = [common.words_of(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        for w in set().union(*texts).difference(self.cache):
-            bare = normal(w)
-            self.cache[w] = self.vocabulary.get(bare, 0) if bare else -1
-        return np.fromiter(map(self.cache.__getitem__, chain.from_iterable(texts)), np.int32, sum(map(len, texts)))
-
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the window, item, place in the item) of every equal hash."""
-        found = [(np.zeros(0, np.int64),) * 3]
-        known = numbers > 0
-        for span, kept, key, item, place, some in self.tables:
-            last = len(numbers) - span + 1
-            if last < 1:
-                continue
-            full = known[kept[0] : kept[0] + last].copy()
-            for k in kept[1:]:
-                full &= known[k : k + last]
-            at = np.flatnonzero(full)
-            own = self.hashes(numbers, kept, at)
-            maybe = some[own >> np.uint64(46)]
-            at, own = at[maybe], own[maybe]
-            low, high = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-            n = high - low
-            row = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(at, n), item[row], place[row]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def leaks(self, texts: list[str]) -> list[list[dict]]:
-        """Per text, the best leak of each item: equal words, and where the stretch stands (word numbers)."""
-        words = [common.words_of(t) for t in texts]
-        numbers = self.numbers(words)
-        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
-        place = np.arange(len(numbers)) - np.searchsorted(text, text)
-        solid = numbers >= 0  # bare punctuation does not count as a word
-        numbers, text, place = numbers[solid], text[solid], place[solid]
-        begin = np.searchsorted(text, np.arange(len(texts) + 1))
-        at, item, inside = self.hits(numbers)
-        diagonals = np.unique(np.stack((text[at], item, at - inside), axis=1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
-        best: list[dict[int, dict]] = [{} for _ in texts]
-        for t, i, shift in diagonals.tolist():
-            own = self.words[i]
-            a, b = max(shift, int(begin[t])), min(shift + len(own), int(begin[t + 1]))
-            if b <= a:
-                continue
-            equal = numbers[a:b] == own[a - shift : b - shift]
-            run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -COST))))
-            gain = run - np.minimum.accumulate(run)
-            stop = int(gain.argmax())
-            start = int(run[: stop + 1].argmin())
-            n = int(equal[start:stop].sum())
-            if n < equal.sum() >= SHARE * len(equal):  # substitutions near the ends cost more than they stand for
-                start, stop, n = 0, len(equal), int(equal.sum())
-            need = min(MIN_EQUAL, int(np.ceil(SHARE * len(own))))
-            if n >= need and n > best[t].get(i, {}).get("n_equal", 0):
-                best[t][i] = {"item_id": self.ids[i], "n_equal": n, "item_words": len(own), "start": int(place[a + start]), "stop": int(place[a + stop - 1]) + 1}
-        return [[x[i] for i in sorted(x)] for x in best]
-
-
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Seeds]:
-    """The benchmark in blocks of about BLOCK_BYTES, each collected alone: any size of benchmark is looked for whole."""
-    items = benchmark.where(F.length(F.trim(common.text_of(text))) > 0).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Seeds(sorted(((r.item, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-
-
-def leaks_of(spark: SparkSession, text: Column, benchmark: DataFrame) -> Column:
-    """array<struct<item_id, n_equal, item_words, start, stop>> of a text: the items that it leaks."""
-
-    def of(seeds: Seeds) -> Column:
-        shared = spark.sparkContext.broadcast(seeds)
-
-        @F.pandas_udf(SCHEMA)
+        for w in set().union(*words).difference(self.cache):
+            self.cache[w] = self._code(w)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
+        text = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        solid = code != _NONE
+        return code[solid], text[solid], place[solid]
+
+
+def bits_of(bitmap: np.ndarray) -> int:
+    """The size of a map as a power of two."""
+    return len(bitmap).bit_length() + 5
+
+
+def _top(codes: np.ndarray, size: int) -> np.ndarray:
+    return codes >> np.uint64(64 - size)
+
+
+def on(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bits are set in a map of 64-bit words."""
+    return (bitmap[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+
+
+def windows(code: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the windows of a mask that lie in one text and whose kept words the benchmark may have."""
+    kept, last = [k for k, c in enumerate(mask) if c == "1"], len(code) - len(mask) + 1
+    if last < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    known = code != _OTHER
+    full = text[:last] == text[len(mask) - 1 :]
+    for k in kept:
+        full &= known[k : k + last]
+    at = np.flatnonzero(full)
+    out = np.full(len(at), xxhash.xxh64_intdigest(mask.encode()), dtype=np.uint64)
+    for k in kept:
+        out = (out ^ code[at + k]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out, at
+
+
+def _probes(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the map that a hash sets."""
+    return _top(hashes, size), _top(hashes * np.uint64(0x9E3779B97F4A7C15), size)
+
+
+def bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """A map of 2 ** size bits with those of bits(bit long) set; at most 2 ** (size - 6) rows come to the driver."""
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("own")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("own").to_numpy().view(np.uint64)
+    return out
+
+
+class Benchmark:
+    """The items of a benchmark and their seeds as tables, and what is broadcast of them."""
+
+    def __init__(self, items: DataFrame, key: str = "item_id", text: str = "text") -> None:
+        spark = items.sparkSession
+        word_bits, hash_bits = WORD_BITS, HASH_BITS
+        rows = items.where(F.length(F.trim(common.text_of(text))) > 0)
+        self.items = common.written(rows.select(F.monotonically_increasing_id().alias("item"), F.col(key).cast("long").alias("item_id"), F.col(text).alias("item_text")), "items")
+
+        def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            coder = Coder()
+            for batch in batches:
+                for item, own in zip(batch["item"], batch["item_text"], strict=True):
+                    code, text, _ = coder.codes([own])
+                    for mask in masks_of(len(code)):
+                        hashes, at = windows(code, text, mask)
+                        yield pd.DataFrame({"mask": mask, "hash": hashes.view(np.int64), "item": item, "inside": at.astype(np.int32)})
+
+        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            coder = Coder()
+            for batch in batches:
+                for own in batch["item_text"]:
+                    yield pd.DataFrame({"bit": _top(np.unique(coder.codes([own])[0]), word_bits).view(np.int64)})
+
+        def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"bit": np.concatenate(_probes(batch["hash"].to_numpy(np.int64).view(np.uint64), hash_bits)).view(np.int64)})
+
+        self.seeds = common.written(self.items.mapInPandas(seeds, "mask string, hash long, item long, inside int"), "seeds")
+        self.masks = sorted(r.mask for r in self.seeds.select("mask").distinct().collect())
+        maps = bitmap(self.items.mapInPandas(words, "bit long"), word_bits), bitmap(self.seeds.select("hash").mapInPandas(probes, "bit long"), hash_bits)
+        self.maps = spark.sparkContext.broadcast(maps)
+
+    def hits(self, text: Column) -> Column:
+        """struct<hash, at>: the windows of a text that the benchmark may have, null if there is none."""
+        shared, masks = self.maps, self.masks
+
+        @F.pandas_udf("struct<hash:array<long>,at:array<int>>")
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            own = shared.value
-            for texts in batches:
-                yield pd.Series([found for run in common.portions(texts.tolist()) for found in own.leaks(run)], dtype=object)
+            known, seeded = shared.value
+            coder = Coder(known)
+            for batch in batches:
+                out: list[dict | None] = []
+                for texts in common.portions(batch.tolist()):
+                    code, text, _ = coder.codes(texts)
+                    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                    for mask in masks:
+                        hashes, at = windows(code, text, mask)
+                        a, b = _probes(hashes, bits_of(seeded))
+                        maybe = on(seeded, a)
+                        maybe[maybe] = on(seeded, b[maybe])
+                        found.append((hashes[maybe], at[maybe]))
+                    hashes, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                    begin = np.searchsorted(text, np.arange(len(texts)))
+                    order = np.argsort(text[at], kind="stable")
+                    hashes, at = hashes[order].view(np.int64), at[order]
+                    cut = np.searchsorted(text[at], np.arange(len(texts) + 1))
+                    out += [{"hash": hashes[a:b], "at": (at[a:b] - begin[t]).astype(np.int32)} if b > a else None for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+                yield pd.DataFrame({"hash": [x and x["hash"] for x in out], "at": [x and x["at"] for x in out]}).astype(object)
 
         return find(common.text_of(text))
 
-    parts = [of(seeds) for seeds in blocks(benchmark)]
-    return F.concat(*parts) if parts else F.array().cast(SCHEMA)
+
+def verified(text: str, item: str, shifts: list[int]) -> dict | None:
+    """The best leak of an item in a text along the given diagonals: equal words, and where the stretch stands (word numbers)."""
+    coder = Coder()
+    (words, _, place), (own, _, _) = coder.codes([text]), coder.codes([item])
+    best: dict | None = None
+    for shift in sorted(set(shifts)):
+        a, b = max(shift, 0), min(shift + len(own), len(words))
+        if b <= a:
+            continue
+        equal = words[a:b] == own[a - shift : b - shift]
+        run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -COST))))
+        gain = run - np.minimum.accumulate(run)
+        stop = int(gain.argmax())
+        start = int(run[: stop + 1].argmin())
+        n = int(equal[start:stop].sum())
+        if n < equal.sum() >= SHARE * len(equal):  # substitutions near the ends cost more than they stand for
+            start, stop, n = 0, len(equal), int(equal.sum())
+        if n >= need_of(len(own)) and n > (best or {}).get("n_equal", 0):
+            best = {"n_equal": n, "item_words": len(own), "start": int(place[a + start]), "stop": int(place[a + stop - 1]) + 1}
+    return best
+
+
+def digest(text: Column) -> list[Column]:
+    """128 bits that stand for a text (null: empty)."""
+    own = common.text_of(text)
+    return [F.xxhash64(own).alias("h1"), F.xxhash64(F.lit("second lane"), own).alias("h2")]
+
+
+def suspects(docs: DataFrame, text: str, benchmark: Benchmark, *carried: Column) -> DataFrame:
+    """(carried, h1, h2, text, hits) of the rows whose text has any window that the benchmark may have, written."""
+    rows = docs.select(*carried, *digest(F.col(text)), F.col(text).alias("__text"), benchmark.hits(F.col(text)).alias("__hits"))
+    return common.written(rows.where("__hits.hash is not null"), "suspects")
+
+
+def leaks(found: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """(h1, h2, LEAK) of every text of suspects() and every item that it leaks, written; equal texts are one."""
+    once = found.groupBy("h1", "h2").agg(F.first(F.struct("__text", "__hits")).alias("own"))
+    once = common.written(once.select("h1", "h2", "own.*"), "once")
+    hits = once.select("h1", "h2", F.inline(F.arrays_zip(F.col("__hits.hash").alias("hash"), F.col("__hits.at").alias("at"))))
+    # Hits and seeds of a frequent hash meet in several tasks: each hit in one of them, the seeds in all.
+    frequent = common.written(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("hash", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "frequent")
+    salts = F.coalesce("salts", F.lit(1))
+    hits = hits.join(frequent, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("h1", "at"), salts).cast("int")).drop("salts")
+    seeds = benchmark.seeds.join(frequent, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    pairs = hits.join(seeds, ["hash", "salt"]).select("h1", "h2", "item", (F.col("at") - F.col("inside")).alias("shift")).distinct()
+    pairs = common.written(pairs.groupBy("h1", "h2", "item").agg(F.collect_list("shift").alias("shifts")), "diagonals")
+
+    @F.pandas_udf("struct<n_equal:int,item_words:int,start:int,stop:int>")
+    def verify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, items, shifts in batches:
+            rows = [verified(t, i, s) or {} for t, i, s in zip(texts, items, shifts, strict=True)]
+            yield pd.DataFrame({k: pd.array([r.get(k) for r in rows], dtype="Int32") for k in ("n_equal", "item_words", "start", "stop")})
+
+    both = pairs.join(once.select("h1", "h2", "__text"), ["h1", "h2"]).join(benchmark.items, "item")
+    checked = both.select("h1", "h2", "item_id", verify("__text", "item_text", "shifts").alias("leak"))
+    return common.written(checked.select("h1", "h2", "item_id", "leak.*").where("n_equal is not null"), "leaks")
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, LEAK): a row for each document and benchmark item that it leaks."""
+    own = Benchmark(benchmark)
+    found = suspects(docs, text, own, F.col(key))
+    return found.select(key, "h1", "h2").join(leaks(found, own), ["h1", "h2"]).drop("h1", "h2")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that leak no benchmark item, with their columns. Row-local, no shuffle."""
-    marked = docs.withColumn("__leaks", leaks_of(docs.sparkSession, F.col(text), benchmark))
-    return marked.where(F.size("__leaks") == 0).select(*docs.columns)
+    """The documents that leak no benchmark item, with their columns, whatever their names.
+
+    Null and empty texts stay. Repeated rows: all stay or all go. Empty benchmark: all stay. Empty table: no rows.
+    """
+    own = Benchmark(benchmark)
+    with common.temporary(docs.sparkSession) as kept:
+        kept.append(common.scratch(docs.sparkSession, "leaking"))
+        bad = common.written(leaks(suspects(docs, text, own), own).select("h1", "h2").distinct(), "leaking", kept[0])
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    # The row travels as one value, so that no column of its own can clash with the digests.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *digest(F.col(text)))
+    return rows.join(bad, ["h1", "h2"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +285,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     Empty tables: no rows. Other columns are not read.
     """
     common.arrow_batches(spark)
-    docs = common.table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(leaks_of(spark, F.col("text"), common.table(spark, sf_dir, "benchmark"))).alias("leak"))
-    return found.select("doc_id", "leak.*")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaked(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_equal", "item_words", "start", "stop")
