@@ -11,7 +11,7 @@ All amounts are integers, compared in decimals, so sums are exact and results th
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +33,9 @@ MAX_EPOCHS = 2
 SEED = 17
 #: Documents of a leaf that one task puts in order, about.
 ROWS_PER_BUCKET = 4_000
-#: Leaves (or leaf buckets) that may be broadcast; about 100 bytes each.
-BROADCAST_ROWS = 100_000
+#: Leaves (or leaf buckets) that may be broadcast, about 100 bytes each; and rows of the mixture, 24 bytes each.
+BROADCAST_ROWS, BROADCAST_CHOSEN = 100_000, 500_000
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def domain_of(source: Column) -> Column:
@@ -140,34 +141,38 @@ def mix(
     return out.withColumn("taken_tokens", F.col("epochs") * F.col(tokens) + F.col("prefix_tokens"))
 
 
-def counted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, domain, lang, source, n_tokens) of documents, written: tokens are runs without ASCII white space."""
-    word = F.regexp_count(common.text_of("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def leaf_columns(domain: Callable[[Column], Column] = domain_of) -> list[Column]:
+    """domain, lang, source and n_tokens of documents: tokens are runs without ASCII white space.
+
+    domain: the domain of a source. The default deals sources out by number, for tables whose sources are numbered.
+    """
     source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
-    return common.written(docs.select(key, domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), word.alias("n_tokens")), "counted")
+    words = F.regexp_count(common.text_of("text"), F.lit(_WORD)).cast("long")
+    return [domain(source).alias("domain"), lang.alias("lang"), source.alias("source"), words.alias("n_tokens")]
+
+
+def counted(docs: DataFrame, key: str = "doc_id", domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """(key, domain, lang, source, n_tokens) of documents, written."""
+    return common.written(docs.select(key, *leaf_columns(domain)), "counted")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The mixture itself: a row of docs for each epoch that takes it; the last one of a leaf's prefix is cut.
 
-    Rows with equal key, language, source and tokens are told apart by their number among their like. The cut
-    row keeps its first words, joined by single spaces.
+    Rows are numbered where they stand, so that equal rows and null keys never meet in one task, and what the
+    mixture takes is joined by that number. The cut row keeps its first words, joined by single spaces. Null and
+    empty texts come in whole epochs. Empty table: no rows. Extra columns stay, whatever their names.
     """
-    chosen = mix(counted(docs, key), key)
-    like = ["k", "l", "s", "n"]
-    chosen = chosen.select(F.col(key).alias("k"), F.col("lang").alias("l"), F.col("source").alias("s"), F.col("n_tokens").alias("n"), "epochs", "prefix_tokens", "taken_tokens")
-    chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy(F.col("taken_tokens").desc()))).where("epochs > 0 or prefix_tokens > 0")
-    word = F.regexp_count(common.text_of("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     # The row travels as one value, so that no column of its own can clash with these.
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), word.alias("n"), F.xxhash64("text").alias("h"))
-    own = own.withColumn("i", F.row_number().over(Window.partitionBy(*like).orderBy("h")))
-    same = own["k"].eqNullSafe(chosen["k"])
-    for c in ("l", "s", "n", "i"):
-        same = same & (own[c] == chosen[c])
-    joined = own.join(chosen, same).select(own["row"], own["n"], chosen["epochs"], chosen["prefix_tokens"])
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.monotonically_increasing_id().alias("id"), *leaf_columns(domain))
+    own = common.written(own, "numbered")
+    chosen = mix(own.select("k", "id", *LEVELS, "n_tokens"), "k").where("epochs > 0 or prefix_tokens > 0").select("id", "epochs", "prefix_tokens")
+    chosen = common.written(chosen, "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CHOSEN else chosen
+    joined = own.select("id", "row", "n_tokens").join(chosen, "id")
     copies = F.sequence(F.lit(1), F.col("epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0))
     rows = joined.withColumn("copy", F.explode(copies))
-    cut = (F.col("copy") > F.col("epochs")) & (F.col("prefix_tokens") < F.col("n"))
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("prefix_tokens") < F.col("n_tokens"))
     words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("prefix_tokens").cast("int")), " ")).otherwise(F.col("row.text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
