@@ -73,3 +73,27 @@ def test_equal_buckets_are_compared_by_bytes(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     plan = fingerprint.op5_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_ranges_with_repeated_and_missing_ids(spark, tmp_path, monkeypatch):
+    """Ids that a third of the rows share, or lack, are cut into ranges by text."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
+    rows = [(n % 5 if n % 3 == 0 else None if n % 3 == 1 else n, f"{'Same start ' * 3}{n * 37 % 101} and on" if n % 2 else f"{n * 37 % 101}, other words") for n in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(fingerprint.op5_fingerprints(spark, str(tmp_path)).collect()) == expected(rows)
+    sizes = fingerprint._with_range(df, "doc_id", "text", fingerprint._bounds(df, "doc_id", "text")).groupBy("__range").count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < 200
+
+
+def test_edited_texts_share_the_buckets(spark, tmp_path, monkeypatch):
+    """With a hash by length alone, equal fingerprints still mean equal canonical texts, edited ones included."""
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda canon: F.lpad(F.length(canon).cast("string"), 32, "0"))
+    rows = [(1, "abcd"), (2, "ABCD"), (3, "abxy"), (4, "abab"), (5, "zz"), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = fingerprint.op5_fingerprints(spark, str(tmp_path)).collect()
+    assert got(found) == expected(rows)
+    edited = {6: "", 5: "za", 4: "abab", 3: "abAB", 2: "ABab", 1: "ab"}
+    assert {r.doc_id: r.edited_sha256 for r in found} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in edited.items()}
+    prints = {(canonical(t), r.fingerprint) for r in found for i, t in rows if i == r.doc_id} | {(canonical(t), r.edited_fingerprint) for r in found for i, t in edited.items() if i == r.doc_id}
+    assert len({a for a, _ in prints}) == len({b for _, b in prints}) == len(prints)
