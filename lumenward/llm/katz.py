@@ -4,15 +4,17 @@ n-gram counts are discounted by Good-Turing, and the freed mass of a context goe
 in proportion to the next shorter context's model; the backoff weight is exactly what makes each context's
 probabilities add up to one over the vocabulary and one unknown word.
 
-Texts never move. A task cuts its rows into blocks; for each order it sends the block's distinct n-grams, with
-their counts in training rows, to the task that owns their context, and gets back their counts in the corpus and
-their contexts' statistics. An n-gram is one entry of a block however often it stands there, and entries travel
-as sorted, byte-transposed, compressed arrays. The owners' merged n-grams are the model: a table for each order,
-partitioned by context. The next order's pass finds the answers in the shared folder by the block's number, and
-so does the last pass, which adds up each text's tokens.
-
-A block is found again because the same scan has the same partitions; checksums of the n-grams sent are returned
-with the answers and compared, so a block that changed between passes is an error and never a wrong score.
+Texts are read once: tasks cut their rows into blocks and write each block's tokens as numbers, with the block's
+own number. For each order a block sends its distinct n-grams, with their counts in training rows, to the task
+that owns their context, and gets back their counts in the corpus and their contexts' statistics. An n-gram is one
+entry of a block however often it stands there, and entries travel as sorted, byte-transposed, compressed arrays.
+The n-grams of a frequent context are dealt to several owners by word; their partial statistics are added up
+afterwards, and there are at most HOT_CONTEXTS of them, so they are broadcast.
+
+What owners merge is the model: for each order a table of n-grams with their counts and one of contexts with their
+backoff weights (see ngrams() and weights()), partitioned by context. The next order's pass, and the last one,
+which adds up each text's tokens, find a block's answers in the shared folder by its number, on whatever executor
+and in whatever partition the block comes up.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain, count
 
 import numpy as np
@@ -41,13 +43,25 @@ ORDER = 2
 DISCOUNTED = 5
 #: UTF-8 bytes of the texts of one block (a longer text is a block by itself).
 BLOCK_BYTES = 10_000_000
+#: Blocks, as a power of two, whose answers stand in one folder.
+BUCKET = 3
 #: Rows for each owner of contexts, unless the session has more shuffle partitions.
 ROWS_PER_OWNER = 8_000
+#: Training tokens after a context that one owner gets, about; and contexts with more owners than one, at most.
+SALT_TOKENS, HOT_CONTEXTS = 20_000, 1_000_000
+#: n-grams in one row of a model's table.
+CHUNK_ROWS = 200_000
 #: No word has white space in it.
 END = b"\n"
-SENT = "part int, block long, checksum long, body binary"
+SENT = "part int, block long, body binary"
 _STATS = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-OWNED = "block long, part int, checksum long, body binary, tokens long, types long, " + ", ".join(f"{s} long" for s in _STATS)
+_SPECTRUM = [f"s{r}" for r in range(1, DISCOUNTED + 1)]
+#: An answer to a block, or a part of the model (block -1): n-grams known in training, by context.
+OWNED = (
+    "block long, part int, body binary, tokens long, types long, " + ", ".join(f"{s} long" for s in _STATS) + ", words array<long>, ids array<long>, counts array<long>, "
+    "contexts array<long>, sizes array<long>, totals array<long>, " + ", ".join(f"{s} array<long>" for s in _SPECTRUM) + ", low array<double>, hot array<boolean>"
+)
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
 # Arrays as compressed bytes.
@@ -94,13 +108,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def checksum(*columns: np.ndarray) -> int:
-    total = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        total = mixed(total ^ c.astype(np.uint64))
-    return int(np.bitwise_xor.reduce(total, initial=np.uint64(len(total))).view(np.int64))
-
-
 # The model of one order.
 
 
@@ -159,63 +166,91 @@ class Order:
         return np.where(c > 0, seen, unseen)
 
 
+    def backoff(self, n: np.ndarray, spectrum: list[np.ndarray], low_seen: np.ndarray) -> np.ndarray:
+        """The weights of contexts seen in training: what a word not seen after one gets of the shorter context's probability."""
+        freed = sum(s * r * (1 - self.discount[r]) for r, s in enumerate(spectrum, 1)) / n
+        return np.where(freed <= 0, 1 / (n + 1), freed) / np.where(1 - low_seen <= 1e-12, 1, 1 - low_seen)
+
+
+@dataclass
+class Hot:
+    """Statistics of the contexts that several owners share, by context."""
+
+    context: np.ndarray
+    total: np.ndarray
+    spectrum: list[np.ndarray]
+    low: np.ndarray
+
+    def fill(self, contexts: np.ndarray, at: np.ndarray, columns: list[np.ndarray]) -> None:
+        """Put their statistics into columns (total, spectrum..., low) at the given places."""
+        k = np.minimum(np.searchsorted(self.context, contexts[at]), max(0, len(self.context) - 1))
+        known = self.context[k] == contexts[at] if len(self.context) else np.zeros(len(at), bool)
+        for column, own in zip(columns, (self.total, *self.spectrum, self.low), strict=True):
+            column[at] = np.where(known, own[k], 0) if len(own) else 0
+
+
 # Blocks.
 
 
+def numbered(texts: list[str | None], train: np.ndarray) -> bytes:
+    """The tokens of some texts as numbers, packed: words' hashes, tokens, texts' sizes, and which are trained on."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    sizes = []
+
+    def tokens() -> Iterator[list[bytes]]:
+        for text in texts:
+            words = common.words_of(text)
+            words.append(END)
+            sizes.append(len(words))
+            yield words
+
+    code = np.fromiter(map(number.__getitem__, chain.from_iterable(tokens())), np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    return pack(hashes, code, np.array(sizes, np.int64), train.astype(np.uint8))
+
+
 class Block:
     """The tokens of some texts as numbers, and for each order so far the block's distinct n-grams."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray) -> None:
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        sizes = []
-
-        def tokens() -> Iterator[list[bytes]]:
-            for text in texts:
-                words = common.words_of(text)
-                words.append(END)
-                sizes.append(len(words))
-                yield words
-
-        self.code = np.fromiter(map(number.__getitem__, chain.from_iterable(tokens())), np.int64)
-        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-        size = np.array(sizes, np.int64)
-        self.starts = np.cumsum(size) - size
-        self.size = size
-        self.train = np.repeat(train, size)
+    def __init__(self, body: bytes) -> None:
+        self.hash, self.code, self.size, train = unpack(body)
+        self.hash = self.hash.astype(np.uint64)
+        self.starts = np.cumsum(self.size) - self.size
+        self.train = np.repeat(train.astype(bool), self.size)
         self.words = self.every = self.code
         self.order = 1
         self.at = np.arange(len(self.code))
-        self.place = self.at - np.repeat(self.starts, size)
+        self.place = self.at - np.repeat(self.starts, self.size)
         self.p = np.zeros(len(self.code))
         self.keys: tuple[np.ndarray, ...] = (self.hash,)
-        self.owner = self.hash
+        self.salts = np.ones(len(self.hash), np.int64)
         self.lower = np.zeros(0)
-        self.c1 = self.gid1 = self.gid = np.zeros(0)
+        self.c1 = self.c = self.gid1 = self.gid = np.zeros(0)
 
     def sending(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The order in which the current n-grams are sent, and where each part begins in it."""
-        part = (mixed(self.owner) % np.uint64(parts)).astype(np.int64)
+        salt = mixed(self.keys[-1]) % self.salts.astype(np.uint64)
+        part = (mixed(self.keys[0].astype(np.uint64) ^ (salt * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((*reversed(self.keys), part))
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    def sent(self, parts: int) -> Iterator[tuple[int, int, bytes]]:
-        """(part, checksum, body) for each part that owns any of the current n-grams."""
+    def sent(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        """(part, body) for each part that owns any of the current n-grams."""
         order, cut = self.sending(parts)
-        seen = np.bincount(self.code[self.train[self.at]], minlength=len(self.owner))[order]
-        keys = [k[order] for k in self.keys]
+        seen = np.bincount(self.code[self.train[self.at]], minlength=len(self.salts))[order]
+        keys, hot = [k[order] for k in self.keys], self.salts[order] > 1
         for part in range(parts):
             a, b = cut[part], cut[part + 1]
             if a == b:
                 continue
             own = [k[a:b] for k in keys]
             if len(own) == 1:
-                body = pack(own[0], seen[a:b])
+                yield part, pack(own[0], seen[a:b])
             else:
                 begins = np.flatnonzero(np.diff(own[0], prepend=-1))
-                body = pack(own[0][begins], np.diff(np.append(begins, b - a)), own[1], seen[a:b], *coded(self.lower[order[a:b]]))
-            yield part, checksum(*own), body
+                yield part, pack(own[0][begins], np.diff(np.append(begins, b - a)), own[1], seen[a:b], *coded(self.lower[order[a:b]]), hot[a:b][begins].astype(np.uint8))
 
-    def answered(self, parts: int, answers: dict[int, tuple[int, bytes]], model: Order) -> None:
+    def answered(self, parts: int, answers: dict[int, bytes], model: Order, hot: Hot | None) -> None:
         """Take the owners' answers for the current n-grams; self.p has the probabilities of their places then."""
         order, cut = self.sending(parts)
         columns: list[list[np.ndarray]] = []
@@ -223,27 +258,26 @@ class Block:
             a, b = cut[part], cut[part + 1]
             if a == b:
                 continue
-            own = [k[order[a:b]] for k in self.keys]
-            if part not in answers or answers[part][0] != checksum(*own):
-                raise RuntimeError("a block has other texts than in the pass before: the input's partitions are not stable; write it to a table first")
-            got = unpack(answers[part][1])
+            got = unpack(answers[part])
             if len(self.keys) > 1:
-                begins = np.flatnonzero(np.diff(own[0], prepend=-1))
+                begins = np.flatnonzero(np.diff(self.keys[0][order[a:b]], prepend=-1))
                 runs = np.diff(np.append(begins, b - a))
                 got[2:] = [np.repeat(x, runs) for x in (*got[2:-2], got[-2][got[-1].astype(np.int64)])]
             columns.append(got)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         c, gid, *rest = (np.concatenate(x)[place] for x in zip(*columns, strict=True))
-        c = c.astype(np.int64)
-        self.gid = gid.astype(np.int64)
+        self.c, self.gid = c.astype(np.int64), gid.astype(np.int64)
         if len(self.keys) == 1:
-            self.c1, self.gid1, p = c, self.gid, model.unigram(c)
+            self.c1, self.gid1, p = self.c, self.gid, model.unigram(self.c)
         else:
-            p = model.conditional(c, self.lower, rest[0].astype(np.int64), rest[1:-1], rest[-1])
+            shared = np.flatnonzero(self.salts > 1)
+            if len(shared):
+                hot.fill(self.keys[0], shared, rest)
+            p = model.conditional(self.c, self.lower, rest[0].astype(np.int64), rest[1:-1], rest[-1])
         self.p[self.at] = p[self.code]
 
-    def longer(self) -> None:
+    def longer(self, salt_tokens: int) -> None:
         """Go on to the next order: the n-grams so far become the contexts of the words after them.
 
         The start of a text is a context for its first word; a longer context that would reach before the start
@@ -258,57 +292,68 @@ class Block:
         self.code, pair = pd.factorize(context[self.at] * width + self.words[self.at])
         first = np.flatnonzero(np.diff(np.maximum.accumulate(self.code), prepend=-1) > 0)  # of each n-gram, in its order
         self.lower = self.p[self.at[first]]
-        gids = np.concatenate(([0], self.gid))
-        self.owner = gids[pair // width]
-        self.keys = (self.owner, self.gid1[pair % width])
+        # As many texts are trained on as ends are; a start is a context of the second order only.
+        begun = self.c1[self.words[self.starts + self.size - 1][:1]]
+        gids, counts = np.concatenate(([0], self.gid)), np.concatenate((begun, self.c))
+        self.salts = 1 + counts[pair // width] // salt_tokens
+        self.keys = (gids[pair // width], self.gid1[pair % width])
         self.every = np.full(len(self.words), -1)
         self.every[self.at] = self.code
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Block]]:
-    """(number, ids, block) of a task's rows of (id, text, train)."""
-    task, number = TaskContext.get().partitionId(), 0
-    ids: list[pa.Array] = []
-    texts: list[str | None] = []
-    train: list[np.ndarray] = []
-    held = 0
-
-    def cut() -> tuple[int, pa.Array, Block]:
-        nonlocal number, held
-        out = (task << 24) + number, pa.chunked_array(ids).combine_chunks(), Block(texts, np.concatenate(train))
-        number, held = number + 1, 0
-        ids.clear()
-        texts.clear()
-        train.clear()
-        return out
-
-    for batch in batches:
-        at = 0
-        sizes = np.array([len(t or "") for t in batch.column(1).to_pylist()], np.int64)
-        while at < len(sizes):
-            upto = np.cumsum(sizes[at:]) + held
-            n = min(int(np.searchsorted(upto, BLOCK_BYTES)) + 1, len(sizes) - at)
-            part = batch.slice(at, n)
-            ids.append(part.column(0))
-            texts += part.column(1).to_pylist()
-            train.append(part.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            held, at = int(upto[n - 1]), at + n
-            if held >= BLOCK_BYTES:
-                yield cut()
-    if texts:
-        yield cut()
-
-
-def answers_of(folder: str, block: int) -> dict[int, tuple[int, bytes]]:
-    """The owners' answers for a block, by part."""
-    files, path = fs.FileSystem.from_uri(folder)
-    found = files.get_file_info(fs.FileSelector(f"{path}/block={block}"))
-    out: dict[int, tuple[int, bytes]] = {}
-    for info in found:
-        if info.base_name.endswith(".parquet"):
-            rows = pq.read_table(files.open_input_file(info.path), columns=["part", "checksum", "body"])
-            out |= {p: (c, b) for p, c, b in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True)}
-    return out
+def cut() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from rows of (id, text, train) to blocks (block, ids, body)."""
+    block_bytes = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
+        texts: list[str | None] = []
+        train: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            own = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + number], pa.int64()), listed, pa.array([numbered(texts, np.concatenate(train))], pa.binary())], names=["block", "ids", "body"])
+
+        for batch in batches:
+            at = 0
+            sizes = np.array([len(t or "") for t in batch.column(1).to_pylist()], np.int64)
+            while at < len(sizes):
+                upto = np.cumsum(sizes[at:]) + held
+                n = min(int(np.searchsorted(upto, block_bytes)) + 1, len(sizes) - at)
+                part = batch.slice(at, n)
+                ids.append(part.column(0))
+                texts += part.column(1).to_pylist()
+                train.append(part.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                held, at = int(upto[n - 1]), at + n
+                if held >= block_bytes:
+                    yield block()
+                    number, held, ids, texts, train = number + 1, 0, [], [], []
+        if texts:
+            yield block()
+
+    return run
+
+
+class Answers:
+    """The owners' answers to blocks, by folder; those of one bucket of blocks are held at a time."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, tuple[int, dict[int, dict[int, bytes]]]] = {}
+
+    def of(self, folder: str, block: int) -> dict[int, bytes]:
+        """By part."""
+        if folder not in self.held or self.held[folder][0] != block >> BUCKET:
+            files, path = fs.FileSystem.from_uri(folder)
+            found: dict[int, dict[int, bytes]] = {}
+            for info in files.get_file_info(fs.FileSelector(f"{path}/bucket={block >> BUCKET}")):
+                if info.base_name.endswith(".parquet"):
+                    rows = pq.read_table(files.open_input_file(info.path), columns=["block", "part", "body"])
+                    for b, p, body in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+                        found.setdefault(b, {})[p] = body
+            self.held[folder] = block >> BUCKET, found
+        return self.held[folder][1][block]
 
 
 @dataclass
@@ -316,30 +361,41 @@ class Pass:
     """What a task needs to bring its blocks up to an order: the folders of answers and models so far."""
 
     parts: int
-    folders: list[str]
-    models: list[Order]
     last: int
-
-    def through(self, number: int, block: Block) -> None:
-        for k, (folder, model) in enumerate(zip(self.folders, self.models, strict=True)):
-            if k:
-                block.longer()
-            block.answered(self.parts, answers_of(folder, number), model)
+    folders: list[str] = field(default_factory=list)
+    models: list[Order] = field(default_factory=list)
+    hot: list = field(default_factory=list)
+
+    @property
+    def salt_tokens(self) -> int:
+        """Training tokens after a context from which on it has several owners: few enough contexts have them."""
+        return max(SALT_TOKENS, self.models[0].tokens // HOT_CONTEXTS)
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Block]]:
+        """(number, ids, block) of each block, up to the last order answered."""
+        answers = Answers()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, block = batch.column(0)[k].as_py(), Block(batch.column(2)[k].as_py())
+                for folder, model, hot in zip(self.folders, self.models, self.hot, strict=True):
+                    if block.c1.size:
+                        block.longer(self.salt_tokens)
+                    block.answered(self.parts, answers.of(folder, number), model, hot and hot.value)
+                yield number, batch.column(1)[k].values, block
 
     def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The requests of every block for the order after those answered."""
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("checksum", pa.int64()), ("body", pa.binary())])
-        for number, _, block in blocks(batches):
-            self.through(number, block)
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
+        for number, _, block in self.blocks(batches):
             if self.folders:
-                block.longer()
+                block.longer(self.salt_tokens)
             rows = list(block.sent(self.parts))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
-    def owned(self, group: pd.DataFrame) -> pd.DataFrame:
+    def owned(self, group: pa.Table) -> pa.Table:
         """Merge what all blocks send to one owner: an answer for each block, and the model's table of this part."""
-        part, first = int(group["part"].iloc[0]), not self.folders
-        sent = [unpack(b) for b in group["body"]]
+        part, first = group.column("part")[0].as_py(), not self.folders
+        sent = [unpack(b.as_py()) for b in group.column("body")]
         sizes = [len(s[0]) if first else len(s[2]) for s in sent]
         if first:
             columns, seen = [np.concatenate([s[0].astype(np.uint64) for s in sent])], np.concatenate([s[1] for s in sent])
@@ -359,6 +415,7 @@ class Pass:
         gid = np.empty(len(c), np.int64)
         gid[np.argsort(-c, kind="stable")] = np.arange(len(c))  # frequent ones get small numbers
         gid = gid * self.parts + part + 1
+        further = len(self.folders) < self.last - 1
         answers, begin = [], 0
         if not first:
             lower = low[order][new]
@@ -366,6 +423,7 @@ class Pass:
             in_context = np.bincount(which, weights=c, minlength=len(context)).astype(np.int64)
             spectrum = [np.bincount(which[c == r], minlength=len(context)) for r in range(1, DISCOUNTED + 1)]
             low_seen = np.bincount(which, weights=np.where(c > 0, lower, 0), minlength=len(context))
+            hot = np.zeros(len(context), bool)
         for s, n in zip(sent, sizes, strict=True):
             own = at[begin : begin + n]
             begin += n
@@ -373,56 +431,112 @@ class Pass:
                 answers.append(pack(c[own], gid[own]))
             else:
                 k = np.searchsorted(context, s[0].astype(np.int64))
-                answers.append(pack(c[own], gid[own] if len(self.folders) < self.last - 1 else np.zeros(len(own), np.int64), in_context[k], *(x[k] for x in spectrum), *coded(low_seen[k])))
+                hot[k] |= s[6].astype(bool)
+                answers.append(pack(c[own], gid[own] if further else np.zeros(len(own), np.int64), in_context[k], *(x[k] for x in spectrum), *coded(low_seen[k])))
+        rows = [{"block": b, "body": a} for b, a in zip(group.column("block").to_pylist(), answers, strict=True)]
         known = c > 0
-        table = pack(*(x[known] for x in columns), c[known])
-        out = pd.DataFrame({"block": group["block"], "part": part, "checksum": group["checksum"], "body": answers, "tokens": 0, "types": 0} | dict.fromkeys(_STATS, 0))
-        stats = {f"n{r}": int((c == r).sum()) for r in range(1, DISCOUNTED + 2)}
-        out.loc[len(out)] = {"block": -part - 1, "part": part, "checksum": 0, "body": table, "tokens": int(c.sum()), "types": int(known.sum())} | stats
-        return out
-
-    def owner(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        grams = {"words": columns[-1][known].astype(np.uint64).view(np.int64), "counts": c[known]} | ({"ids": gid[known]} if further else {})
+        cuts = np.append(np.arange(0, max(1, int(known.sum())), CHUNK_ROWS), known.sum())
+        if not first:
+            learnt = in_context > 0
+            size = np.bincount(which[known], minlength=len(context))[learnt]
+            stats = {"contexts": context[learnt], "sizes": size, "totals": in_context[learnt]} | {n: x[learnt] for n, x in zip(_SPECTRUM, spectrum, strict=True)} | {"low": low_seen[learnt], "hot": hot[learnt]}
+            ends = np.cumsum(size)  # a row ends with a context
+            upto = np.unique(np.append(np.searchsorted(ends, cuts[1:-1]), len(size)))
+            cuts = np.concatenate(([0], ends[upto[:-1]], [known.sum()])) if len(size) else cuts
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            row = {name: x[a:b] for name, x in grams.items()}
+            if not first:
+                low_at, high_at = np.searchsorted(ends, (a, b), side="right") if len(ends) else (0, 0)
+                row |= {name: x[low_at:high_at] for name, x in stats.items()}
+            totals = {"tokens": int(c.sum()), "types": int(known.sum())} | {f"n{r}": int((c == r).sum()) for r in range(1, DISCOUNTED + 2)}
+            rows.append({"block": -1} | (totals if k == 0 else {}) | row)
+        schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in OWNED.split(", "))])
+        return pa.table([pa.array([r.get(f.name, part if f.name == "part" else None) for r in rows], f.type) for f in schema], schema=schema)
+
+    def owner(self) -> Callable[[pa.Table], pa.Table]:
         """owned() as a function of one argument, which is how Spark tells it from one that wants the key too."""
         return lambda group: self.owned(group)
 
     def score(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The scores of every text."""
         one = self.models[0]
-        for number, ids, block in blocks(batches):
-            words = block.words
-            self.through(number, block)
-            known = block.c1[words]
+        for _, ids, block in self.blocks(batches):
+            known = block.c1[block.words]
             base = np.log10((known + 1) / (one.tokens + one.types + 1))
             logs = np.log10(np.maximum(block.p, 1e-300))
-            sums = lambda x: np.add.reduceat(x, block.starts)
+            sums = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
             values = {"n_tokens": block.size, "n_known": sums((known > 0).astype(np.int64)), "base_score": sums(base), "score": sums(logs)}
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in values.values())], names=["id", *values])
 
 
-def katz_scores(docs: DataFrame, key: str, text: str, train: str, order: int = ORDER, stable: bool = False) -> tuple[DataFrame, list[Order], list[str]]:
-    """Scores of all rows under the model of those whose train column is true.
+def contexts_of(table: DataFrame) -> DataFrame:
+    """(context, total, s1.., low, hot): the statistics of every context of an order's table; parts of one context are added up."""
+    each = table.select(F.inline(F.arrays_zip("contexts", "totals", *_SPECTRUM, "low", "hot"))).withColumnRenamed("contexts", "context")
+    sums = [F.sum(c).alias(c) for c in ("totals", *_SPECTRUM, "low")]
+    alone = each.where(~F.col("hot"))
+    return alone.unionByName(each.where("hot").groupBy("context").agg(*sums, F.lit(True).alias("hot")).select(*each.columns))
+
+
+def ngrams(table: DataFrame) -> DataFrame:
+    """(context, word, id, count): the n-grams of an order's table that training rows have.
+
+    Words of the first order are hashes, else ids; a context is an id of the order below, 0 the start of a text.
+    """
+    spread = F.flatten(F.zip_with("contexts", "sizes", lambda c, n: F.array_repeat(c, n.cast("int"))))
+    blank = F.array_repeat(F.lit(None).cast("long"), F.size("words"))
+    zipped = F.arrays_zip(F.coalesce(spread, blank).alias("context"), F.col("words").alias("word"), F.coalesce("ids", blank).alias("id"), F.col("counts").alias("count"))
+    return table.select(F.inline(zipped))
+
+
+def weights(table: DataFrame, model: Order) -> DataFrame:
+    """(context, total, backoff): the backoff weight of every context of an order that training rows have."""
+    n = F.col("totals").cast("double")
+    freed = sum((F.col(s) * F.lit(r * float(1 - model.discount[r])) for r, s in enumerate(_SPECTRUM, 1)), F.lit(0.0)) / n
+    rest = 1 - F.col("low")
+    backoff = F.when(freed <= 0, 1 / (n + 1)).otherwise(freed) / F.when(rest <= 1e-12, 1.0).otherwise(rest)
+    return contexts_of(table).select("context", F.col("totals").alias("total"), backoff.alias("backoff"))
 
-    Returns (key, n_tokens, n_known, base_score, score) rows, the orders' totals and the folders of their
-    tables; rows of block -part - 1 there have the part's n-grams and counts (see pack). stable: docs is a
-    plain scan of files that do not change; anything else is written to the shared folder first.
+
+@dataclass
+class Tables:
+    """One order's part of the model."""
+
+    model: Order
+    grams: DataFrame
+    weights: DataFrame | None
+
+
+def katz_scores(docs: DataFrame, key: str, text: str, train: str, order: int = ORDER) -> tuple[DataFrame, list[Tables]]:
+    """(key, n_tokens, n_known, base_score, score) of all rows under the model of those whose train column is true, and the model.
+
+    Null texts are empty; null train columns count as false. Null and repeated keys: a row each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    if not stable:
-        rows = common.written(rows, "texts")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_OWNER))
-    state = Pass(parts, [], [], order)
+    kind = dict(rows.dtypes)["id"]
+    blocks = common.written(rows.mapInArrow(cut(), f"block long, ids array<{kind}>, body binary"), "blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0) // ROWS_PER_OWNER))
+    state, tables = Pass(parts, order), []
     for k in range(1, order + 1):
         folder = common.scratch(spark, f"ngrams-{k}")
-        owned = rows.mapInArrow(state.send, SENT).groupBy("part").applyInPandas(state.owner(), OWNED)
-        owned.repartition(parts, "block").write.option("compression", "none").partitionBy("block").parquet(folder)
-        tables = spark.read.schema(OWNED).parquet(folder).where("block < 0")
-        total = tables.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tokens", "types", *_STATS))).first()
+        owned = blocks.mapInArrow(state.send, SENT).groupBy("part").applyInArrow(state.owner(), OWNED)
+        # A block's answers go to one file; the model's rows stay apart by part.
+        placed = owned.repartition(parts, F.when(F.col("block") >= 0, F.col("block")).otherwise(-1 - F.col("part")))
+        placed.withColumn("bucket", F.shiftright("block", BUCKET)).write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
+        table = spark.read.schema(f"{OWNED}, bucket long").parquet(folder).where("bucket < 0")
+        total = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tokens", "types", *_STATS))).first()
         n = [total[s] for s in _STATS]
-        state = Pass(parts, [*state.folders, folder], [*state.models, Order(total["tokens"], total["types"], discounts(n), n)], order)
-    kind = dict(rows.dtypes)["id"]
-    scored = rows.mapInArrow(state.score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumnRenamed("id", key), state.models, state.folders
+        model = Order(total["tokens"], total["types"], discounts(n), n)
+        hot = None
+        if k > 1:
+            own = contexts_of(table).where("hot").sort("context").toArrow()
+            column = lambda name: own.column(name).to_numpy()  # noqa: B023, E731
+            hot = spark.sparkContext.broadcast(Hot(column("context"), column("totals"), [column(s) for s in _SPECTRUM], column("low")))
+        tables.append(Tables(model, ngrams(table), common.written(weights(table, model), f"weights-{k}") if k > 1 else None))
+        state = Pass(parts, order, [*state.folders, folder], [*state.models, model], [*state.hot, hot])
+    scored = blocks.mapInArrow(state.score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumnRenamed("id", key), tables
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,5 +549,5 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(common.crc_of_id(), F.lit(7)) == 2
-    scored, models, _ = katz_scores(docs.withColumn("train", ~held_out), "doc_id", "text", "train", stable=True)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(models[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, tables = katz_scores(docs.withColumn("train", ~held_out), "doc_id", "text", "train")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tables[0].model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lumenward.llm import katz
@@ -60,9 +61,10 @@ class Brute:
         return seen[w] * self.factor(m, seen[w]) / n if w in seen else freed / rest * self.p(shorter, w)
 
 
-@pytest.mark.parametrize("order", [1, 2])
-def test_scores(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "salt"), [(1, 20_000), (2, 20_000), (2, 3)])
+def test_scores(spark, monkeypatch, order, salt):
     monkeypatch.setattr(katz, "ROWS_PER_OWNER", 5)
+    monkeypatch.setattr(katz, "SALT_TOKENS", salt)
     rows = [(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
     got = {r.doc_id: r for r in katz.katz_scores(df, "doc_id", "text", "train", order)[0].collect()}
@@ -91,6 +93,7 @@ def test_trigram_blocks_agree_with_one_block(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     whole = {r.doc_id: r.score for r in katz.katz_scores(df.coalesce(1), "doc_id", "text", "train", 3)[0].collect()}
     monkeypatch.setattr(katz, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(katz, "SALT_TOKENS", 5)
     cut = {r.doc_id: r.score for r in katz.katz_scores(df.repartition(5), "doc_id", "text", "train", 3)[0].collect()}
     assert whole.keys() == cut.keys()
     assert all(whole[i] == pytest.approx(cut[i], abs=1e-9) for i in whole)
@@ -102,6 +105,55 @@ def test_trigram_blocks_agree_with_one_block(spark, monkeypatch):
         assert whole[i] == pytest.approx(want, abs=1e-9), t
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_tables_add_up_to_one(spark, monkeypatch, order):
+    """The operator's own tables: seen words by discounted counts, the rest by the backoff weight."""
+    monkeypatch.setattr(katz, "ROWS_PER_OWNER", 5)
+    monkeypatch.setattr(katz, "SALT_TOKENS", 4)
+    monkeypatch.setattr(katz, "CHUNK_ROWS", 5)
+    rows = [(i, t, i % 5 != 0) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    _, tables = katz.katz_scores(df, "doc_id", "text", "train", order)
+    grams = [t.grams.toPandas() for t in tables]
+    one = tables[0].model
+    unigram = dict(zip(grams[0]["id"], one.unigram(grams[0]["count"].to_numpy()), strict=True))
+    unknown = float(one.unigram(np.array([0]))[0])
+    assert sum(unigram.values()) + unknown == pytest.approx(1, abs=1e-9)
+    for k in range(1, order):
+        model, contexts = tables[k].model, {r.context: r for r in tables[k].weights.collect()}
+        assert grams[k].groupby("context")["count"].sum().to_dict() == {c: r.total for c, r in contexts.items()}
+        if k > 1:
+            continue
+        for context, own in grams[k].groupby("context"):
+            n = contexts[context].total
+            low = sum(unigram[w] for w in own["word"])
+            bare = not any(model.factor(np.array([c]))[0] < 1 for c in own["count"])
+            seen = sum(c / (n + 1) if bare else model.factor(np.array([c]))[0] * c / n for c in own["count"])
+            assert seen + contexts[context].backoff * (1 - low) == pytest.approx(1, abs=1e-9)
+
+
+def test_another_split_between_passes(spark, monkeypatch, tmp_path):
+    """Blocks are found by their number, not by where they come up: lost executors and other splits change nothing."""
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(katz, "SALT_TOKENS", 6)
+    rows = [(i, t, i % 5 != 0) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    scored, _ = katz.katz_scores(df, "doc_id", "text", "train", 2)
+    whole = sorted(map(tuple, scored.collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "40")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        again = katz.katz_scores(df, "doc_id", "text", "train", 2)[0]
+        assert [r[0] for r in sorted(map(tuple, scored.collect()))] == [r[0] for r in whole]
+        for a, b in zip(whole, sorted(map(tuple, again.collect())), strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_odd_tables(spark, odd_dir):
     rows = katz.op1_katz(spark, f"{odd_dir}/odd").collect()
     assert len(rows) == 14
@@ -119,8 +171,6 @@ def test_no_training_rows(spark):
 
 
 def test_pack_round_trip():
-    import numpy as np
-
     arrays = [np.array([], np.int64), np.array([1, 300, 70_000]), np.array([2**63 + 5], np.uint64), np.array([0.5, -1.25])]
     for a, b in zip(arrays, katz.unpack(katz.pack(*arrays)), strict=True):
         assert (a == b).all() and len(a) == len(b)
