@@ -12,9 +12,10 @@ common line brings few together, and deals their rows to several groups; the sam
 Candidates whose sketches (256 bits of fingerprint) are too far apart for the similarity go first: beyond FAR bits
 fewer than one pair in 10^12 of that similarity is lost, as by an unlucky hash. All others are compared on whole sets.
 
-Partners are compared in two turns. First each text of a group that shares a shingle is compared with one of the
-group, which connects dense clusters at a cost in proportion to them; links of fingerprints are part of this turn.
-Then the pairs of a group that are not connected yet are compared, but for those that sizes and places rule out.
+Partners are compared in three turns, each but for what is connected by then. First each text is compared with the
+one, of all that stand for the groups that share a shingle with it, with which it shares most; links of fingerprints
+are part of this turn. Then with the others that stand for its groups. Both connect dense clusters at a cost in
+proportion to them. Then the remaining pairs of a group, but for those that sizes and places rule out.
 """
 
 from __future__ import annotations
@@ -279,11 +280,17 @@ def links(rows: DataFrame, prints: DataFrame, n_prints: int, linked_prints: Call
     ends = lambda name: stands.select(F.col("print").alias(name), F.col("stand").alias(f"stand_{name}"))
     by_prints = edges.join(ends("a"), "a").join(ends("b"), "b").select(*pair("stand_a", "stand_b"))
     equal = prints.select("id", F.col("sketch")[0].alias("print")).join(stands, "print").where("id <> stand").select(*pair("id", "stand"))
-    turn = confirmed(shared.where("able").select(*pair("node", "hub")).union(by_prints).union(equal), prints, n_prints, rows, text)
-    parts = graph.components(turn).select("node", F.col("root").alias("part"))
-    placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rest = placed.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")
-    return turn.unionByName(confirmed(rest, prints, n_prints, rows, text))
+    compare = lambda pairs: confirmed(pairs, prints, n_prints, rows, text)
+    connected = lambda edges, end, name: graph.components(edges).select(F.col("node").alias(end), F.col("root").alias(name))
+    often = shared.where("able").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
+    one = compare(best.select(*pair("node", F.col("best.hub"))).union(by_prints).union(equal))
+    parts = connected(one, "node", "part")
+    placed = shared.where("able").join(parts, "node", "left").join(parts.select(F.col("node").alias("hub"), F.col("part").alias("hub_part")), "hub", "left")
+    apart = placed.where(F.coalesce("part", "node") != F.coalesce("hub_part", "hub"))
+    two = one.unionByName(compare(apart.groupBy(*pair("node", "hub")).agg(F.lit(1).alias("one")).select("a", "b")))
+    placed = shared.join(connected(two, "node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return two.unionByName(compare(placed.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")))
 
 
 def without_near_copies(df: DataFrame, linked_prints: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
