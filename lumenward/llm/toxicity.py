@@ -103,8 +103,8 @@ class Model:
 class Scorer:
     """Sentence and document probabilities; chunks keep their number in a bounded cache."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, model: Model, limit: int = CACHE_CHUNKS) -> None:
+        self.model, self.limit = model, limit
         self._clear()
 
     def _clear(self) -> None:
@@ -112,7 +112,7 @@ class Scorer:
         self.weight, self.stop = np.zeros(0), np.zeros(0, bool)
 
     def _learn(self, chunks: list[list[str]]) -> None:
-        if len(self.numbers) > CACHE_CHUNKS:
+        if len(self.numbers) > self.limit:
             self._clear()
         new = list(set().union(*chunks).difference(self.numbers)) if chunks else []
         if new:
@@ -168,12 +168,17 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     start = Model(np.zeros(FEATURES, np.float32), START_BIAS)
     if not toxic.any() or toxic.all():
         return Model(start.weights, START_BIAS, float(toxic.any()))
-    scorer = Scorer(start)
-    bags = [chunks_of(t) for t in texts]
-    p, bag, first = scorer.sentences(bags)
+    scorer, parts, n_sentences, n_bags = Scorer(start, limit=1 << 62), [], 0, 0
+    for run in common.portions(texts):  # chunks of a portion at a time
+        _, bag, first = scorer.sentences([chunks_of(t) for t in run])
+        if len(first):
+            parts.append((bag + n_bags, (scorer.once >> 32).astype(np.int32) + n_sentences, (scorer.once & 0xFFFFFFFF).astype(np.int32)))
+        n_sentences, n_bags = n_sentences + len(first), n_bags + len(run)
     names = list(scorer.numbers)
-    sentence, numbers = (scorer.once >> 32).astype(np.int32), (scorer.once & 0xFFFFFFFF).astype(np.int32)
-    del scorer, bags
+    if not names:
+        return start
+    bag, sentence, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del scorer, parts
     own = [features_of(c) for c in names]
     feature = np.fromiter(chain.from_iterable(own), np.int64)
     holder = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
@@ -186,7 +191,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     y, scale = toxic[bag], (weight / weight.sum())[bag]
     for t in range(1, ROUNDS + 1):
         word = np.bincount(holder, weights=w[feature], minlength=len(own))
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, weights=word[numbers], minlength=len(first)) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, weights=word[numbers], minlength=n_sentences) + bias, -30, 30)))
         calm = 1 / (1 + np.exp(-bias))
         silent = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-calm), minlength=len(texts))
         none = ((1 - LEAK) * np.exp(silent))[bag]
