@@ -28,6 +28,7 @@ from itertools import chain, count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 import zstandard
@@ -43,7 +44,7 @@ ORDER = 2
 DISCOUNTED = 5
 #: UTF-8 bytes of the texts of one block (a longer text is a block by itself).
 BLOCK_BYTES = 10_000_000
-#: Blocks, as a power of two, whose answers stand in one folder.
+#: Blocks, as a power of two, whose answers stand in one folder; a block's are in one of its files.
 BUCKET = 3
 #: Rows for each owner of contexts, unless the session has more shuffle partitions.
 ROWS_PER_OWNER = 8_000
@@ -56,11 +57,12 @@ END = b"\n"
 SENT = "part int, block long, body binary"
 _STATS = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 _SPECTRUM = [f"s{r}" for r in range(1, DISCOUNTED + 1)]
-#: An answer to a block, or a part of the model (block -1): n-grams known in training, by context.
+#: An answer to a block, or a part of the model (block -1): the contexts known in training with their statistics, and
+#: their n-grams as a body (see ngrams).
 OWNED = (
-    "block long, part int, body binary, tokens long, types long, " + ", ".join(f"{s} long" for s in _STATS) + ", words array<long>, ids array<long>, counts array<long>, "
-    "contexts array<long>, sizes array<long>, totals array<long>, " + ", ".join(f"{s} array<long>" for s in _SPECTRUM) + ", low array<double>, hot array<boolean>"
-)
+    "block long, part int, body binary, tokens long, types long, " + ", ".join(f"{s} long" for s in _STATS) + ", contexts array<long>, totals array<long>, "
+    + ", ".join(f"{s} array<long>" for s in _SPECTRUM) + ", low array<double>, hot array<boolean>"
+)
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
@@ -336,24 +338,22 @@ def cut() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return run
 
 
-class Answers:
-    """The owners' answers to blocks, by folder; those of one bucket of blocks are held at a time."""
-
-    def __init__(self) -> None:
-        self.held: dict[str, tuple[int, dict[int, dict[int, bytes]]]] = {}
-
-    def of(self, folder: str, block: int) -> dict[int, bytes]:
-        """By part."""
-        if folder not in self.held or self.held[folder][0] != block >> BUCKET:
-            files, path = fs.FileSystem.from_uri(folder)
-            found: dict[int, dict[int, bytes]] = {}
-            for info in files.get_file_info(fs.FileSelector(f"{path}/bucket={block >> BUCKET}")):
-                if info.base_name.endswith(".parquet"):
-                    rows = pq.read_table(files.open_input_file(info.path), columns=["block", "part", "body"])
-                    for b, p, body in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
-                        found.setdefault(b, {})[p] = body
-            self.held[folder] = block >> BUCKET, found
-        return self.held[folder][1][block]
+def answers_of(folder: str, block: int) -> dict[int, bytes]:
+    """The owners' answers to a block, by part. The statistics of the first column, the block, say where they may be."""
+    files, path = fs.FileSystem.from_uri(folder)
+    out: dict[int, bytes] = {}
+    for info in files.get_file_info(fs.FileSelector(f"{path}/bucket={block >> BUCKET}")):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as source:
+            file = pq.ParquetFile(source)
+            for k in range(file.num_row_groups):
+                seen = file.metadata.row_group(k).column(0).statistics
+                if seen is None or seen.min <= block <= seen.max:
+                    rows = file.read_row_group(k, columns=["block", "part", "body"])
+                    rows = rows.filter(pc.equal(rows.column("block"), block))
+                    out |= dict(zip(rows.column("part").to_pylist(), rows.column("body").to_pylist(), strict=True))
+    return out
 
 
 @dataclass
@@ -373,14 +373,13 @@ class Pass:
 
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Block]]:
         """(number, ids, block) of each block, up to the last order answered."""
-        answers = Answers()
         for batch in batches:
             for k in range(batch.num_rows):
                 number, block = batch.column(0)[k].as_py(), Block(batch.column(2)[k].as_py())
                 for folder, model, hot in zip(self.folders, self.models, self.hot, strict=True):
                     if block.c1.size:
                         block.longer(self.salt_tokens)
-                    block.answered(self.parts, answers.of(folder, number), model, hot and hot.value)
+                    block.answered(self.parts, answers_of(folder, number), model, hot and hot.value)
                 yield number, batch.column(1)[k].values, block
 
     def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,22 +434,24 @@ class Pass:
                 answers.append(pack(c[own], gid[own] if further else np.zeros(len(own), np.int64), in_context[k], *(x[k] for x in spectrum), *coded(low_seen[k])))
         rows = [{"block": b, "body": a} for b, a in zip(group.column("block").to_pylist(), answers, strict=True)]
         known = c > 0
-        grams = {"words": columns[-1][known].astype(np.uint64).view(np.int64), "counts": c[known]} | ({"ids": gid[known]} if further else {})
+        grams = [columns[-1][known], c[known], gid[known] if further else c[:0]]
         cuts = np.append(np.arange(0, max(1, int(known.sum())), CHUNK_ROWS), known.sum())
         if not first:
             learnt = in_context > 0
             size = np.bincount(which[known], minlength=len(context))[learnt]
-            stats = {"contexts": context[learnt], "sizes": size, "totals": in_context[learnt]} | {n: x[learnt] for n, x in zip(_SPECTRUM, spectrum, strict=True)} | {"low": low_seen[learnt], "hot": hot[learnt]}
+            stats = {"contexts": context[learnt], "totals": in_context[learnt]} | {n: x[learnt] for n, x in zip(_SPECTRUM, spectrum, strict=True)} | {"low": low_seen[learnt], "hot": hot[learnt]}
             ends = np.cumsum(size)  # a row ends with a context
             upto = np.unique(np.append(np.searchsorted(ends, cuts[1:-1]), len(size)))
             cuts = np.concatenate(([0], ends[upto[:-1]], [known.sum()])) if len(size) else cuts
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            row = {name: x[a:b] for name, x in grams.items()}
+            row = {"block": -1}
+            low_at = high_at = 0
             if not first:
                 low_at, high_at = np.searchsorted(ends, (a, b), side="right") if len(ends) else (0, 0)
                 row |= {name: x[low_at:high_at] for name, x in stats.items()}
+            row["body"] = pack(*(x[a:b] for x in grams), c[:0] if first else size[low_at:high_at])
             totals = {"tokens": int(c.sum()), "types": int(known.sum())} | {f"n{r}": int((c == r).sum()) for r in range(1, DISCOUNTED + 2)}
-            rows.append({"block": -1} | (totals if k == 0 else {}) | row)
+            rows.append(row | (totals if k == 0 else {}))
         schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in OWNED.split(", "))])
         return pa.table([pa.array([r.get(f.name, part if f.name == "part" else None) for r in rows], f.type) for f in schema], schema=schema)
 
@@ -482,11 +483,18 @@ def ngrams(table: DataFrame) -> DataFrame:
     """(context, word, id, count): the n-grams of an order's table that training rows have.
 
     Words of the first order are hashes, else ids; a context is an id of the order below, 0 the start of a text.
+    Null: contexts of the first order, ids of the last.
     """
-    spread = F.flatten(F.zip_with("contexts", "sizes", lambda c, n: F.array_repeat(c, n.cast("int"))))
-    blank = F.array_repeat(F.lit(None).cast("long"), F.size("words"))
-    zipped = F.arrays_zip(F.coalesce(spread, blank).alias("context"), F.col("words").alias("word"), F.coalesce("ids", blank).alias("id"), F.col("counts").alias("count"))
-    return table.select(F.inline(zipped))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, contexts in zip(batch.column(0), batch.column(1), strict=True):
+                words, counts, ids, sizes = unpack(body.as_py())
+                none = pa.nulls(len(words), pa.int64())
+                of = pa.array(np.repeat(contexts.values.to_numpy(), sizes.astype(np.int64)), pa.int64()) if contexts.is_valid else none
+                yield pa.RecordBatch.from_arrays([of, pa.array(words.astype(np.uint64).view(np.int64)), pa.array(ids.astype(np.int64)) if len(ids) else none, pa.array(counts.astype(np.int64))], names=["context", "word", "id", "count"])
+
+    return table.select("body", "contexts").mapInArrow(rows, "context long, word long, id long, count long")
 
 
 def weights(table: DataFrame, model: Order) -> DataFrame:
