@@ -7,6 +7,8 @@ rewrites those, so that a rule means the same wherever it runs.
 from __future__ import annotations
 
 import re
+from re import _constants as _op
+from re import _parser
 
 # JavaScript's white space and line ends, as the inside of a Java character class.
 WHITE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -153,3 +155,56 @@ def _word_follows(source: str, at: int) -> bool:
 def _group(name: str) -> str:
     """Java group names have letters and digits only."""
     return "g" + "".join(c if c.isalnum() and c != "z" else f"z{ord(c):x}z" for c in name)
+
+
+#: Sets of literals that a pattern needs, at most; and literals of one set.
+NEEDS, ALTERNATIVES = 4, 64
+
+
+def needs(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of lower-case ASCII literals of which a text must have one each to match a Python pattern.
+
+    Read off its syntax tree: the longest literals that no alternative, option or assertion leaves out. Nothing
+    for a pattern that cannot be read.
+    """
+    try:
+        found = _needed(_parser.parse(pattern))
+    except (re.error, RecursionError, OverflowError):
+        return ()
+    best = sorted(dict.fromkeys(tuple(sorted(s)) for s in found), key=lambda s: (-min(map(len, s)), len(s), s))
+    return tuple(s for s in best if min(map(len, s)) >= 2)[:NEEDS]
+
+
+def _needed(tree) -> list[frozenset[str]]:
+    """Sets of literals of which every match has one each."""
+    out: list[frozenset[str]] = []
+    run = ""
+
+    def end() -> None:
+        nonlocal run
+        if run:
+            out.append(frozenset([run]))
+        run = ""
+
+    for what, own in tree:
+        if what is _op.LITERAL and own < 128:
+            run += chr(own).lower()
+            continue
+        end()
+        if what is _op.SUBPATTERN:
+            out += _needed(own[3])
+        elif what in (_op.MAX_REPEAT, _op.MIN_REPEAT, _op.POSSESSIVE_REPEAT) and own[0] > 0:
+            out += _needed(own[2])
+        elif what is _op.ATOMIC_GROUP:
+            out += _needed(own)
+        elif what is _op.ASSERT and own[0] > 0:
+            out += _needed(own[1])
+        elif what is _op.BRANCH:
+            parts = [_needed(branch) for branch in own[1]]
+            if all(parts):
+                best = [max(p, key=lambda s: (min(map(len, s)), -len(s))) for p in parts]
+                union = frozenset().union(*best)
+                if len(union) <= ALTERNATIVES:
+                    out.append(union)
+    end()
+    return out

@@ -6,6 +6,7 @@ inlined into one expression, a stage that reads its input twice would double the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,13 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.when(F.octet_length(text) == F.length(text), 0).otherwise(beyond)
 
 
+def ascii_only(text: Column) -> Column:
+    """Whether a text is all ASCII: stages that look for other characters skip it."""
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    return F.when(ascii_only(text), text).otherwise(F.regexp_replace(text, INVISIBLE, ""))
 
 
 def nfkc(text: str) -> Column:
@@ -63,17 +69,21 @@ def nfkc(text: str) -> Column:
 def replace_look_alikes(text: Column) -> Column:
     """Cyrillic, Armenian, Georgian, Greek and full-width letters as the Latin ones they look like."""
     wide = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26))
-    return F.translate(text, "".join(LOOK_ALIKES) + wide, "".join(LOOK_ALIKES.values()) + _UPPER + _LOWER)
+    return F.when(ascii_only(text), text).otherwise(F.translate(text, "".join(LOOK_ALIKES) + wide, "".join(LOOK_ALIKES.values()) + _UPPER + _LOWER))
 
 
 def decode_leet(text: Column) -> Column:
-    return F.translate(text, *LEET)
+    return F.when(F.rlike(text, F.lit(f"[{LEET[0]}]")), F.translate(text, *LEET)).otherwise(text)
 
 
 def collapse_white(text: Column) -> Column:
     """Tabs, carriage returns and form feeds as spaces, runs of spaces as one, ends trimmed. Line feeds stay."""
-    out = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\x0c]+", " "), " {2,}", " ")
-    return F.regexp_replace(out, rf"\A[{dialect.WHITE}]+|[{dialect.WHITE}]+\z", "")
+    has = lambda t, *marks: functools.reduce(lambda x, y: x | y, [F.contains(t, F.lit(m)) for m in marks])
+    flat = F.when(has(text, "\t", "\r", "\x0b", "\x0c"), F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+    single = let(flat, lambda t: F.when(has(t, "  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    trimmed = lambda t: F.regexp_replace(t, rf"\A[{dialect.WHITE}]+|[{dialect.WHITE}]+\z", "")
+    return let(single, lambda t: F.when(F.rlike(ends(t), F.lit(f"[{dialect.WHITE}]")), trimmed(t)).otherwise(t))
 
 
 def decode_entities(text: Column) -> Column:
@@ -141,8 +151,15 @@ def join_padded(text: Column) -> Column:
     padded = r"(?<![A-Za-z0-9_])[a-zA-Z][.\-_][a-zA-Z](?:[.\-_][a-zA-Z])+(?![A-Za-z0-9_])"
     dotted = F.when(F.rlike(text, F.lit(r"[.\-_][a-zA-Z][.\-_]")), rewrite(text, padded, lambda m: F.regexp_replace(m, r"[.\-_]", ""))).otherwise(text)
     spaced = r"(?<![A-Za-z0-9_])(?:[a-zA-Z] ){2,}[a-zA-Z](?![A-Za-z0-9_])"
-    parts = F.split(dotted, rf"[{dialect.WHITE}]{{2,}}", -1)
-    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(spaced)), rewrite(p, spaced, lambda m: F.replace(m, F.lit(" "), F.lit("")))).otherwise(p)), " ")
+    gap = rf"[{dialect.WHITE}]{{2,}}"
+
+    def joined(text: Column) -> Column:
+        parts = F.split(text, gap, -1)
+        return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(spaced)), rewrite(p, spaced, lambda m: F.replace(m, F.lit(" "), F.lit("")))).otherwise(p)), " ")
+
+    # Most texts have no letters apart: only their gaps become spaces.
+    plain = lambda t: F.when(ascii_only(t), F.regexp_replace(t, r"[\t-\r ]{2,}", " ")).otherwise(F.regexp_replace(t, gap, " "))
+    return let(dotted, lambda t: F.when(F.rlike(t, F.lit(" [a-zA-Z] [a-zA-Z]")), joined(t)).otherwise(plain(t)))
 
 
 def enrich_rot13(text: Column) -> Column:
@@ -152,7 +169,7 @@ def enrich_rot13(text: Column) -> Column:
 
 def enrich_shape(text: Column) -> Column:
     """Append the reading of a leading l as i, if it differs."""
-    shape = F.regexp_replace(text, dialect.BEFORE_WORD + "l(?=[a-z])", "i")
+    shape = F.regexp_replace(text, "l(?<![A-Za-z0-9_]l)(?=[a-z])", "i")  # the letter first, which is quicker to find
     return F.when(shape != text, F.concat_ws(" ", text, shape)).otherwise(text)
 
 
@@ -173,13 +190,17 @@ def normalized(df: DataFrame, text: str, out: str = "normalized") -> DataFrame:
 
     df = stage(df.withColumn(work, F.col(text)), strip_invisible).withColumn(work, nfkc(work))
     df = stage(df, replace_look_alikes)
-    for _ in range(DECODE_PASSES):
+    for n in range(DECODE_PASSES):
+        # What a pass leaves as it was, the next ones would too.
+        again = F.lit(True) if n == 0 else F.col("__again")
+        df = df.withColumn("__before", F.col(work))
         for f in DECODERS:
-            df = stage(df, f)
+            df = stage(df, lambda t, f=f: F.when(again, f(t)).otherwise(t) if n else f(t))
+        df = df.withColumn("__again", F.col("__before") != F.col(work)) if n + 1 < DECODE_PASSES else df
     for f in (decode_leet, join_padded, collapse_white):
         df = stage(df, f)
     df = df.withColumn("__short", utf16_length(F.col(work)) <= ENRICH_MAX)
     df = stage(df, enrich_rot13)
     df = stage(df, lambda t: F.lower(F.when(F.col("__short"), F.concat_ws(" ", t, F.reverse(t))).otherwise(t)))
     df = stage(df, lambda t: F.when(F.col("__short"), enrich_shape(t)).otherwise(t))
-    return df.drop("__short").withColumnRenamed(work, out)
+    return df.drop("__short", "__before", "__again").withColumnRenamed(work, out)

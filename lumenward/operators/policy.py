@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,26 +52,39 @@ def _of_tier(signature: bool) -> Column:
     return F.filter("findings", lambda f: (f["tier"] == "S") if signature else (f["tier"] != "S"))
 
 
-def ladder(files: DataFrame, collection: str) -> DataFrame:
+def tiered(files: DataFrame, signatures: Sequence[str] | None) -> DataFrame:
+    """files whose findings have tier S exactly if their rule is one of the signatures; None leaves tiers as they are.
+
+    A rule of tier S that is none of them counts as confirmed by a pattern.
+    """
+    if signatures is None:
+        return files
+    tier = lambda f: F.when(f["id"].isin(*signatures) if signatures else F.lit(False), "S").when(f["tier"] == "S", "A").otherwise(f["tier"])
+    return files.withColumn("findings", F.transform("findings", lambda f: f.withField("tier", tier(f))))
+
+
+def ladder(files: DataFrame, collection: str, signatures: Sequence[str] | None = None) -> DataFrame:
     """One row per collection: overall, notes, hits, to_review and files_scanned, all numbers.
 
+    signatures: the rules of tier S, if not those of the catalog (see tiered).
+
     Each file is three numbers before the shuffle and they are added up on both sides of it, so a collection may
     have any number of files and findings.
     """
-    rows = files.select(collection, F.size(_of_tier(False)).alias("n"), F.size(_of_tier(True)).alias("s"), (F.size(corroborated(F.col("findings"))) > 0).cast("int").alias("r"))
+    rows = tiered(files, signatures).select(collection, F.size(_of_tier(False)).alias("n"), F.size(_of_tier(True)).alias("s"), (F.size(corroborated(F.col("findings"))) > 0).cast("int").alias("r"))
     total = lambda c: F.sum(c).cast("long")
     sums = rows.groupBy(collection).agg(total("n").alias("notes"), total("s").alias("hits"), total("r").alias("to_review"), F.count(F.lit(1)).alias("files_scanned"))
     return sums.withColumn("overall", rung(F.col("hits"), F.col("to_review"), F.col("notes")))
 
 
-def rollup(files: DataFrame, collection: str, name: str, order: str) -> DataFrame:
+def rollup(files: DataFrame, collection: str, name: str, order: str, signatures: Sequence[str] | None = None) -> DataFrame:
     """One row per collection with everything in it: notes, files to review and signature hits as arrays.
 
     Notes and hits come in file order, then finding order. For collections whose findings fit in one row, such as
     a repository's files; ladder() has none of that limit.
     """
     entry = lambda f: F.struct(F.col(name).alias("file"), f["id"].alias("id"), f["severity"].alias("severity"), F.coalesce(f["category"], F.lit("")).alias("category"), F.coalesce(f["matched_text"], F.lit("")).alias("matched_text"))
-    rows = files.select(
+    rows = tiered(files, signatures).select(
         F.col(collection), F.col(order).alias("place"), F.col(name).alias("file"), F.transform(_of_tier(False), entry).alias("notes"), F.transform(_of_tier(True), entry).alias("hits"),
         F.transform(corroborated(F.col("findings")), lambda c: c["category"]).alias("categories"),
     )

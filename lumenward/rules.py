@@ -104,16 +104,21 @@ def stats(rules: Sequence[Rule]) -> dict[str, int]:
 
 
 def invalid(spark: SparkSession, patterns: Sequence[str]) -> list[str | None]:
-    """For each Java pattern, what the engine has against it; None if it compiles."""
+    """For each Java pattern, what the engine has against it; None if it compiles.
 
-    def why(pattern: str) -> str | None:
-        try:
-            spark.range(1).select(F.lit("x").rlike(pattern)).collect()
-        except PySparkException as e:
-            return str(e).splitlines()[0][:200]
-        return None
-
-    return [why(p) for p in patterns]
+    All are tried in one query; only if that fails, the halves are, down to the patterns at fault.
+    """
+    if not patterns:
+        return []
+    try:
+        tried = F.exists(F.array(*[F.lit("x").rlike(p) for p in patterns]), lambda hit: hit)
+        spark.range(1).select(tried).collect()
+        return [None] * len(patterns)
+    except PySparkException as e:
+        if len(patterns) == 1:
+            return [str(e).splitlines()[0][:200]]
+    half = len(patterns) // 2
+    return [*invalid(spark, patterns[:half]), *invalid(spark, patterns[half:])]
 
 
 def compile_catalog(spark: SparkSession, raw: Iterable[Mapping], deny: Iterable[str] = (), kind: str = "carrier", strict: bool = False) -> tuple[list[Rule], Report]:
@@ -123,31 +128,40 @@ def compile_catalog(spark: SparkSession, raw: Iterable[Mapping], deny: Iterable[
     not compile is left out and reported; strict: that is an error instead.
     """
     denied = {d.lower() for d in deny}
-    out, failed, total = [], [], 0
+    read: list[tuple[Mapping, list[Regex] | ValueError]] = []
     for item in raw:
-        total += 1
         try:
-            entries = []
-            for entry in item.get("regex", ()):
-                entry = {"source": entry} if isinstance(entry, str) else entry
-                mode = entry.get("mode", "plain")
-                if mode not in MODES or (kind == "mechanism" and mode == "guarded"):
-                    raise dialect.Unsupported(f"mode {mode}")
-                guards = tuple(Regex(*dialect.from_python(g)) for g in entry.get("guards", ()))
-                entries.append(Regex(*dialect.from_python(entry["source"]), mode, guards))
-            patterns = [r.java for e in entries for r in (e, *e.guards)]
-            problems = [p for p in invalid(spark, patterns) if p]
-            if problems:
-                raise dialect.Unsupported(problems[0])
+            read.append((item, [_entry(entry, kind) for entry in item.get("regex", ())]))
         except ValueError as e:
             if strict:
                 raise
-            failed.append((item["id"], str(e)))
+            read.append((item, e))
+    patterns = list(dict.fromkeys(r.java for _, entries in read if isinstance(entries, list) for e in entries for r in (e, *e.guards)))
+    problems = dict(zip(patterns, invalid(spark, patterns), strict=True))
+    out, failed = [], []
+    for item, entries in read:
+        if isinstance(entries, list):
+            found = [p for e in entries for r in (e, *e.guards) if (p := problems[r.java])]
+            if found and strict:
+                raise dialect.Unsupported(found[0])
+            entries = dialect.Unsupported(found[0]) if found else entries
+        if not isinstance(entries, list):
+            failed.append((item["id"], str(entries)))
             continue
         known = {k: item[k] for k in ("id", "name", "category", "severity", "description", "tier", "negation_immune") if k in item}
         keywords = tuple(k for k in item.get("keywords", ()) if k.lower() not in denied)
         out.append(Rule(**known, channels=tuple(item.get("channel", ())), keywords=keywords, regex=tuple(entries), kind=kind))
-    return out, Report(total, len(out), sum(not r.regex for r in out), tuple(failed))
+    return out, Report(len(read), len(out), sum(not r.regex for r in out), tuple(failed))
+
+
+def _entry(entry: str | Mapping, kind: str) -> Regex:
+    """A raw pattern in the rule dialect, with the literals that it needs."""
+    entry = {"source": entry} if isinstance(entry, str) else entry
+    mode = entry.get("mode", "plain")
+    if mode not in MODES or (kind == "mechanism" and mode == "guarded"):
+        raise dialect.Unsupported(f"mode {mode}")
+    guards = tuple(Regex(*dialect.from_python(g)) for g in entry.get("guards", ()))
+    return Regex(*dialect.from_python(entry["source"]), mode, guards, dialect.needs(entry["source"]))
 
 
 RULES_SCHEMA = "ordinal int, rule_id string, kind string, name string, category string, severity string, severity_rank int, tier string, channels array<string>, keywords array<string>, regex array<struct<mode:string,source:string,flags:string,guards:array<string>>>, negation_immune boolean, description string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,19 @@ from lumenward.operators.scan import channel_or_default
 
 MAX_BYTES = 100_000
 MAX_FILES = 15
-REQUEST = "text string, channel string"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if it has fewer: a scan costs far more than moving a text."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df, read from files, over at least as many partitions as there are cores: a scan costs far more than moving a text.
+
+    The number of files' bytes says how many there will be, without planning the query; a table that fills the
+    cores by itself is not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size.toString()) < cores * split else df
 
 
 def reject_reason(text: Column) -> Column:
@@ -29,10 +37,19 @@ def guarded(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """JSON request bodies as text, channel and reject_reason; a body that is no object is refused as `not JSON`."""
-    parsed = df.withColumn("__r", F.from_json(F.col(body), REQUEST, {"mode": "PERMISSIVE"}))
-    out = parsed.withColumn("text", F.col("__r.text")).withColumn("channel", channel_or_default(F.col("__r.channel")))
-    valid = F.col(body).rlike(r"^\s*\{") & F.get_json_object(F.col(body), "$").isNotNull()
+    """JSON request bodies as text, channel and reject_reason.
+
+    A body that is no JSON, or has more behind its value, is refused as `not JSON`; a value that is no object, or
+    whose text is missing or no string, as `empty`. A channel that is no string is as good as none. An object that
+    names a key twice is no JSON here.
+    """
+    # The parser stops behind the first value; with a mark after the body, nothing can stand between the two.
+    mark = uuid.uuid4().hex
+    df = df.withColumn("__r", F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit(f',"{mark}"]'))))
+    valid = (F.try_variant_get("__r", "$[1]", "string") == mark) & F.try_variant_get("__r", "$[2]", "variant").isNull()
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("__r", path, "variant"))
+    string = lambda path: F.when(F.coalesce(kind(path) == "STRING", F.lit(False)), F.try_variant_get("__r", path, "string"))
+    out = df.withColumn("text", string("$[0].text")).withColumn("channel", channel_or_default(string("$[0].channel")))
     return out.withColumn("reject_reason", F.when(~F.coalesce(valid, F.lit(False)), "not JSON").otherwise(reject_reason(F.col("text")))).drop("__r")
 
 

@@ -194,6 +194,29 @@ def test_requests(spark):
     assert got == [("file", None), ("file", "empty"), ("message", None), ("message", None), ("message", "not JSON"), ("message", "not JSON"), ("file", "empty"), ("message", "too large")]
 
 
+@pytest.mark.parametrize(
+    ("body", "reason"),
+    [
+        ('{"text": 123}', "empty"), ('{"text": {"a": 1}}', "empty"), ('{"text": null}', "empty"), ('{"text": ["x"]}', "empty"), ("[1, 2]", "empty"), ('"s"', "empty"), ("null", "empty"), ("5", "empty"),
+        ('{"text": "hi"} trailing', "not JSON"), ('{"text": "hi"}{}', "not JSON"), ('{"text": "hi"}, {"text": "b"}', "not JSON"), ('{"text": "hi"}]', "not JSON"), ('{"text": "hi"}], [', "not JSON"), ("{'text': 'hi'}", "not JSON"), ('{"text": "a\nb"}', "not JSON"), ("", "not JSON"), ("  ", "not JSON"),
+        ('\n {"text": "hi"} \n', None), ('{"text": "a\\nb", "channel": 7}', None),
+    ],
+)
+def test_odd_requests(spark, body, reason):
+    row = texts.requests(spark.createDataFrame([(body,)], "body string")).first()
+    assert row.reject_reason == reason
+    if reason is None:
+        assert row.channel == "message" and row.text in ("hi", "a\nb")
+
+
+def test_signatures_can_be_given(spark):
+    rows = [("r", 0, "f", [_f("a", span="1", tier="S"), _f("b", span="2")])]
+    df = spark.createDataFrame(rows, "repo string, n int, file string, findings array<struct<id:string,severity:string,category:string,tier:string,matched_text:string>>")
+    rung = lambda signatures: policy.ladder(df, "repo", signatures).first().overall
+    assert [rung(s) for s in (None, ["a"], ["b"], [], ["x"])] == ["known_attack", "known_attack", "known_attack", "review_before_agent_ingestion", "review_before_agent_ingestion"]
+    assert policy.rollup(df, "repo", "file", "n", []).first().overall == "review_before_agent_ingestion"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("hello")
     (tmp_path / "b.md").write_text("z" * 100_001)
