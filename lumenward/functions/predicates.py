@@ -93,6 +93,17 @@ def hit(regex: Regex, text: Column, views: Column | None = None, lower: Column |
     return out
 
 
+def hit_by(java: Column, plain: Column, guards: Column, text: Column, views: Column | None = None) -> Column:
+    """hit() for a pattern that is a column: java, anchored unless it is plain, and its anchored guards."""
+    found = lambda t: F.call_function("regexp_extract", t, java, F.lit(0))
+    before = let(F.regexp_instr(text, java) - 1, lambda at: units(text, at - DEFENSIVE_SPAN, F.lit(DEFENSIVE_SPAN)))
+    anywhere = F.struct(before.alias("before"), units(found(text), F.lit(0), F.lit(MATCH_SPAN)).alias("matched"))
+    first = F.get(F.filter(windows(text) if views is None else views, lambda w: F.rlike(w, java)), F.lit(0))
+    at_start = let(first, lambda w: F.when(w.isNotNull(), F.struct(F.lit("").alias("before"), units(found(w), F.lit(0), F.lit(MATCH_SPAN)).alias("matched"))))
+    guarded = F.when(~F.exists(guards, lambda g: F.rlike(text, g)), at_start)
+    return F.when(plain, F.when(F.rlike(text, java), anywhere)).otherwise(guarded)
+
+
 def excerpt(text: Column, at: Column, size: int) -> Column:
     """The surroundings of a keyword found at a 0-based place in characters."""
     start = F.greatest(at - EXCERPT_BEFORE, F.lit(0))

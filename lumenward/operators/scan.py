@@ -1,11 +1,15 @@
 """The scan: lanes of rules over each text, context downgrades, suppression, and a decision.
 
-All of it is row-local: no join with the rules, no shuffle, the same in batch and in streams. Rules become
-literals of the plan, so their patterns are compiled once per task.
+All of it is row-local: no join with the rules, no shuffle, the same in batch and in streams. The rules of a small
+catalog become expressions of the plan, whose patterns are compiled once per task. Beyond LARGE patterns or
+keywords, an automaton reads each text once and says which keywords occur and which patterns can match at all, by
+the literals that they need; only those are tried, from a table, so that neither the plan nor a text's cost grows
+with the catalog.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
@@ -22,6 +26,11 @@ from lumenward.rules import Rule
 SIGHTING = "struct<lane:int,first:int,ordinal:int,before:string,matched:string>"
 #: From so many keywords on, an automaton finds them all in one pass over a text.
 AUTOMATON_KEYWORDS = 200
+#: From so many keywords or patterns on, an automaton says what to try on a text.
+LARGE = 200
+#: What it says: rules with keywords only and the first of them that occurs, its place in characters; rules of which
+#: a pattern may match the raw text; and rules with a keyword of which one may match the normalised text.
+SCREENED = "struct<words:array<struct<ordinal:int,k:int,at:int>>,worth:array<struct<ordinal:int,tries:array<int>>>,again:array<struct<ordinal:int,k:int,tries:array<int>>>>"
 
 
 def once(value: Column) -> Column:
@@ -43,7 +52,8 @@ def findings_of(sightings: Column, rules: Sequence[Rule]) -> Column:
     its own severity beside.
     """
     words = lambda r: {"id": r.id, "name": r.name, "category": r.category, "severity": r.severity, "rank": r.rank, "kind": r.kind, "tier": r.grade, "description": r.description, "immune": r.negation_immune}
-    known = F.array(*[F.struct(*(F.lit(v).alias(k) for k, v in words(r).items())) for r in rules])
+    fields = "id string, name string, category string, severity string, rank int, kind string, tier string, description string, immune boolean"
+    known = table_literal([words(r) for r in rules], f"array<struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>>")
 
     def of(s: Column) -> Column:
         def judged(j: Column) -> Column:
@@ -64,6 +74,11 @@ def findings_of(sightings: Column, rules: Sequence[Rule]) -> Column:
     return F.transform(sightings, of)
 
 
+def table_literal(rows: list, kind: str) -> Column:
+    """A constant of any size in one expression; the optimiser turns it into a literal."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
 def _near(before: Column) -> Column:
     """The units close enough to negate."""
     return let(before, lambda b: predicates.units(b, F.greatest(normalize.utf16_length(b) - predicates.NEGATION_SPAN, F.lit(0)), F.lit(predicates.NEGATION_SPAN)))
@@ -157,6 +172,110 @@ def channel_or_default(channel: Column) -> Column:
     return F.when(channel.isin(*R.CHANNELS), channel).otherwise(R.DEFAULT_CHANNEL)
 
 
+class Screen:
+    """What of a catalog can have anything to say about a text."""
+
+    def __init__(self, rules: Sequence[Rule], index: list[tuple[str, list[int]]]) -> None:
+        self.keywords = [k for k, _ in index]
+        self.owners = [owners for _, owners in index]
+        self.alone = [not r.regex for r in rules]
+        self.channels = [frozenset(r.channels) for r in rules]
+        tries = [(n, e) for n, r in enumerate(rules) for e in r.regex]
+        self.rule_of = [n for n, _ in tries]
+        #: Literals, the (pattern, set) pairs that each serves, and how many sets a pattern has.
+        self.literals: dict[str, list[tuple[int, int]]] = {}
+        self.sets = [len(e.needs) for _, e in tries]
+        for t, (_, e) in enumerate(tries):
+            for k, literals in enumerate(e.needs):
+                for literal in literals:
+                    self.literals.setdefault(literal, []).append((t, 1 << k))
+        self.always = [t for t, n in enumerate(self.sets) if not n]
+
+    def machines(self) -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+        """Automata over the literals and over the keywords."""
+
+        def over(words: list[tuple[str, object]]) -> ahocorasick.Automaton:
+            machine = ahocorasick.Automaton()
+            for word, value in words:
+                machine.add_word(word, value)
+            if words:
+                machine.make_automaton()
+            return machine
+
+        return over(list(self.literals.items())), over([(word, k) for k, word in enumerate(self.keywords)])
+
+    def tries(self, machine: ahocorasick.Automaton, lower: str) -> dict[int, list[int]]:
+        """By rule, the patterns that a lower-cased text can match, in order."""
+        met: dict[int, int] = {}
+        if len(machine):
+            for serves in {id(v): v for _, v in machine.iter(lower)}.values():
+                for t, bit in serves:
+                    met[t] = met.get(t, 0) | bit
+        out: dict[int, list[int]] = {}
+        for t in sorted([*self.always, *(t for t, bits in met.items() if bits == (1 << self.sets[t]) - 1)]):
+            out.setdefault(self.rule_of[t], []).append(t)
+        return out
+
+    def first_keywords(self, machine: ahocorasick.Automaton, normal: str) -> dict[int, tuple[int, int]]:
+        """By rule, the first of its keywords that occurs, and where."""
+        places: dict[int, int] = {}
+        if len(machine):
+            for end, k in machine.iter(normal):
+                if k not in places:
+                    places[k] = end - len(self.keywords[k]) + 1
+        out: dict[int, tuple[int, int]] = {}
+        for k in sorted(places):
+            for n in self.owners[k]:
+                out.setdefault(n, (k, places[k]))
+        return out
+
+    def column(self, lower: Column, normal: Column, channel: Column) -> Column:
+        """SCREENED of a text."""
+        own = self
+
+        @F.pandas_udf(SCREENED)
+        def screened(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            literals, keywords = own.machines()
+            for lowers, normals, channels in batches:
+                rows: list[tuple[list, list, list]] = []
+                for low, norm, ch in zip(lowers, normals, channels, strict=True):
+                    found = {n: x for n, x in own.first_keywords(keywords, norm or "").items() if ch in own.channels[n]}
+                    words = [{"ordinal": n, "k": k, "at": at} for n, (k, at) in found.items() if own.alone[n]]
+                    worth = [{"ordinal": n, "tries": t} for n, t in own.tries(literals, low or "").items() if ch in own.channels[n]]
+                    keyed = {n: k for n, (k, _) in found.items() if not own.alone[n]}
+                    retry = own.tries(literals, norm or "") if keyed else {}
+                    rows.append((words, worth, [{"ordinal": n, "k": keyed[n], "tries": retry[n]} for n in sorted(keyed) if n in retry]))
+                yield pd.DataFrame(rows, columns=["words", "worth", "again"])
+
+        return screened(lower, normal, channel)
+
+
+def tried(rules: Sequence[Rule], tries: Column, text: Column, views: Column | None = None) -> Column:
+    """The hit of the first pattern that matches among those numbered, from a table of all patterns of the rules."""
+    entries = [e for r in rules for e in r.regex]
+    anchored = lambda e: R.Regex(f"^(?:{e.source})", e.flags.replace("m", "")).java
+    rows = [{"plain": e.mode == "plain", "java": e.java if e.mode == "plain" else anchored(e), "guards": [anchored(g) for g in e.guards]} for e in entries]
+    table = table_literal(rows, "array<struct<plain:boolean,java:string,guards:array<string>>>")
+    hits = F.transform(tries, lambda t: let(F.get(table, t), lambda e: predicates.hit_by(e["java"], e["plain"], e["guards"], text, views)))
+    return F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))
+
+
+def large_lanes(df: DataFrame, rules: Sequence[Rule], index: list[tuple[str, list[int]]], channel: str) -> DataFrame:
+    """df with __one, __two and __three as scan() has them, by what the automaton says is worth trying."""
+    raw, normal = F.col("__text"), F.col("__normal")
+    df = df.withColumn("__screened", once(Screen(rules, index).column(F.col("__lower"), normal if index else F.lit(""), F.col(channel))))
+    sizes = table_literal([len(k) for k, _ in index], "array<int>")
+    word = lambda c: sighting(1, c["k"], c["ordinal"], before_keyword(normal, c["at"]), predicates.excerpt(normal, c["at"], F.get(sizes, c["k"])))
+    seen = lambda lane, first, c, text: let(tried(rules, c["tries"], text), lambda h: F.when(h.isNotNull(), sighting(lane, first, c["ordinal"], h["before"], h["matched"])))
+    none = F.array().cast(f"array<{SIGHTING}>")
+    df = df.withColumn("__one", once(F.transform("__screened.words", word)) if index else none)
+    df = df.withColumn("__two", once(F.array_compact(F.transform("__screened.worth", lambda c: seen(2, c["ordinal"], c, raw)))))
+    fresh = F.filter("__screened.again", lambda c: ~F.exists("__two", lambda s: s["ordinal"] == c["ordinal"]))
+    short = normalize.utf16_length(raw) <= predicates.CORROBORATE_MAX
+    three = F.when(short, F.array_compact(F.transform(fresh, lambda c: seen(3, c["k"], c, normal)))).otherwise(none)
+    return df.withColumn("__three", once(three) if index else none).drop("__screened")
+
+
 def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str = "channel") -> DataFrame:
     """df with findings (array of structs) and decision.
 
@@ -166,14 +285,25 @@ def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str
     """
     rules = list(rules)
     index = R.keyword_index(rules)
+    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("__lower", once(F.lower("__text")))
+    if index:
+        df = normalize.normalized(df, "__text", "__normal")
+    large = max(len(index), sum(len(r.regex) for r in rules)) >= LARGE
+    df = large_lanes(df, rules, index, channel) if large else small_lanes(df, rules, index, channel)
+    df = df.withColumn("findings", once(findings_of(F.array_sort(F.concat("__one", "__two", "__three")), rules)))
+    df = df.withColumn("findings", once(F.when(F.exists("findings", lambda f: f["kind"] != "carrier"), suppressed(F.col("findings"))).otherwise(F.col("findings"))))
+    df = df.withColumn("decision", once(decision_of(F.col("findings"))))
+    return df.drop("__text", "__lower", "__normal", "__one", "__two", "__three")
+
+
+def small_lanes(df: DataFrame, rules: Sequence[Rule], index: list[tuple[str, list[int]]], channel: str) -> DataFrame:
+    """df with __one, __two and __three, the sightings of each lane, by an expression for each rule."""
     keyed = {n for _, owners in index for n in owners}
     patterned = [n for n, r in enumerate(rules) if r.regex]
     raw, ch, normal = F.col("__text"), F.col(channel), F.col("__normal")
     none = F.array().cast(f"array<{SIGHTING}>")
-    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("__lower", once(F.lower("__text")))
     if index:
-        df = normalize.normalized(df, "__text", "__normal")
         df = df.withColumn("__places", once(keyword_places(normal, [k for k, _ in index])))
         df = df.withColumn("__found", once(candidates(rules, index, F.col("__places"), ch)))
     views = None
@@ -185,10 +315,7 @@ def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str
     lane_3 = [_retried(rules[n], n, normal) for n in patterned if n in keyed]
     short = normalize.utf16_length(raw) <= predicates.CORROBORATE_MAX
     df = df.withColumn("__three", once(F.when(short, F.array_compact(F.array(*lane_3))).otherwise(none)) if lane_3 else none)
-    df = df.withColumn("findings", once(findings_of(F.array_sort(F.concat("__one", "__two", "__three")), rules)))
-    df = df.withColumn("findings", once(F.when(F.exists("findings", lambda f: f["kind"] != "carrier"), suppressed(F.col("findings"))).otherwise(F.col("findings"))))
-    df = df.withColumn("decision", once(decision_of(F.col("findings"))))
-    return df.drop("__text", "__lower", "__normal", "__places", "__found", "__views", "__one", "__two", "__three")
+    return df.drop("__places", "__found", "__views")
 
 
 def _sighted(lane: int, rule: Rule, n: int, place: Column, text: Column, views: Column | None, lower: Column) -> Column:

@@ -272,6 +272,22 @@ def test_rate_windows_as_a_stream(spark, tmp_path):
     assert got == [w for w in want if w[1] < "2024-01-01 00:58"]
 
 
+def test_large_catalogs_find_the_same(spark, monkeypatch):
+    """The automaton and the table of patterns against an expression for each rule."""
+    from lumenward.plans import seeds
+
+    hints = [rule(f"both{n}", keywords=(f"word{n}",), regex=(Regex(rf"\bw{n}\s+x", needs=((f"w{n}",),)), Regex(r"\bsystem\s+prompt\b"))) for n in range(3)]
+    rules = [*catalog.CATALOG, *hints, rule("free", channels=("file",), regex=(Regex("[aeiou]{4}"),)), rule("deaf", channels=(), regex=(Regex("a"),), keywords=("a",))]
+    texts_ = [*seeds.CANARIES.values(), *seeds.ENCODED.values(), "word1 w1 x queue", "the licence: token", "webhook " + "x " * 900 + "credentials", "password upload", "password upload security advisory", "", None]
+    rows = [(t, c) for t in texts_ for c in ("file", "message", "log_memory", "odd")]
+    small = scanned(spark, rows, rules)
+    monkeypatch.setattr(S, "LARGE", 2)
+    large = scanned(spark, rows, rules)
+    for i, row in enumerate(rows):
+        assert large[i] == small[i], row
+    assert sum(bool(r.findings) for r in small.values()) > 40
+
+
 def test_the_plan_is_row_local(spark):
     df = spark.range(1).select(F.lit("x").alias("text"), F.lit("file").alias("channel"))
     plan = S.scan(df, catalog.CATALOG)._jdf.queryExecution().executedPlan().toString()
