@@ -23,7 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size.toString()) < cores * split else df
+    return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
 def reject_reason(text: Column) -> Column:
