@@ -63,30 +63,38 @@ def need_of(n: int) -> int:
 
 
 class Coder:
-    """Texts as 64-bit codes of their words; chunks keep theirs in a bounded cache."""
+    """Texts as 64-bit codes of their words; chunks keep their number in a bounded cache, numbers their code."""
 
     def __init__(self, known: np.ndarray | None = None) -> None:
         self.known = known
-        self.cache: dict[bytes, int] = {}
-
-    def _code(self, chunk: bytes) -> int:
-        bare = normal(chunk)
-        if not bare:
-            return _NONE
-        code = xxhash.xxh64_intdigest(bare) | 2
-        return code if self.known is None or on(self.known, _top(np.array([code], np.uint64), bits_of(self.known)))[0] else _OTHER
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.table = np.zeros(0, np.uint64)
+
+    def _learn(self, words: list[list[bytes]]) -> None:
+        if len(self.numbers) > CACHE_CHUNKS:
+            self._clear()
+        new = list(set().union(*words).difference(self.numbers)) if words else []
+        if new:
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            bare = [normal(w) for w in new]
+            code = np.fromiter(map(xxhash.xxh64_intdigest, bare), np.uint64, len(bare)) | np.uint64(2)
+            if self.known is not None:
+                code[~on(self.known, _top(code, bits_of(self.known)))] = _OTHER
+            code[np.fromiter(map(len, bare), np.int64, len(bare)) == 0] = _NONE
+            self.table = np.concatenate((self.table, code))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code, text and place among the text's chunks of every word; bare punctuation is left out."""
         words = [common.words_of(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        for w in set().union(*words).difference(self.cache):
-            self.cache[w] = self._code(w)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
-        text = np.repeat(np.arange(len(texts)), size)
-        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        self._learn(words)
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int32, int(size.sum()))
+        code = self.table[number]
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        place = np.arange(len(code), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
         solid = code != _NONE
         return code[solid], text[solid], place[solid]
 
@@ -111,10 +119,11 @@ def windows(code: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray,
     if last < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     known = code != _OTHER
-    full = text[:last] == text[len(mask) - 1 :]
-    for k in kept:
+    full = known[kept[0] : kept[0] + last].copy()
+    for k in kept[1:]:
         full &= known[k : k + last]
     at = np.flatnonzero(full)
+    at = at[text[at] == text[at + len(mask) - 1]]
     out = np.full(len(at), xxhash.xxh64_intdigest(mask.encode()), dtype=np.uint64)
     for k in kept:
         out = (out ^ code[at + k]) * np.uint64(0xBF58476D1CE4E5B9)
