@@ -276,12 +276,13 @@ def large_lanes(df: DataFrame, rules: Sequence[Rule], index: list[tuple[str, lis
     return df.withColumn("__three", once(three) if index else none).drop("__screened")
 
 
-def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str = "channel") -> DataFrame:
+def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str = "channel", before: str | None = None) -> DataFrame:
     """df with findings (array of structs) and decision.
 
     Lane 1: rules with keywords only, on the normalised text. Lane 2: all patterns on the raw text. Lane 3: rules
     whose keyword occurs but whose pattern did not match the raw text get one try on the normalised text, for
-    texts up to CORROBORATE_MAX units. A null text has no findings.
+    texts up to CORROBORATE_MAX units. A null text has no findings. before: a further column, with the findings
+    before suppression.
     """
     rules = list(rules)
     index = R.keyword_index(rules)
@@ -292,6 +293,8 @@ def scan(df: DataFrame, rules: Sequence[Rule], text: str = "text", channel: str
     large = max(len(index), sum(len(r.regex) for r in rules)) >= LARGE
     df = large_lanes(df, rules, index, channel) if large else small_lanes(df, rules, index, channel)
     df = df.withColumn("findings", once(findings_of(F.array_sort(F.concat("__one", "__two", "__three")), rules)))
+    if before:
+        df = df.withColumn(before, F.col("findings"))
     df = df.withColumn("findings", once(F.when(F.exists("findings", lambda f: f["kind"] != "carrier"), suppressed(F.col("findings"))).otherwise(F.col("findings"))))
     df = df.withColumn("decision", once(decision_of(F.col("findings"))))
     return df.drop("__text", "__lower", "__normal", "__one", "__two", "__three")

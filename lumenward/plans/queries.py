@@ -25,6 +25,7 @@ ORACLES: dict[str, str] = {}
 
 #: Rules whose patterns are all plain, without their keywords: what the raw-text lane alone decides.
 RAW = [replace(r, keywords=()) for r in catalog.CATALOG if r.regex and all(e.mode == "plain" for e in r.regex)]
+FULL_SQL = f"with {seeds.DOCUMENTS_SQL}, {O.normalised('seeded', 'clean')}, {O.full(catalog.CATALOG, 'clean', 'doc_id, source')}"
 HITS_SQL = f"with {seeds.DOCUMENTS_SQL}, {O.hits(RAW, 'seeded', 'doc_id, source, canary')}, {O.kept('doc_id')}"
 
 
@@ -96,11 +97,10 @@ def _matches(rule: R.Rule) -> Column:
 @query(f"{HITS_SQL} select doc_id, id as rule_id, case when kind = 'carrier' then 'carrier' else 'mechanism' end as kind, severity, (select count(*) from kept k where k.doc_id = h.doc_id and k.id = h.id) as kept from hits h")
 def mechanism_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw finding, and whether it outlives the carriers of its category."""
-    df = scanned(spark, sf_dir)
-    all_rules = S.scan(df.drop("findings", "decision"), [replace(r, category=f"{r.category}|{r.id}") for r in RAW])
-    before = S.exploded(all_rules, "doc_id").select("doc_id", F.col("id").alias("rule_id"), "kind", "severity")
-    after = S.exploded(df, "doc_id").select("doc_id", F.col("id").alias("rule_id"), F.lit(1).cast("long").alias("kept"))
-    return before.join(after, ["doc_id", "rule_id"], "left").select("doc_id", "rule_id", "kind", "severity", F.coalesce("kept", F.lit(0)).alias("kept"))
+    df = S.scan(seeds.documents(spark, sf_dir), RAW, before="found")
+    kept = lambda f: F.exists("findings", lambda k: k["id"] == f["id"]).cast("long")
+    rows = F.transform("found", lambda f: F.struct(f["id"].alias("rule_id"), f["kind"].alias("kind"), f["severity"].alias("severity"), kept(f).alias("kept")))
+    return df.select("doc_id", F.inline(S.once(rows)))
 
 
 def _downgraded(flag: str) -> Query:
@@ -129,20 +129,23 @@ def regex_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).where(F.col("id").isin("CAR-002", "CAR-005", "CAR-006", "CAR-007")).select("doc_id", F.col("id").alias("rule_id"), "matched_text")
 
 
-_LATE = "('" + "', '".join(("base64", "layered")) + "')"
+_ENCODED = (
+    f"e as (select doc_id, 'file' as channel, {seeds.picked_sql('doc_id', seeds.ENCODED_NAMES)} as canary, text || chr(10) || {seeds.picked_sql('doc_id', list(seeds.ENCODED.values()))} as text from documents)"
+)
 
 
-@query(
-    f"with e as (select doc_id, {seeds.picked_sql('doc_id', seeds.ENCODED_NAMES)} as canary, length(text) + 1 + length({seeds.picked_sql('doc_id', list(seeds.ENCODED.values()))}) as n from documents) "
-    f"select doc_id, canary, 'CAR-001' as rule_id, 'critical' as severity, 'ignore all previous instructions' as matched_text from e where canary in {_LATE} and n <= {predicates.CORROBORATE_MAX}"
-)
+@query(f"with {_ENCODED}, {O.normalised('e', 'clean')}, {O.full(catalog.CATALOG, 'clean', 'doc_id, canary')} select doc_id, canary, id as rule_id, severity, matched as matched_text from kept where lane = 3")
 def corroborated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that a keyword made candidates and the normalised text confirmed, over encoded canaries."""
     docs = _encoded(spark, sf_dir).withColumn("channel", F.lit("file"))
     return S.exploded(S.scan(docs, catalog.CATALOG), "doc_id", "kind_of").where("lane = 3").select("doc_id", F.col("kind_of").alias("canary"), F.col("id").alias("rule_id"), "severity", "matched_text")
 
 
-@query()
+@query(
+    f"with {seeds.MESSAGES_SQL}, {O.normalised('talk', 'clean')}, {O.full(catalog.CATALOG, 'clean', 'conv_id, turn')}, "
+    "f as (select conv_id, turn, max(rank) as r, string_agg(id || ':' || severity, ',' order by lane, first, ordinal) as found from kept group by 1, 2) "
+    f"select conv_id, turn, {O.decision('r')} as decision, coalesce(found, '') as found from talk left join f using (conv_id, turn)"
+)
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lanes of the whole catalog over all conversations."""
     done = S.scan(seeds.messages(spark, sf_dir), catalog.CATALOG)
@@ -156,11 +159,12 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def finding_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mechanisms add to the carriers: rule ids on either side only, and whether the decision differs."""
-    ids = lambda: F.transform("findings", lambda f: f["id"])
-    a = scanned(spark, sf_dir).select("doc_id", ids().alias("a"), F.col("decision").alias("da"))
-    b = S.scan(seeds.documents(spark, sf_dir), [r for r in RAW if r.kind == "carrier"]).select("doc_id", ids().alias("b"), F.col("decision").alias("db"))
-    only = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ",")
-    return a.join(b, "doc_id").select("doc_id", only("a", "b").alias("only_with"), only("b", "a").alias("only_without"), (F.col("da") != F.col("db")).alias("decision_differs"))
+    # Carriers never depend on mechanisms, so both verdicts come from one scan.
+    df = S.scan(seeds.documents(spark, sf_dir), RAW, before="found").withColumn("carriers", F.filter("found", lambda f: f["kind"] == "carrier"))
+    ids = lambda c: F.transform(c, lambda f: f["id"])
+    only = lambda x, y: F.array_join(F.array_sort(F.array_except(ids(x), ids(y))), ",")
+    differs = F.col("decision") != S.decision_of(F.col("carriers"))
+    return df.select("doc_id", only("findings", "carriers").alias("only_with"), only("carriers", "findings").alias("only_without"), differs.alias("decision_differs"))
 
 
 # Keywords
@@ -221,34 +225,36 @@ def _translate(text: str, source: str, to: str) -> str:
 
 _WIDE = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26))
 _AZ = normalize._UPPER + normalize._LOWER
+_REFERENCES = ["", "&AMP;&nope;&amp", "&#73;&#0000073;&#x49;&#X49;", "&#x1F642;&#x10ffff;", "&#xD800;&#x110000;&#99999999999;&#abc;&#12ab;", "&" + ";&".join(normalize.ENTITIES) + ";"]
 _stage("norm_invisible", normalize.strip_invisible, f"regexp_replace(text, '{normalize.INVISIBLE}', '', 'g')")
 _stage("norm_homoglyph", normalize.replace_look_alikes, _translate("text", "".join(normalize.LOOK_ALIKES) + _WIDE, "".join(normalize.LOOK_ALIKES.values()) + _AZ))
 _stage("norm_leet", normalize.decode_leet, _translate("text", *normalize.LEET))
 _stage("norm_rot13", normalize.rot13, _translate("text", _AZ, normalize._ROTATED))
 _stage("norm_reverse", F.reverse, "reverse(text)")
 _stage("norm_whitespace", normalize.collapse_white, r"regexp_replace(regexp_replace(regexp_replace(text, '[\t\r\x0b\x0c]+', ' ', 'g'), ' {2,}', ' ', 'g'), '^[\t-\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\t-\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')")
-_stage("norm_url", normalize.decode_percent, f"replace(text, {literal(seeds.ENCODED['percent'])}, 'Ignore all')")
-_stage("norm_hex", normalize.decode_hex, r"replace(text, '\x49gnore', 'Ignore')")
-_stage("norm_base64", normalize.decode_base64, None)
-_stage("norm_delimiters", normalize.join_padded, None)
+_stage("norm_url", normalize.decode_percent, O.percent("text"))
+_stage("norm_hex", normalize.decode_hex, O.hexadecimal("text"))
+_stage("norm_base64", normalize.decode_base64, O.base64("text"))
+_stage("norm_delimiters", normalize.join_padded, O.delimiters("text"))
 
 
-@query()
+@query(f"{_ENCODED_SQL} select doc_id, length(o) as n, md5(o) as digest from (select doc_id, {O.nfkc('text')} as o from e)")
 def norm_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unicode NFKC."""
     return _digest(_encoded(spark, sf_dir).select("doc_id", normalize.nfkc("text").alias("out")))
 
 
-@query()
+@query(f"{_ENCODED_SQL}, {O.normalised('e', 'clean')} select doc_id, length(normal) as n, md5(normal) as digest from clean")
 def norm_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole normalisation."""
     return _digest(normalize.normalized(_encoded(spark, sf_dir), "text", "out"))
 
 
-@query("select page_id, length(o) as n, md5(o) as digest from (select page_id, replace(replace(replace(replace(html, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as o from pages)")
+@query(f"select page_id, length(o) as n, md5(o) as digest from (select page_id, {O.entities('t')} as o from (select page_id, html || {seeds.picked_sql('page_id', _REFERENCES)} as t from pages))")
 def norm_html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass of entity decoding over pages."""
-    return _digest(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), normalize.decode_entities(F.col("html")).alias("out"))).withColumnRenamed("doc_id", "page_id")
+    """One pass of entity decoding over pages, with references of every form behind them."""
+    html = F.concat("html", seeds.picked(F.col("page_id"), _REFERENCES))
+    return _digest(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), normalize.decode_entities(html).alias("out"))).withColumnRenamed("doc_id", "page_id")
 
 
 # Windows and guards
@@ -286,20 +292,22 @@ def guarded_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Policy
 
 _ABLE = "tier = 'A' and severity in ('high', 'critical')"
-_ROLLUP_SQL = (
-    f"{HITS_SQL}, corr as (select source, doc_id, category, count(distinct id) as ids, count(distinct matched) as spans from kept where {_ABLE} group by all having ids >= 2 and spans >= 2), "
+_LADDER_SQL = (
+    f"corr as (select source, doc_id, category, count(distinct id) as ids, count(distinct matched) as spans from kept where {_ABLE} group by all having ids >= 2 and spans >= 2), "
     "files as (select source, count(*) as files_scanned from documents group by 1), n as (select source, count(*) filter (tier <> 'S') as notes, count(*) filter (tier = 'S') as hits from kept group by 1), "
     "r as (select source, count(distinct doc_id) as to_review from corr group by 1), "
     "j as (select source, files_scanned, coalesce(notes, 0) as notes, coalesce(hits, 0) as hits, coalesce(to_review, 0) as to_review from files left join n using (source) left join r using (source)), "
     "o as (select *, case when hits > 0 then 'known_attack' when to_review > 0 then 'review_before_agent_ingestion' when notes > 0 then 'clean_notes' else 'clean' end as overall from j)"
 )
-
-
-@query(
-    f"{_ROLLUP_SQL} select source, overall, files_scanned, notes, hits, to_review, case overall when 'known_attack' then 'block' when 'review_before_agent_ingestion' then 'quarantine' else 'allow' end as overall_decision, "
+_ROLLUP_SQL, _FULL_ROLLUP_SQL = f"{HITS_SQL}, {_LADDER_SQL}", f"{FULL_SQL}, {_LADDER_SQL}"
+_ROLLED_SQL = (
+    " select source, overall, files_scanned, notes, hits, to_review, case overall when 'known_attack' then 'block' when 'review_before_agent_ingestion' then 'quarantine' else 'allow' end as overall_decision, "
     "files_scanned || ' file(s) scanned · ' || notes || ' note(s)' || case when to_review > 0 then ' · ' || to_review || ' file(s) to review' else '' end || ' · recommendation: ' || "
     f"case overall {' '.join(f'when {literal(k)} then {literal(v[0])}' for k, v in policy.LADDER.items())} end as summary from o"
 )
+
+
+@query(_ROLLUP_SQL + _ROLLED_SQL)
 def repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder over sources as collections."""
     sums = policy.ladder(scanned(spark, sf_dir), "source")
@@ -321,8 +329,8 @@ def tier_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tier", "severity", "note_only").agg(F.count(F.lit(1)).alias("findings"))
 
 
-_TALK_SQL = (
-    f"with {seeds.MESSAGES_SQL}, few as (select conv_id, turn, 'file' as channel, text from talk qualify row_number() over (partition by conv_id order by turn) <= {texts.MAX_FILES}), {O.hits(RAW, 'few', 'conv_id, turn')}, {O.kept('conv_id, turn')}, "
+_FEW_SQL = f"with {seeds.MESSAGES_SQL}, few as (select conv_id, turn, 'file' as channel, text from talk qualify row_number() over (partition by conv_id order by turn) <= {texts.MAX_FILES})"
+_REVIEWED = (
     f"corr as (select conv_id, turn, category from kept where {_ABLE} group by all having count(distinct id) >= 2 and count(distinct matched) >= 2), "
     "n as (select conv_id, count(*) filter (tier <> 'S') as notes, count(*) filter (tier = 'S') as hits from kept group by 1), r as (select conv_id, count(distinct turn) as to_review from corr group by 1), "
     "j as (select conv_id, count(*) as files_scanned, coalesce(any_value(notes), 0) as notes, coalesce(any_value(hits), 0) as hits, coalesce(any_value(to_review), 0) as to_review from few left join n using (conv_id) left join r using (conv_id) group by 1) "
@@ -330,7 +338,7 @@ _TALK_SQL = (
 )
 
 
-@query(_TALK_SQL)
+@query(f"{_FEW_SQL}, {O.hits(RAW, 'few', 'conv_id, turn')}, {O.kept('conv_id, turn')}, {_REVIEWED}")
 def repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from files to verdict, with conversations as collections and turns as files."""
     size = lambda c: F.size(c).cast("long")
@@ -338,7 +346,7 @@ def repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "files_scanned", size("notes").alias("notes"), size("signature_hits").alias("hits"), size("review").alias("to_review"), "overall")
 
 
-# The whole catalog over documents and conversations: keywords, windows, guards and normalised text, which SQL cannot follow.
+# The whole catalog over documents and conversations: keywords, windows, guards and normalised text.
 # The queries of the same names without full_ are their raw-text lane.
 
 
@@ -347,19 +355,22 @@ def full_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.scan(seeds.documents(spark, sf_dir), catalog.CATALOG)
 
 
-@query()
+@query(f"{FULL_SQL}, worst as (select doc_id, max(rank) as rank from kept group by doc_id) select source, {O.decision('rank')} as decision, count(*) as texts from seeded left join worst using (doc_id) group by 1, 2")
 def full_decision_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts of each source get each decision."""
     return full_scanned(spark, sf_dir).groupBy("source", "decision").agg(F.count(F.lit(1)).alias("texts"))
 
 
-@query()
+@query(
+    f"{FULL_SQL}, worst as (select doc_id, max(rank) as rank, count(*) as n from kept group by doc_id) "
+    f"select doc_id, {O.decision('rank')} as decision, coalesce(n, 0) as findings, rank as worst_rank from seeded left join worst using (doc_id)"
+)
 def full_worst_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's decision, number of findings and worst rank."""
     return full_scanned(spark, sf_dir).select("doc_id", "decision", F.size("findings").cast("long").alias("findings"), F.array_max(F.transform("findings", lambda f: f["rank"])).alias("worst_rank"))
 
 
-@query()
+@query(_FULL_ROLLUP_SQL + _ROLLED_SQL)
 def full_repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder over sources as collections."""
     sums = policy.ladder(full_scanned(spark, sf_dir), "source")
@@ -367,21 +378,21 @@ def full_repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("p", told).select("source", "overall", "files_scanned", "notes", "hits", "to_review", "p.overall_decision", "p.summary")
 
 
-@query()
+@query(f"{_FULL_ROLLUP_SQL} select source, doc_id, category, ids, spans from corr")
 def full_repo_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories that two rules on two spans of one file confirm."""
     rows = full_scanned(spark, sf_dir).select("source", "doc_id", F.inline(S.once(policy.corroborated(F.col("findings")))))
     return rows.select("source", "doc_id", "category", F.col("ids").cast("long").alias("ids"), F.col("spans").cast("long").alias("spans"))
 
 
-@query()
+@query(f"{FULL_SQL} select tier, severity, tier = 'B' or severity not in ('high', 'critical') as note_only, count(*) as findings from kept group by all")
 def full_tier_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by tier and severity, and whether they can corroborate."""
     rows = S.exploded(full_scanned(spark, sf_dir), "doc_id").withColumn("note_only", policy.note_only(F.col("tier"), F.col("severity")))
     return rows.groupBy("tier", "severity", "note_only").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query()
+@query(f"{_FEW_SQL}, {O.normalised('few', 'clean')}, {O.full(catalog.CATALOG, 'clean', 'conv_id, turn')}, {_REVIEWED}")
 def full_repo_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from files to verdict, with conversations as collections and turns as files."""
     size = lambda c: F.size(c).cast("long")
@@ -453,9 +464,13 @@ def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.rate_windows(table(spark, sf_dir, "events"), "user_id", "ts", 3, "1 hour")
 
 
+_CATALOG_SQL = ", ".join(f"({literal(r.kind)}, {len(r.keywords)}, {len(r.regex)}, {literal(r.tier) if r.tier else 'null'})" for r in catalog.CATALOG)
+
+
 @query(
-    "select " + ", ".join(f"{v}::bigint as {k}" for k, v in R.stats(catalog.CATALOG).items())
-    + f", {sum(r.grade == 'S' for r in catalog.CATALOG)}::bigint as tier_s, {sum(r.grade == 'B' for r in catalog.CATALOG)}::bigint as tier_b"
+    f"with c(kind, keywords, regexes, tier) as (values {_CATALOG_SQL}), g as (select *, coalesce(tier, case when regexes > 0 then 'A' else 'B' end) as grade from c) "
+    "select count(*) filter (kind = 'carrier') as patterns, count(*) filter (kind <> 'carrier') as mechanisms, sum(keywords)::bigint as keywords, count(*) filter (regexes > 0) as regex_patterns, "
+    "count(*) filter (grade = 'S') as tier_s, count(*) filter (grade = 'B') as tier_b from g"
 )
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the catalog holds, from its table."""
