@@ -255,28 +255,27 @@ class Block:
     def answered(self, parts: int, answers: dict[int, bytes], model: Order, hot: Hot | None) -> None:
         """Take the owners' answers for the current n-grams; self.p has the probabilities of their places then."""
         order, cut = self.sending(parts)
-        columns: list[list[np.ndarray]] = []
-        for part in range(parts):
-            a, b = cut[part], cut[part + 1]
-            if a == b:
+        c, gid, p = np.empty(len(order), np.int64), np.empty(len(order), np.int64), np.empty(len(order))
+        for part in range(parts):  # one at a time: statistics of contexts are spread over their n-grams
+            own = order[cut[part] : cut[part + 1]]
+            if not len(own):
                 continue
-            got = unpack(answers[part])
-            if len(self.keys) > 1:
-                begins = np.flatnonzero(np.diff(self.keys[0][order[a:b]], prepend=-1))
-                runs = np.diff(np.append(begins, b - a))
-                got[2:] = [np.repeat(x, runs) for x in (*got[2:-2], got[-2][got[-1].astype(np.int64)])]
-            columns.append(got)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        c, gid, *rest = (np.concatenate(x)[place] for x in zip(*columns, strict=True))
-        self.c, self.gid = c.astype(np.int64), gid.astype(np.int64)
-        if len(self.keys) == 1:
-            self.c1, self.gid1, p = self.c, self.gid, model.unigram(self.c)
-        else:
-            shared = np.flatnonzero(self.salts > 1)
+            got = unpack(answers.pop(part))
+            c[own], gid[own] = got[0], got[1]
+            if len(self.keys) == 1:
+                p[own] = model.unigram(c[own])
+                continue
+            contexts = self.keys[0][own]
+            begins = np.flatnonzero(np.diff(contexts, prepend=-1))
+            runs = np.diff(np.append(begins, len(own)))
+            rest = [np.repeat(x, runs) for x in (*got[2:-2], got[-2][got[-1].astype(np.int64)])]
+            shared = np.flatnonzero(self.salts[own] > 1)
             if len(shared):
-                hot.fill(self.keys[0], shared, rest)
-            p = model.conditional(self.c, self.lower, rest[0].astype(np.int64), rest[1:-1], rest[-1])
+                hot.fill(contexts, shared, rest)
+            p[own] = model.conditional(c[own], self.lower[own], rest[0], rest[1:-1], rest[-1])
+        self.c, self.gid = c, gid
+        if len(self.keys) == 1:
+            self.c1, self.gid1 = c, gid
         self.p[self.at] = p[self.code]
 
     def longer(self, salt_tokens: int) -> None:
@@ -381,6 +380,7 @@ class Pass:
                         block.longer(self.salt_tokens)
                     block.answered(self.parts, answers_of(folder, number), model, hot and hot.value)
                 yield number, batch.column(1)[k].values, block
+                del block  # before the next one is built
 
     def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The requests of every block for the order after those answered."""
@@ -389,6 +389,7 @@ class Pass:
             if self.folders:
                 block.longer(self.salt_tokens)
             rows = list(block.sent(self.parts))
+            del block
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     def owned(self, group: pa.Table) -> pa.Table:
@@ -466,8 +467,9 @@ class Pass:
             known = block.c1[block.words]
             base = np.log10((known + 1) / (one.tokens + one.types + 1))
             logs = np.log10(np.maximum(block.p, 1e-300))
-            sums = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
+            sums = lambda x, starts=block.starts: np.add.reduceat(x, starts)
             values = {"n_tokens": block.size, "n_known": sums((known > 0).astype(np.int64)), "base_score": sums(base), "score": sums(logs)}
+            del block, known, base, logs, sums
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in values.values())], names=["id", *values])
 
 
