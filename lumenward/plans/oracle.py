@@ -127,9 +127,16 @@ def hexadecimal(text: str = "t") -> str:
     return _when(rf"contains({text}, '\x')", rewritten(text, r"\\x[0-9A-Fa-f]{2}", "chr(('0x' || substr(m, 3, 2))::int)"), text)
 
 
+#: The bytes of one character in hexadecimal digits, or else one byte.
+_CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9ABCEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[123][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|.."
+
+
 def base64(text: str = "t") -> str:
-    """Runs whose bytes are all UTF-8; others, of which the engine keeps what is, come out unprintable in the tables."""
-    body, plain = "rtrim(m, '=')", "try(decode(from_base64(rtrim(m, '=') || repeat('=', ((4 - length(rtrim(m, '=')) % 4) % 4)::int))))"
+    """Runs as the printable characters that their bytes are, without the bytes that are none."""
+    body = "rtrim(m, '=')"
+    data = f"hex(from_base64({body} || repeat('=', ((4 - length({body}) % 4) % 4)::int)))"
+    valid = f"list_filter(regexp_extract_all({data}, {literal(_CHARACTER)}), lambda x: not regexp_matches(x, '^[89A-F].$'))"
+    plain = f"regexp_replace(replace(try(decode(unhex(array_to_string({valid}, '')))), chr(65533), ''), '^\ufeff', '')"
     good = f"not (contains(m, '=') and length(m) % 4 <> 0) and length({body}) % 4 <> 1 and length({plain}) > 4 and not regexp_matches({plain}, {literal(normalize.UNPRINTABLE)})"
     return rewritten(text, "[A-Za-z0-9+/]{20,}={0,2}", f"case when {good} then {plain} else m end")
 
