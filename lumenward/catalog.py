@@ -91,7 +91,7 @@ def _verbs(base: list[str], other: list[str]) -> list[str]:
 def _mechanisms() -> list[Rule]:
     sensitive, collect, moves = any_of(_SENSITIVE), word(_verbs(_COLLECT, _COLLECT_OTHER)), _verbs(_MOVE, _MOVE_OTHER)
     move = word(moves)
-    sink = word(_TOWARDS) + r"\s+[^.\n]{0,24}?" + any_of(_SINK)
+    sink = r"\b" + any_of(_TOWARDS) + r"\s+[^.\n]{0,24}?" + any_of(_SINK)
     shapes = [
         ("prompt_injection", "high", ALL_CHANNELS, "Instruction override", [needing(word(_OVERRIDE) + sentence(60) + r"\b" + _POLICY_NOUN, _OVERRIDE)]),
         (
