@@ -22,7 +22,7 @@ def test_queries_match_their_sql(spark):
     for name in ("documents", "pages", "conversations", "events"):
         con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
     con.sql("set timezone = 'UTC'")
-    for name in ("decision_by_source", "negation_downgrade", "repo_rollup", "keyword_excerpt", "url_parse", "windowed_cooccurrence", "norm_whitespace", "rate_limit_windows"):
+    for name in ("decision_by_source", "negation_downgrade", "repo_rollup", "keyword_excerpt", "url_parse", "windowed_cooccurrence", "norm_whitespace", "norm_layered", "norm_base64", "norm_html_entities", "full_scan", "full_worst_severity", "finding_delta", "mechanism_suppression", "catalog_stats", "rate_limit_windows"):
         got = plans.QUERIES[name](spark, folder)
         columns = sorted(got.columns)
         want = con.sql(plans.ORACLES[name])
