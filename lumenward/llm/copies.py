@@ -125,7 +125,7 @@ def leads(size: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (PART + WHOLE) * (size - place) >= 2 * PART * size
 
 
-def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted shingles, how often each occurs) of the most frequent ones in a sample, and how many rows a sampled one stands for."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +134,8 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray,
                 yield pd.DataFrame({"shingle": shingles(t).view(np.int64)})
 
     rows = docs.count()
-    some = common.sampled(docs, key, rows, SAMPLE_ROWS).select(F.col(text).alias("text"))
+    some = docs.select(F.col(text).alias("text"))
+    some = some if rows <= SAMPLE_ROWS else some.sample(SAMPLE_ROWS / rows, seed=3)
     counted = some.mapInPandas(explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     found = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
@@ -147,7 +148,7 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     salts: to how many groups the rows of a first shingle are dealt.
     """
-    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, key, text))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
 
     @F.pandas_udf("struct<h1:long,h2:long,n:int,sketch:array<long>,first:array<long>,salts:array<int>>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
