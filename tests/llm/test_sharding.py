@@ -60,6 +60,16 @@ def test_buckets(spark, monkeypatch):
     assert {(r.doc_id, r.shard, r.grown_shard) for r in rows} == whole
 
 
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    """Its slots are handed out in runs, by several tasks."""
+    monkeypatch.setattr(sharding, "RUN", 100)
+    df = spark.range(5000).selectExpr("if(id < 4000, 7, id) as doc_id", "5L as size", "if(id < 4000, 3, 1) as shard")
+    rows = sharding.with_slots(df, ["doc_id", "size"])
+    assert sorted((r.shard, r.slot) for r in rows.collect()) == [(1, n) for n in range(1000)] + [(3, n) for n in range(4000)]
+    repeated = rows.where("doc_id = 7").withColumn("task", sharding.F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(repeated) > 1 and sum(r["count"] for r in repeated) == 4000
+
+
 def test_odd_tables(spark, odd_dir, odd):
     check(sharding.op9_sharding(spark, f"{odd_dir}/odd").collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert sharding.op9_sharding(spark, f"{odd_dir}/empty").collect() == []
