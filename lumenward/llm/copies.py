@@ -46,7 +46,7 @@ HUBS = 8
 #: fifths 15.2 % of the bits differ, 39 of 256 with a deviation of 5.7.
 LANES = 4
 FAR = 85
-#: Texts whose numbers (16 bytes each) or sketches (48 bytes) may be broadcast.
+#: Texts whose numbers (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Pairs held before repeated ones are dropped.
 HELD = 1 << 20
@@ -137,10 +137,10 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     some = docs.select(F.col(text).alias("text"))
     some = some if rows <= SAMPLE_ROWS else some.sample(SAMPLE_ROWS / rows, seed=3)
     counted = some.mapInPandas(explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    found = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    found, times = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(found)
-    return found[order], np.array([r.n for r in top], dtype=np.int64)[order], max(1.0, rows / SAMPLE_ROWS)
+    return found[order], times[order], max(1.0, rows / SAMPLE_ROWS)
 
 
 def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -230,7 +230,7 @@ def near(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= FAR
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame, n_prints: int, rows: DataFrame, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) of prints whose whole sets are alike, written."""
     spark = rows.sparkSession
 
@@ -244,7 +244,7 @@ def confirmed(pairs: DataFrame, prints: DataFrame, n_prints: int, rows: DataFram
         for a, b in batches:
             yield pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    own = lambda end, name: small(prints.select(F.col("id").alias(end), F.col("sketch").alias(name)), n_prints)
+    own = lambda end, name: prints.select(F.col("id").alias(end), F.col("sketch").alias(name))
     with common.temporary(spark) as kept:
         close = pairs.distinct().join(own("a", "__a"), "a").join(own("b", "__b"), "b").where(near(F.col("__a"), F.col("__b"))).select("a", "b")
         close = common.written(close, "pairs")
@@ -281,7 +281,7 @@ def links(rows: DataFrame, prints: DataFrame, n_prints: int, linked_prints: Call
     ends = lambda name: stands.select(F.col("print").alias(name), F.col("stand").alias(f"stand_{name}"))
     by_prints = edges.join(ends("a"), "a").join(ends("b"), "b").select(*pair("stand_a", "stand_b"))
     equal = prints.select("id", F.col("sketch")[0].alias("print")).join(stands, "print").where("id <> stand").select(*pair("id", "stand"))
-    compare = lambda pairs: confirmed(pairs, prints, n_prints, rows, text)
+    compare = lambda pairs: confirmed(pairs, prints, rows, text)
     connected = lambda edges, end, name: graph.components(edges).select(F.col("node").alias(end), F.col("root").alias(name))
     often = shared.where("able").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = often.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenward.llm import common, copies, graph
+from lumenward.llm.graph import spanning
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -224,24 +225,6 @@ class Tree:
         return Routes(self.nodes, self.root)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest member) that connect what the pairs (a, b) connect."""
-    members, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    left, right = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(members))
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    own = label != np.arange(len(members))
-    return members[own], members[label[own]]
-
-
 @dataclass
 class Prints:
     """Fingerprints, and when they link."""

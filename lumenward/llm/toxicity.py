@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,25 +180,30 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         return start
     bag, sentence, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
     del scorer, parts
-    own = [features_of(c) for c in names]
-    feature = np.fromiter(chain.from_iterable(own), np.int64)
-    holder = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    features, sizes = [], []
+    for k in range(0, len(names), 10_000):  # lists of some names at a time
+        own = [features_of(c) for c in names[k : k + 10_000]]
+        features.append(np.fromiter(chain.from_iterable(own), np.int32))
+        sizes.append(np.fromiter(map(len, own), np.int32, len(own)))
+    feature, n_names = np.concatenate(features), len(names)
+    holder = np.repeat(np.arange(n_names, dtype=np.int32), np.concatenate(sizes))
+    del names, own, features, sizes
     used, feature = np.unique(feature, return_inverse=True)
     holders = np.unique(bag[sentence].astype(np.int64) << 32 | numbers) & 0xFFFFFFFF  # each chunk once a bag
-    in_bags = np.bincount(holders, minlength=len(own))
+    in_bags = np.bincount(holders, minlength=n_names)
     frequent = np.bincount(feature, weights=in_bags[holder], minlength=len(used)) >= MIN_DOCUMENTS
     w, bias = np.zeros(len(used)), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y, scale = toxic[bag], (weight / weight.sum())[bag]
     for t in range(1, ROUNDS + 1):
-        word = np.bincount(holder, weights=w[feature], minlength=len(own))
+        word = np.bincount(holder, weights=w[feature], minlength=n_names)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, weights=word[numbers], minlength=n_sentences) + bias, -30, 30)))
         calm = 1 / (1 + np.exp(-bias))
         silent = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-calm), minlength=len(texts))
         none = ((1 - LEAK) * np.exp(silent))[bag]
         pull = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0) * scale
         g = pull * p
-        by_word = np.bincount(numbers, weights=g[sentence], minlength=len(own))
+        by_word = np.bincount(numbers, weights=g[sentence], minlength=n_names)
         grad = np.bincount(feature, weights=by_word[holder], minlength=len(used)) + DECAY * w
         grad_b = (pull * (p - calm)).sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -240,11 +246,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("__key"), common.text_of(text).alias("__text")).join(F.broadcast(chosen), "__key")
     # Of several texts with one key the least counts; they meet on the map side, however many there are.
     texts = texts.groupBy("__key", "__y").agg(F.min("__text").alias("__text")).select("__key", "__y", part("__text").alias("__text"))
-    rows = texts.toArrow().to_pandas().sort_values("__key")
-    toxic = rows["__y"].to_numpy() > 0
-    taken = rows["__y"].value_counts()
-    weight = rows["__y"].map(lambda y: share[y] / taken[y]).to_numpy(dtype=float)
-    return fit(rows["__text"].tolist(), toxic, weight)
+    rows = texts.toArrow().sort_by("__key")
+    label_of = rows.column("__y").to_numpy()
+    found = rows.column("__text").to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    weight = np.ones(len(label_of))
+    for y in share:
+        weight[label_of == y] = share[y] / max(1, (label_of == y).sum())
+    return fit(found, label_of > 0, weight)
 
 
 def score_of(spark: SparkSession, text: Column, model: Model) -> Column:
