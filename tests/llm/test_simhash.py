@@ -116,7 +116,9 @@ def test_flood_agrees():
     assert (got == closure(np.bitwise_count(bits[:, None] ^ bits[None]) <= 3)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 5), (5, 9), (9, 1), (3, 3), (None, 4), (7, 200), (200, 6)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     groups = {}
