@@ -10,12 +10,16 @@ compared with the others of their shingle. The order puts shingles that are freq
 common line brings few together, and deals their rows to several groups; the sample decides the cost alone.
 
 Candidates whose sketches (256 bits of fingerprint) are too far apart for the similarity go first: beyond FAR bits
-fewer than one pair in 10^12 of that similarity is lost, as by an unlucky hash. All others are compared on whole sets.
+fewer than one pair in 10^12 of that similarity is lost, as by an unlucky hash. Then go those whose parities differ in
+more bits than the sets may differ in shingles: a set's parity has a bit for each of PARITY_BITS classes of shingles,
+whether the set has an odd number of them, so each shingle that one of two sets lacks turns one bit, and none is lost.
+All others are compared on whole sets.
 
 Partners are compared in three turns, each but for what is connected by then. First each text is compared with the
 one, of all that stand for the groups that share a shingle with it, with which it shares most; links of fingerprints
 are part of this turn. Then with the others that stand for its groups. Both connect dense clusters at a cost in
-proportion to them. Then the remaining pairs of a group, but for those that sizes and places rule out.
+proportion to them. Then the remaining pairs of a group, but for those that sizes, places, sketches and parities rule
+out: a pair becomes a row only after that, so that many texts of one origin that are not alike make few rows.
 """
 
 from __future__ import annotations
@@ -46,10 +50,14 @@ HUBS = 8
 #: fifths 15.2 % of the bits differ, 39 of 256 with a deviation of 5.7.
 LANES = 4
 FAR = 85
+#: Bits of a set's parity. Sets of up to some 2,000 shingles that are not alike mostly differ in too many of them.
+PARITY_BITS = 1024
 #: Texts whose numbers (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Pairs held before repeated ones are dropped.
 HELD = 1 << 20
+#: Pairs whose sizes, places, sketches and parities are looked at in one go.
+CELLS = 1 << 17
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 _LANE = np.arange(1, LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -95,6 +103,20 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """PARITY_BITS bits of each set, as 64-bit words: whether it has an odd number of the shingles that fall on a bit."""
+    out = np.zeros((len(sets), PARITY_BITS // 8), np.uint8)
+    for k, s in enumerate(sets):
+        odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return out.view(np.uint64)
+
+
+def within(differing: np.ndarray | Column, size: np.ndarray | Column, other_size: np.ndarray | Column) -> np.ndarray | Column:
+    """Whether sets of these sizes that differ in so many shingles at least can have the similarity."""
+    return (PART + WHOLE) * differing <= (WHOLE - PART) * (size + other_size)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of shingles have the similarity."""
     both = np.sort(np.concatenate((a, b)), kind="stable")
@@ -144,13 +166,13 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
 
 
 def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, k, id, h1, h2, n, sketch, first, salts) of docs: the whole row, its key and number, its set's 128-bit hash, size, sketch and firsts().
+    """(row, k, id, h1, h2, n, sketch, parity, first, salts) of docs: the whole row, its key and number, its set's 128-bit hash, size, sketch, parity and firsts().
 
     salts: to how many groups the rows of a first shingle are dealt.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
 
-    @F.pandas_udf("struct<h1:long,h2:long,n:int,sketch:array<long>,first:array<long>,salts:array<int>>")
+    @F.pandas_udf("struct<h1:long,h2:long,n:int,sketch:array<long>,parity:array<long>,first:array<long>,salts:array<int>>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         frequent, times, scale = known.value
         for texts in batches:
@@ -160,9 +182,9 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 wide = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 first = [firsts(s, frequent, times) for s in sets]
                 salts = [(1 + often * scale // SALT_ROWS).astype(np.int32) for _, often in first]
-                row = {"h1": wide[:, 0], "h2": wide[:, 1], "n": [len(s) for s in sets], "sketch": list(sketches(sets).view(np.int64)), "first": [s.view(np.int64) for s, _ in first], "salts": salts}
+                row = {"h1": wide[:, 0], "h2": wide[:, 1], "n": [len(s) for s in sets], "sketch": list(sketches(sets).view(np.int64)), "parity": list(parities(sets).view(np.int64)), "first": [s.view(np.int64) for s, _ in first], "salts": salts}
                 out.append(pd.DataFrame(row).astype({"n": np.int32}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"h1": [], "h2": [], "n": [], "sketch": [], "first": [], "salts": []})
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"h1": [], "h2": [], "n": [], "sketch": [], "parity": [], "first": [], "salts": []})
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), compute(common.text_of(F.col(text))).alias("m"))
     return common.written(rows.select("row", "k", F.monotonically_increasing_id().alias("id"), "m.*"), "marked")
@@ -198,36 +220,62 @@ def with_hubs(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shingle": shingle[at], "salt": salt[at], "node": node[at], "size": size[at], "hub": node[hub], "able": able})
 
 
-def open_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Distinct pairs (a, b) of rows that share a shingle, are in two components and can be alike; those with a hub were compared before."""
+def open_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """Rows of shingles whose rows are in several components, but for their hub, with which they were compared before."""
     group = group[(group["node"] != group["hub"]).to_numpy()]
+    shingle, salt, part, size = (group[c].to_numpy(np.int64) for c in ("shingle", "salt", "part", "size"))
+    order = np.lexsort((salt, shingle))
+    starts, lengths = runs(mixed(shingle[order].view(np.uint64)) + salt[order].view(np.uint64))
+    use = np.zeros(len(order), bool)
+    if len(order):
+        part, lead = part[order], leads(size >> 32, size & 0xFFFFFFFF)[order]
+        several = (np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts)) & np.logical_or.reduceat(lead, starts)
+        use = np.repeat(several, lengths)
+    return group.iloc[order[use]][["shingle", "salt", "node", "part", "size"]]
+
+
+def open_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Distinct pairs (a, b) of open rows that share a shingle, are in two components and can be alike."""
     shingle, salt, node, part, size = (group[c].to_numpy(np.int64) for c in ("shingle", "salt", "node", "part", "size"))
     order = np.lexsort((salt, shingle))
     shingle, salt, node, part, size = (x[order] for x in (shingle, salt, node, part, size))
     n, place = size >> 32, size & 0xFFFFFFFF
     lead = leads(n, place)
-    starts, lengths = runs(mixed(shingle.view(np.uint64)) + salt.view(np.uint64))
+    words = lambda c: np.concatenate(group[c].tolist()).view(np.uint64).reshape(len(order), -1)[order] if len(order) else None
+    sketch, parity = words("sketch"), words("parity")
+    bits = lambda x, i, j: np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64)
     found, held = [np.zeros((0, 2), np.int64)], 0
-    if len(node):
-        several = np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts)
-        for start, length in zip(starts[several].tolist(), lengths[several].tolist(), strict=True):
-            run = slice(start, start + length)
-            for i in (start + np.flatnonzero(lead[run])).tolist():
-                keep = (part[run] != part[i]) & possible(n[run], place[run], n[i], place[i])
-                if keep.any():
-                    other = node[run][keep]
-                    found.append(np.stack((np.minimum(other, node[i]), np.maximum(other, node[i])), axis=1))
-                    held += len(other)
-                    if held > HELD:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-                        held = len(found[0]) // 2
+    for start, length in zip(*(x.tolist() for x in runs(mixed(shingle.view(np.uint64)) + salt.view(np.uint64))), strict=True):
+        rest = np.arange(start, start + length)
+        first = rest[lead[rest]]
+        high = max(1, CELLS // length)
+        for some in (first[at : at + high, None] for at in range(0, len(first), high)):
+            # Of two that can both lead, the pair is looked at once.
+            keep = (part[rest] != part[some]) & (~lead[rest] | (rest > some)) & possible(n[rest], place[rest], n[some], place[some])
+            i, j = np.nonzero(keep)
+            i, j = some[i, 0], rest[j]
+            use = bits(sketch, i, j) <= FAR
+            i, j = i[use], j[use]
+            use = within(bits(parity, i, j), n[i], n[j])
+            i, j = node[i[use]], node[j[use]]
+            if len(i):
+                found.append(np.stack((np.minimum(i, j), np.maximum(i, j)), axis=1))
+                held += len(i)
+                if held > HELD:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = len(found[0]) // 2
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def apart(a: Column, b: Column) -> Column:
+    """In how many bits two arrays of words differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def near(a: Column, b: Column) -> Column:
-    """Whether two sketches are close enough for the similarity."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= FAR
+    """Whether two prints (n, sketch, parity) are close enough for the similarity."""
+    return (apart(a["sketch"], b["sketch"]) <= FAR) & within(apart(a["parity"], b["parity"]), a["n"], b["n"])
 
 
 def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -244,7 +292,7 @@ def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -
         for a, b in batches:
             yield pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    own = lambda end, name: prints.select(F.col("id").alias(end), F.col("sketch").alias(name))
+    own = lambda end, name: prints.select(F.col("id").alias(end), F.struct("n", "sketch", "parity").alias(name))
     with common.temporary(spark) as kept:
         close = pairs.distinct().join(own("a", "__a"), "a").join(own("b", "__b"), "b").where(near(F.col("__a"), F.col("__b"))).select("a", "b")
         close = common.written(close, "pairs")
@@ -258,7 +306,7 @@ def confirmed(pairs: DataFrame, prints: DataFrame, rows: DataFrame, text: str) -
 
 
 def links(rows: DataFrame, prints: DataFrame, n_prints: int, linked_prints: Callable[[DataFrame], DataFrame], text: str) -> DataFrame:
-    """(a, b): edges between prints (id, sketch) that connect all of them that are alike."""
+    """(a, b): edges between prints (id, n, sketch, parity) that connect all of them that are alike."""
     spark = rows.sparkSession
     total, most = rows.agg(F.sum(F.size("first")), F.max(F.array_max("salts"))).first()
     buckets = F.lit(max(1, -(-(total or 0) // BUCKET_ROWS)))
@@ -288,10 +336,12 @@ def links(rows: DataFrame, prints: DataFrame, n_prints: int, linked_prints: Call
     one = compare(best.select(*pair("node", F.col("best.hub"))).union(by_prints).union(equal))
     parts = connected(one, "node", "part")
     placed = shared.where("able").join(parts, "node", "left").join(parts.select(F.col("node").alias("hub"), F.col("part").alias("hub_part")), "hub", "left")
-    apart = placed.where(F.coalesce("part", "node") != F.coalesce("hub_part", "hub"))
-    two = one.unionByName(compare(apart.groupBy(*pair("node", "hub")).agg(F.lit(1).alias("one")).select("a", "b")))
+    others = placed.where(F.coalesce("part", "node") != F.coalesce("hub_part", "hub"))
+    two = one.unionByName(compare(others.groupBy(*pair("node", "hub")).agg(F.lit(1).alias("one")).select("a", "b")))
     placed = shared.join(connected(two, "node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return two.unionByName(compare(placed.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")))
+    opened = common.written(placed.groupBy(bucket).applyInPandas(open_rows, "shingle long, salt int, node long, part long, size long"), "open")
+    opened = opened.join(prints.select(F.col("id").alias("node"), "sketch", "parity"), "node")
+    return two.unionByName(compare(opened.groupBy(bucket).applyInPandas(open_pairs, "a long, b long")))
 
 
 def without_near_copies(df: DataFrame, linked_prints: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,10 +352,10 @@ def without_near_copies(df: DataFrame, linked_prints: Callable[[DataFrame], Data
     """
     rows = marked(df, key, text)
     # The first row of equal sets stands for them: sets are told apart by 128 bits, and nodes are row numbers.
-    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct(F.col("k").isNull(), "k", "id")).alias("best"), F.min("sketch").alias("sketch"))
-    prints = common.written(prints.select("id", "sketch", "best"), "prints")
+    prints = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct(F.col("k").isNull(), "k", "id")).alias("best"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity"))
+    prints = common.written(prints.select("id", "n", "sketch", "parity", "best"), "prints")
     n_prints = prints.count()
-    roots = graph.components(links(rows, prints.select("id", "sketch"), n_prints, linked_prints, text))
+    roots = graph.components(links(rows, prints.select("id", "n", "sketch", "parity"), n_prints, linked_prints, text))
     placed = prints.select("id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keep = common.written(placed.groupBy("root").agg(F.min("best").alias("best")).select("best.id"), "keep")
     kept = rows.select("id", "row").join(small(keep, keep.count()), "id", "left_semi")

@@ -1,9 +1,10 @@
 """Near copies against the similarity of all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from lumenward.llm import common, copies, simhash
+from lumenward.llm import common, copies, graph, simhash
 
 
 def jaccard(a, b):
@@ -74,3 +75,50 @@ def test_components_against_all_pairs(spark, folder):
     kept = [r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept) == sorted(map(min, groups.values()))
     assert sum(k >= 100_000 and k < 200_000 for k in kept) == 1
+
+
+def variants(n, words, low, high):
+    """Texts of one origin, each with its own part of the words replaced."""
+    rng = np.random.default_rng(7)
+    base = [f"b{x}" for x in range(words)]
+    out = []
+    for k in range(n):
+        lost = rng.random(words) < rng.uniform(low, high)
+        out.append(" ".join(f"n{k}x{i}" if gone else w for i, (w, gone) in enumerate(zip(base, lost, strict=True))))
+    return out
+
+
+def test_parities_lose_no_pair():
+    sets = [copies.shingles(t) for t in ["", "a b", *variants(60, 150, 0, 0.05), *variants(20, 3000, 0, 0.03)]]
+    parity, n = copies.parities(sets), np.array([len(s) for s in sets])
+    found = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            differing = int(np.bitwise_count(parity[i] ^ parity[j]).sum())
+            assert differing <= len(np.setxor1d(sets[i], sets[j]))
+            if copies.alike(sets[i], sets[j]):
+                assert copies.within(differing, n[i], n[j])
+                found += 1
+    assert found > 100
+
+
+def test_many_texts_of_one_origin(spark):
+    rows = list(enumerate(variants(600, 150, 0, 0.15)))
+    sets = [copies.shingles(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if copies.alike(sets[i], sets[j])]
+    member, _ = graph.spanning(*np.array(linked).T)
+    kept = [r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted({i for i, _ in rows} - set(member.tolist()))
+
+
+def test_open_pairs_by_parity():
+    """Texts that share a first shingle but differ in more shingles than the similarity allows make no pair."""
+    sets = [copies.shingles(t) for t in variants(40, 150, 0, 0.15)]
+    size = [len(s) << 32 for s in sets]
+    words = {"sketch": list(copies.sketches(sets).view(np.int64)), "parity": list(copies.parities(sets).view(np.int64))}
+    nodes = np.arange(len(sets))
+    group = pd.DataFrame({"shingle": 1, "salt": 0, "node": nodes, "part": nodes, "size": size, "hub": -1, **words})
+    got = {(r.a, r.b) for r in copies.open_pairs(group).itertuples()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if copies.alike(sets[i], sets[j])}
+    assert want <= got and len(got) <= 1.2 * len(want) and len(want) < 300
+    assert len(copies.open_rows(group)) == len(sets) and not len(copies.open_rows(group.assign(part=0)))
