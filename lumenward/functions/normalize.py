@@ -162,6 +162,12 @@ def join_padded(text: Column) -> Column:
     return let(dotted, lambda t: F.when(F.rlike(t, F.lit(" [a-zA-Z] [a-zA-Z]")), joined(t)).otherwise(plain(t)))
 
 
+def backwards(text: Column) -> Column:
+    """A text reversed by grapheme clusters, as in the queries' SQL: marks stay behind their letters."""
+    clusters = F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+    return F.when(ascii_only(text), F.reverse(text)).otherwise(F.array_join(F.reverse(clusters), ""))
+
+
 def enrich_rot13(text: Column) -> Column:
     turned = rot13(text)
     return F.when(turned != text, F.concat_ws(" ", text, turned)).otherwise(text)
@@ -201,6 +207,6 @@ def normalized(df: DataFrame, text: str, out: str = "normalized") -> DataFrame:
         df = stage(df, f)
     df = df.withColumn("__short", utf16_length(F.col(work)) <= ENRICH_MAX)
     df = stage(df, enrich_rot13)
-    df = stage(df, lambda t: F.lower(F.when(F.col("__short"), F.concat_ws(" ", t, F.reverse(t))).otherwise(t)))
+    df = stage(df, lambda t: F.lower(F.when(F.col("__short"), F.concat_ws(" ", t, backwards(t))).otherwise(t)))
     df = stage(df, lambda t: F.when(F.col("__short"), enrich_shape(t)).otherwise(t))
     return df.drop("__short", "__before", "__again").withColumnRenamed(work, out)

@@ -230,7 +230,7 @@ _stage("norm_invisible", normalize.strip_invisible, f"regexp_replace(text, '{nor
 _stage("norm_homoglyph", normalize.replace_look_alikes, _translate("text", "".join(normalize.LOOK_ALIKES) + _WIDE, "".join(normalize.LOOK_ALIKES.values()) + _AZ))
 _stage("norm_leet", normalize.decode_leet, _translate("text", *normalize.LEET))
 _stage("norm_rot13", normalize.rot13, _translate("text", _AZ, normalize._ROTATED))
-_stage("norm_reverse", F.reverse, "reverse(text)")
+_stage("norm_reverse", normalize.backwards, "reverse(text)")
 _stage("norm_whitespace", normalize.collapse_white, r"regexp_replace(regexp_replace(regexp_replace(text, '[\t\r\x0b\x0c]+', ' ', 'g'), ' {2,}', ' ', 'g'), '^[\t-\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\t-\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')")
 _stage("norm_url", normalize.decode_percent, O.percent("text"))
 _stage("norm_hex", normalize.decode_hex, O.hexadecimal("text"))

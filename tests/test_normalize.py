@@ -77,3 +77,13 @@ def test_enrichment_by_length(spark):
     assert rows[1].normalized == f"{body} {codecs.encode(body, 'rot13')}"
     assert rows[2].normalized == " "
     assert rows[3].normalized is None
+
+
+def test_backwards_as_in_sql(spark):
+    """Marks, prefixed characters and joined ones, as base64 runs decode to them, are reversed like the SQL reverses them."""
+    import duckdb
+
+    texts = ["abc", "", None, "a\r\nb", "ä\r\nb", "\u06cd}\\\u07ef}}", "k^\u89f1i\u07adm", "lh\u06dd<hja", "zx\u0776\u06d6{b", "e\u0301v\u0310il", "\u0301x", "\u1112\u1161\u11ab!", "\U0001f1e9\U0001f1ea\U0001f1eb", "日本語 🙂"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.out for r in df.select(N.backwards(F.col("t")).alias("out")).collect()]
+    assert got == [duckdb.execute("select reverse(?::varchar)", [t]).fetchone()[0] for t in texts]
